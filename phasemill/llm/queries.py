@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phasemill.llm.backoff_lm import scores
+from phasemill.llm.odd_sketch import near_duplicates
 from phasemill.llm.positional_index import contamination
 from phasemill.llm.repetition import repetition_coverage
 
@@ -25,6 +26,10 @@ def op5_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -33,6 +38,7 @@ def op8_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_backoff_automaton": op3_backoff_automaton,
     "op5_repetition_coverage": op5_repetition_coverage,
+    "op7_odd_sketch": op7_odd_sketch,
     "op8_positional_index": op8_positional_index,
 }
 
@@ -53,6 +59,22 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
+_SPACED = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+
+OP7_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_SPACED} AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, CAST(len(w) - 2 AS BIGINT)), lambda i: array_to_string(w[i : i + 3], ' ')) END) AS g FROM d),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS MATERIALIZED (SELECT u, v FROM shared JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * k >= 80 * (x.n + y.n - k)),
+edges AS MATERIALIZED (SELECT u, v FROM links UNION SELECT v, u FROM links),
+reach AS (SELECT doc_id AS u, doc_id AS r FROM d UNION SELECT edges.v AS u, reach.r FROM reach JOIN edges ON edges.u = reach.u)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.r AS component_id, m.r = d.doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT u, min(r) AS r FROM reach GROUP BY u) m ON m.u = d.doc_id
+"""
+
 ORACLES: dict[str, str] = {
+    "op7_odd_sketch": OP7_SQL,
     "op8_positional_index": OP8_SQL,
 }
