@@ -29,7 +29,7 @@ from phasemill.llm import words as W
 from phasemill.llm.shared import settled
 
 #: Text that a block holds at most, besides the rest of its last Arrow batch.
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 8_000_000
 #: n-grams of all blocks that a bucket is made for; a text has one word in six bytes or fewer.
 BUCKET_KEYS = 3_000_000
 #: Tokens that a lane of the traversal reads; longer texts take several lanes that begin with the history before them.
