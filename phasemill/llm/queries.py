@@ -11,6 +11,7 @@ from phasemill.llm.backoff_lm import scores
 from phasemill.llm.odd_sketch import near_duplicates
 from phasemill.llm.positional_index import contamination
 from phasemill.llm.repetition import repetition_coverage
+from phasemill.llm.run_length_index import repeated_bytes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,11 +36,17 @@ def op8_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op9_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_bytes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_backoff_automaton": op3_backoff_automaton,
     "op5_repetition_coverage": op5_repetition_coverage,
     "op7_odd_sketch": op7_odd_sketch,
     "op8_positional_index": op8_positional_index,
+    "op9_run_length_index": op9_run_length_index,
 }
 
 #: Words of one text as DuckDB sees them: runs of bytes that are letters, digits or not ASCII.
@@ -74,7 +81,24 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.r AS componen
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT u, min(r) AS r FROM reach GROUP BY u) m ON m.u = d.doc_id
 """
 
+#: Texts as hexadecimal digits, two a byte; places count from 0.
+OP9_SQL = """
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+win AS (SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 200)) AS s FROM (SELECT doc_id, h, unnest(range(0, CAST(length(h) // 2 - 99 AS BIGINT))) AS i FROM d WHERE length(h) >= 200)),
+rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS k FROM win) WHERE k > 1),
+edge AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER w + 100 THEN 0 ELSE 1 END AS new FROM rep WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+num AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM edge),
+run AS (SELECT doc_id, g, min(i) AS a, max(i) + 100 AS b FROM num GROUP BY doc_id, g),
+gap AS (SELECT doc_id, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS f, a AS t FROM run
+  UNION ALL SELECT d.doc_id, coalesce(m.b, 0), length(h) // 2 FROM d LEFT JOIN (SELECT doc_id, max(b) AS b FROM run GROUP BY doc_id) m USING (doc_id)),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * f + 1, 2 * (t - f)), '' ORDER BY f) AS k FROM gap JOIN d USING (doc_id) GROUP BY doc_id),
+cnt AS (SELECT doc_id, count(*) AS n, sum(b - a) AS r FROM run GROUP BY doc_id)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(r, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN cnt USING (doc_id)
+"""
+
 ORACLES: dict[str, str] = {
     "op7_odd_sketch": OP7_SQL,
     "op8_positional_index": OP8_SQL,
+    "op9_run_length_index": OP9_SQL,
 }
