@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phasemill.llm.backoff_lm import scores
+from phasemill.llm.gam import quality
 from phasemill.llm.odd_sketch import near_duplicates
 from phasemill.llm.positional_index import contamination
 from phasemill.llm.repetition import repetition_coverage
@@ -41,12 +42,17 @@ def op9_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
+def op10_additive_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_backoff_automaton": op3_backoff_automaton,
     "op5_repetition_coverage": op5_repetition_coverage,
     "op7_odd_sketch": op7_odd_sketch,
     "op8_positional_index": op8_positional_index,
     "op9_run_length_index": op9_run_length_index,
+    "op10_additive_model": op10_additive_model,
 }
 
 #: Words of one text as DuckDB sees them: runs of bytes that are letters, digits or not ASCII.
