@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phasemill.llm.backoff_lm import scores
+from phasemill.llm.deobfuscate import toxicity
 from phasemill.llm.gam import quality
 from phasemill.llm.odd_sketch import near_duplicates
 from phasemill.llm.positional_index import contamination
@@ -23,6 +24,10 @@ def op3_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores(table(spark, sf_dir, "documents"))
 
 
+def op4_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repetition_coverage(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -48,6 +53,7 @@ def op10_additive_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_backoff_automaton": op3_backoff_automaton,
+    "op4_deobfuscation": op4_deobfuscation,
     "op5_repetition_coverage": op5_repetition_coverage,
     "op7_odd_sketch": op7_odd_sketch,
     "op8_positional_index": op8_positional_index,
