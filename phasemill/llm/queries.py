@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from phasemill.llm.backoff_lm import scores
 from phasemill.llm.deobfuscate import toxicity
 from phasemill.llm.gam import quality
+from phasemill.llm.html_blocks import extracted
 from phasemill.llm.odd_sketch import near_duplicates
+from phasemill.llm.pfair import mixed
 from phasemill.llm.positional_index import contamination
 from phasemill.llm.repetition import repetition_coverage
 from phasemill.llm.run_length_index import repeated_bytes
@@ -20,6 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extracted(table(spark, sf_dir, "pages"))
+
+
 def op3_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores(table(spark, sf_dir, "documents"))
 
@@ -33,6 +39,10 @@ def op5_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_pfair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(table(spark, sf_dir, "documents"))
+
+
 def op7_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -52,9 +62,11 @@ def op10_additive_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_blocks": op1_line_blocks,
     "op3_backoff_automaton": op3_backoff_automaton,
     "op4_deobfuscation": op4_deobfuscation,
     "op5_repetition_coverage": op5_repetition_coverage,
+    "op6_pfair": op6_pfair,
     "op7_odd_sketch": op7_odd_sketch,
     "op8_positional_index": op8_positional_index,
     "op9_run_length_index": op9_run_length_index,
