@@ -12,6 +12,7 @@ from phasemill.llm.deobfuscate import toxicity
 from phasemill.llm.gam import quality
 from phasemill.llm.html_blocks import extracted
 from phasemill.llm.odd_sketch import near_duplicates
+from phasemill.llm.paragraph_dedup import paragraph_dedup
 from phasemill.llm.pfair import mixed
 from phasemill.llm.positional_index import contamination
 from phasemill.llm.repetition import repetition_coverage
@@ -26,6 +27,11 @@ def op1_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extracted(table(spark, sf_dir, "pages"))
 
 
+def op2_paragraph_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = paragraph_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_paragraphs", "n_removed", F.array_join(F.transform("removed_lines", lambda x: x.cast("string")), ",").alias("removed_lines"), F.array_join(F.transform("first_docs", lambda x: x.cast("string")), ",").alias("first_docs"))
+
+
 def op3_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores(table(spark, sf_dir, "documents"))
 
@@ -63,6 +69,7 @@ def op10_additive_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_blocks": op1_line_blocks,
+    "op2_paragraph_bands": op2_paragraph_bands,
     "op3_backoff_automaton": op3_backoff_automaton,
     "op4_deobfuscation": op4_deobfuscation,
     "op5_repetition_coverage": op5_repetition_coverage,
@@ -92,6 +99,23 @@ FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 
 _SPACED = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
+OP2_SQL = f"""
+WITH RECURSIVE l AS (SELECT doc_id, i - 1 AS line, x[i] AS text FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents))),
+p AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id, line) AS id, doc_id, line, w FROM (SELECT doc_id, line, {_SPACED} AS w FROM l) WHERE len(w) >= 20),
+s AS MATERIALIZED (SELECT DISTINCT id, unnest(list_transform(range(1, CAST(len(w) - 3 AS BIGINT)), lambda i: array_to_string(w[i : i + 4], ' '))) AS g FROM p),
+n AS MATERIALIZED (SELECT id, count(*) AS n FROM s GROUP BY id),
+shared AS (SELECT a.id AS u, b.id AS v, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY ALL),
+links AS MATERIALIZED (SELECT u, v FROM shared JOIN n x ON x.id = u JOIN n y ON y.id = v WHERE 100 * k >= 80 * (x.n + y.n - k)),
+edges AS MATERIALIZED (SELECT u, v FROM links UNION SELECT v, u FROM links),
+reach AS (SELECT id AS u, id AS r FROM p UNION SELECT edges.v AS u, reach.r FROM reach JOIN edges ON edges.u = reach.u),
+c AS (SELECT u AS id, min(r) AS r FROM reach GROUP BY u),
+f AS (SELECT p.doc_id, p.line, p.id <> c.r AS gone, q.doc_id AS first_doc FROM p JOIN c USING (id) JOIN p q ON q.id = c.r),
+a AS (SELECT doc_id, count(*) AS n_paragraphs, count(*) FILTER (gone) AS n_removed, string_agg(CAST(line AS VARCHAR), ',' ORDER BY line) FILTER (gone) AS removed_lines FROM f GROUP BY doc_id),
+b AS (SELECT doc_id, string_agg(CAST(first_doc AS VARCHAR), ',' ORDER BY first_doc) AS first_docs FROM (SELECT DISTINCT doc_id, first_doc FROM f WHERE gone) GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n_paragraphs, 0) AS BIGINT) AS n_paragraphs, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(removed_lines, '') AS removed_lines, coalesce(first_docs, '') AS first_docs
+FROM documents d LEFT JOIN a USING (doc_id) LEFT JOIN b USING (doc_id)
+"""
+
 OP7_SQL = f"""
 WITH RECURSIVE d AS (SELECT doc_id, {_SPACED} AS w FROM documents),
 s AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
@@ -122,6 +146,7 @@ FROM d JOIN kept USING (doc_id) LEFT JOIN cnt USING (doc_id)
 """
 
 ORACLES: dict[str, str] = {
+    "op2_paragraph_bands": OP2_SQL,
     "op7_odd_sketch": OP7_SQL,
     "op8_positional_index": OP8_SQL,
     "op9_run_length_index": OP9_SQL,
