@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phasemill.llm import words as W
+from phasemill.llm.shared import settled
 
 #: Words of a phrase that must match in order.
 WINDOW = 13
 #: Bytes of benchmark text that are looked up in one pass; a longer benchmark takes several passes.
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 2_000_000
 INDEX = "keys binary, word_bounds binary, terms binary, term_bounds binary, postings binary"
 
 
@@ -239,16 +241,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", key
 
     contaminated: a hit, and 20 hit words or more in 400, that is 20 * n_hit >= n_words. Null and
     empty texts have no words. An empty benchmark hits nothing. The benchmark is read in slices of
-    SLICE_BYTES; with more than one slice each has its pass over the index and the runs are merged
-    per row. Rows that share a key are judged one by one when there is one slice; with more the
-    runs of rows with one key are merged, so give keys that are unique.
+    SLICE_BYTES; with more than one the index is written once, each slice has its pass over it and
+    the runs are merged per row. Rows that share a key are judged one by one when there is one
+    slice; with more the runs of rows with one key are merged, so give keys that are unique.
     """
     index, kind = build_index(docs, text, key), docs.schema[key].dataType.simpleString()
-    passes = [matches(index, phrases(s), kind) for s in slices(benchmark, item, item_text)] or [matches(index, phrases([]), kind)]
-    found = passes[0]
-    if len(passes) > 1:
-        for more in passes[1:]:
-            found = found.unionByName(more)
+    asked = slices(benchmark, item, item_text)
+    first, second = next(asked, []), next(asked, None)
+    found = matches(index, phrases(first), kind)
+    if second is not None:
+        index = settled(index, "index")
+        found = settled(matches(index, phrases(first), kind), "matches")
+        for part in chain([second], asked):
+            found = found.unionByName(settled(matches(index, phrases(part), kind).filter(F.size("spans") > 0), "matches"))
         found = found.groupBy("_key").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     covered = F.aggregate("spans", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end")), lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0), s["to"] - F.greatest(a["end"], s["from"]))).alias("n"), F.greatest(a["end"], s["to"]).alias("end")), lambda a: a["n"])
     return found.select(F.col("_key").alias(key), "n_words", "spans", "items", covered.alias("n_hit")).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
