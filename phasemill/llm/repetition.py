@@ -28,7 +28,9 @@ class RepetitionRules:
     windows: dict[int, float] = field(default_factory=lambda: {5: 0.30, 7: 0.25, 10: 0.20})
     #: largest share of characters in lines that repeat an earlier line, and of such lines
     dup_line_chars: float = 0.20
-    dup_lines: float = 0.30
+    dup_lines: float = 0.50
+    #: largest number of symbols for each word
+    symbols: float = 0.30
 
 
 COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, dup_line_share double, window_shares array<double>, base_failed boolean, kept boolean"
@@ -79,11 +81,12 @@ def measure(data: np.ndarray, offsets: np.ndarray, rules: RepetitionRules) -> di
 
     symbols = np.zeros(len(data) + 1, dtype=np.int64)
     np.cumsum(_SYMBOL[data], out=symbols[1:])
+    n_symbols = symbols[offsets[1:]] - symbols[offsets[:-1]]
     failed = (n_words < rules.least_words) | (100 * n_repeat > rules.most_repeat_percent * n_words)
-    good = (dup_chars <= rules.dup_line_chars) & (n_dup <= rules.dup_lines * n_lines)
+    good = (dup_chars <= rules.dup_line_chars) & (n_dup <= rules.dup_lines * n_lines) & (n_symbols <= rules.symbols * n_words)
     for k, most in enumerate(rules.windows.values()):
         good &= shares[:, k] <= most
-    return {"n_words": n_words, "word_chars": word_chars, "n_symbols": symbols[offsets[1:]] - symbols[offsets[:-1]], "n_dup_lines": n_dup, "n_repeat_words": n_repeat, "n_lines": n_lines, "dup_line_share": dup_chars, "window_shares": shares, "base_failed": failed, "kept": ~failed & good}
+    return {"n_words": n_words, "word_chars": word_chars, "n_symbols": n_symbols, "n_dup_lines": n_dup, "n_repeat_words": n_repeat, "n_lines": n_lines, "dup_line_share": dup_chars, "window_shares": shares, "base_failed": failed, "kept": ~failed & good}
 
 
 def repetition_coverage(docs: DataFrame, text: str = "text", key: str = "doc_id", rules: RepetitionRules = RepetitionRules()) -> DataFrame:
