@@ -31,9 +31,9 @@ ANCHOR = 40
 #: Bytes of a text that are cut at a time; a longer text is cut in pieces that overlap by WINDOW - 1.
 PIECE = 2_000_000
 #: Text whose stretches a block collects before it sends them.
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 12_000_000
 #: Text in a group of documents; there are as many groups of anchors.
-GROUP_BYTES = 16_000_000
+GROUP_BYTES = 6_000_000
 _PLACE_BITS = 22
 ENTRY = [("anchor", np.uint64), ("print", np.uint64), ("doc", np.int64), ("row", np.uint16), ("start", np.int64), ("count", np.uint8)]
 _MARKS = ("doc", "row", "start", "count")
@@ -327,22 +327,62 @@ def earlier_matches(anchor: np.ndarray, rank: np.ndarray, texts: list[bytes]) ->
     return found
 
 
+def _longest_shared(sides: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """Longest prefix that each row of bytes shares with another row of its number."""
+    width = sides.shape[1]
+    order = np.lexsort((np.ascontiguousarray(sides).view(f"S{width}").ravel(), number))
+    same = sides[order[1:]] == sides[order[:-1]]
+    shared = np.where(same.all(axis=1), width, np.argmin(same, axis=1))
+    shared[number[order[1:]] != number[order[:-1]]] = 0
+    out = np.zeros(len(order), dtype=np.int64)
+    out[order[1:]] = shared
+    out[order[:-1]] = np.maximum(out[order[:-1]], shared)
+    return out
+
+
+def trimmed(raw: np.ndarray, ends: np.ndarray, size: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches of one anchor that may share a window, and the part (from, to) of each that may.
+
+    A shared window holds the anchor and what the stretches have in common on either side of it, so
+    nothing beyond the longest such parts can match.
+    """
+    begin = ends - size
+    at = np.arange(max(0, len(raw) - ANCHOR + 1))
+    owner = np.searchsorted(ends, at, side="right")
+    hit = np.flatnonzero((W.span_hashes(raw, at, at + ANCHOR) == anchor[owner]) & (at + ANCHOR <= ends[owner]))
+    place = np.full(len(ends), -1, dtype=np.int64)
+    place[owner[hit][::-1]] = at[hit][::-1]  # the first in each
+    reach = np.arange(WINDOW - ANCHOR)
+    padded = np.concatenate([raw, np.zeros(1, dtype=np.uint8)])
+    sides = []
+    for where, inside in ((place[:, None] + ANCHOR + reach, lambda w: w < ends[:, None]), (place[:, None] - 1 - reach, lambda w: w >= begin[:, None])):
+        sides.append(_longest_shared(padded[np.where(inside(where), where, len(raw))], np.unique(anchor, return_inverse=True)[1]))
+    right, left = sides
+    keep = np.flatnonzero(left + ANCHOR + right >= WINDOW)
+    low, high = np.maximum(begin, place - left), np.minimum(ends, place + ANCHOR + right)
+    keep = keep[high[keep] - low[keep] >= WINDOW]
+    return keep, low[keep] - begin[keep], high[keep] - begin[keep]
+
+
 def _compare(groups: int):
     def compare(group: pa.Table) -> pa.Table:
         e = _received(group, ("anchor", *_MARKS))
         raw = b"".join(group.column("bytes").to_pylist())
         size = e["count"].astype(np.int64) + WINDOW - 1
         ends = np.cumsum(size)
-        order = np.lexsort((e["start"], e["row"], e["doc"], e["anchor"]))
-        texts = [raw[ends[i] - size[i] : ends[i]] for i in order]
-        e = {n: v[order] for n, v in e.items()}
+        keep, low, high = trimmed(np.frombuffer(raw, dtype=np.uint8), ends, size, e["anchor"])
+        order = np.lexsort((e["start"][keep], e["row"][keep], e["doc"][keep], e["anchor"][keep]))
+        keep, low, high = keep[order], low[order], high[order]
+        begin = (ends - size)[keep]
+        texts = [raw[b + x : b + y] for b, x, y in zip(begin.tolist(), low.tolist(), high.tolist(), strict=True)]
+        e = {n: v[keep] for n, v in e.items()}
         new = np.ones(len(order), dtype=bool)
         new[1:] = e["anchor"][1:] != e["anchor"][:-1]
         number = np.cumsum(new) - 1
         at = np.flatnonzero(new)
         found = earlier_matches(number, np.arange(len(order)) - at[number], texts) if len(order) else []
         which = np.repeat(np.arange(len(found)), [len(f) for f in found]).astype(np.int64)
-        starts = np.concatenate([np.zeros(0, dtype=np.int64), *found])
+        starts = np.concatenate([np.zeros(0, dtype=np.int64), *found]) + low[which]
         edge = np.ones(len(starts), dtype=bool)
         edge[1:] = (which[1:] != which[:-1]) | (starts[1:] != starts[:-1] + 1)
         first = np.flatnonzero(edge)
@@ -388,7 +428,7 @@ def _fetch(groups: int):
     return fetch
 
 
-def _remove(key: str, kind: str):
+def _remove(key: str, carry: tuple[str, ...]):
     def remove(docs: pa.Table, marks: pa.Table) -> pa.Table:
         e = _received(marks, _MARKS)
         out: dict[str, list] = {n: [] for n in ("n_bytes", "n_removed", "spans", "kept_sha256", "kept_text")}
@@ -412,13 +452,13 @@ def _remove(key: str, kind: str):
             out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
             out["kept_text"].append(None if text is None else kept.decode(errors="ignore"))
         types = [pa.int64(), pa.int64(), pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())])), pa.string(), pa.string()]
-        return pa.table([docs.column("_doc"), *(pa.array(v, t) for v, t in zip(out.values(), types, strict=True))], names=[key, *out])
+        return pa.table([docs.column("_doc"), *(pa.array(v, t) for v, t in zip(out.values(), types, strict=True)), *(docs.column(f"_carry_{c}") for c in carry)], names=[key, *out, *carry])
 
     return remove
 
 
-def repeated_bytes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row per row of docs: key, n_bytes, n_removed, spans (removed runs, in bytes), kept_sha256, kept_text.
+def repeated_bytes(docs: DataFrame, text: str = "text", key: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of docs: key, n_bytes, n_removed, spans (removed runs, in bytes), kept_sha256, kept_text and the carried columns.
 
     A byte is removed if it lies in a 100-byte string of its text that also starts earlier: in a
     text of a smaller key or earlier in the same text; this is judged on the input. kept_text is
@@ -432,9 +472,11 @@ def repeated_bytes(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     slim = docs.select(F.col(key).alias("_doc"), F.col(text).alias("_text"), F.pmod(F.xxhash64(F.col(text)), F.lit(65536)).cast("int").alias("_row"))
     sent = _cut(slim.filter("_text IS NOT NULL"), groups)
     first = settled(sent.filter("kind = 0").groupBy("bucket").applyInArrow(_settle_equal(groups), _PACKED), "equal")
-    grouped = slim.withColumn("_group", F.coalesce(F.pmod(F.col("_doc"), F.lit(groups)).cast("int"), F.lit(-1)))
+    whole = docs.select(F.col(key).alias("_doc"), F.col(text).alias("_text"), F.pmod(F.xxhash64(F.col(text)), F.lit(65536)).cast("int").alias("_row"), *(F.col(c).alias(f"_carry_{c}") for c in carry))
+    grouped, carrying = (d.withColumn("_group", F.coalesce(F.pmod(F.col("_doc"), F.lit(groups)).cast("int"), F.pmod(F.xxhash64("_text"), F.lit(groups)).cast("int"))) for d in (slim, whole))
     wanted = grouped.groupBy("_group").cogroup(first.filter("kind = 2").withColumnRenamed("bucket", "_group").groupBy("_group"))
     second = wanted.applyInArrow(_fetch(groups), _PACKED).groupBy("bucket").applyInArrow(_compare(groups), _PACKED)
     marks = settled(sent.filter("kind = 1").union(first.filter("kind = 1")).union(second), "marks").withColumnRenamed("bucket", "_group")
     schema = f"`{key}` {kind}, n_bytes long, n_removed long, spans array<struct<from:long,to:long>>, kept_sha256 string, kept_text string"
-    return grouped.groupBy("_group").cogroup(marks.groupBy("_group")).applyInArrow(_remove(key, kind), schema)
+    schema += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return carrying.groupBy("_group").cogroup(marks.groupBy("_group")).applyInArrow(_remove(key, carry), schema)
