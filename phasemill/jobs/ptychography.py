@@ -297,11 +297,12 @@ def power_iteration(s: Setup) -> DataFrame:
     return _rounded(gram.leading(kept(gram.preconditioned(h, s.cells, N)), s.scan, _STEPS, kept), "re", "im")
 
 
-_SYNC = _WAVES + """,
-spun AS MATERIALIZED (SELECT fid, y, x, o.re * f.re - o.im * f.im AS re, o.re * f.im + o.im * f.re AS im FROM waves f JOIN omega o USING (fid)),
-lefts AS MATERIALIZED (SELECT fid, y, x, p.re * f.re + p.im * f.im AS re, p.re * f.im - p.im * f.re AS im FROM spun f JOIN probe p USING (y, x)),
+_LEFT_RIGHT = """
+lefts AS MATERIALIZED (SELECT fid, y, x, p.re * f.re + p.im * f.im AS re, p.re * f.im - p.im * f.re AS im FROM {0} f JOIN probe p USING (y, x)),
 nrm AS MATERIALIZED (SELECT pix, sum(re * re + im * im) AS n FROM mapid JOIN probe USING (y, x) GROUP BY pix),
 rights AS MATERIALIZED (SELECT fid, y, x, re / n AS re, im / n AS im FROM lefts JOIN mapid USING (fid, y, x) JOIN nrm USING (pix))"""
+_SYNC = _WAVES + """,
+spun AS MATERIALIZED (SELECT fid, y, x, o.re * f.re - o.im * f.im AS re, o.re * f.im + o.im * f.re AS im FROM waves f JOIN omega o USING (fid)),""" + _LEFT_RIGHT.format("spun")
 
 
 @_query(_TURNED, _SYNC + "," + _PAIRS + "," + _FULL.format(_GRAM.format("lefts", "rights"), "spun") + "," + _POWER)
@@ -320,9 +321,9 @@ def _iterated(steps: int) -> str:
     return out
 
 
-def _solved(s: Setup, steps: int) -> tuple[DataFrame, DataFrame]:
+def _solved(s: Setup, steps: int, power_steps: int = 0) -> tuple[DataFrame, DataFrame]:
     ones = s.image.select("pix", F.lit(1.0).alias("re"), F.lit(0.0).alias("im"))
-    return solvers.alternating_projections(s.scan, kept(_data(s)), s.probe, s.width, steps, ones, s.image, kept)
+    return solvers.alternating_projections(s.scan, kept(_data(s)), s.probe, s.width, steps, ones, s.image, kept, power_steps)
 
 
 @_query(f"SELECT pix, {_round('re', 'im')} FROM i1", _DATA + "," + _iterated(1))
@@ -330,6 +331,17 @@ def ap_step(s: Setup) -> DataFrame:
     return _rounded(_solved(s, 1)[0], "re", "im")
 
 
+_IN_PHASE = _LEFT_RIGHT.format("b0") + "," + _PAIRS + "," + _FULL.format(_GRAM.format("lefts", "rights"), "b0") + "," + _POWER + f""",
+om AS ({_TURNED.replace("round(", "(").replace(", 6) + 0.0", ")")}),
+c0 AS (SELECT fid, y, x, o.re * f.re - o.im * f.im AS re, o.re * f.im + o.im * f.re AS im FROM b0 f JOIN om o USING (fid)),
+j1 AS ({_PROJECTED.format("c0")})"""
+
+
+@_query(f"SELECT pix, {_round('re', 'im')} FROM j1", _DATA + "," + _iterated(1) + "," + _IN_PHASE)
+def ap_synchronized_step(s: Setup) -> DataFrame:
+    return _rounded(_solved(s, 1, _STEPS)[0], "re", "im")
+
+
 _MSE = "SELECT sqrt(greatest(0, aa + bb - 2 * sqrt(re * re + im * im))) AS mse FROM (SELECT sum(b.re * a.re + b.im * a.im) AS re, sum(b.re * a.im - b.im * a.re) AS im, sum(a.re * a.re + a.im * a.im) AS aa, sum(b.re * b.re + b.im * b.im) AS bb FROM {0} a JOIN {1} b USING (pix))"
 _NORMS = "(SELECT sqrt(sum(intensity)) AS frames_norm, sqrt(sum(intensity)) / 8 AS frames_norm_r FROM data), (SELECT sqrt(sum(re * re + im * im)) AS truth_norm FROM image)"
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from phasemill.functions import cplx
-from phasemill.operators import dense, frames, geometry, prox
+from phasemill.operators import dense, frames, geometry, gram, prox
 
 
 def distance(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -64,7 +64,7 @@ def refined_probe(image_cells: DataFrame, cells: DataFrame, probe: np.ndarray, s
     return held.select("y", "x", *(((F.col(c) + F.col("k") * F.col("eps") * F.col(f"p_{c}")) / (F.col("n") + F.col("eps"))).alias(c) for c in ("re", "im")))
 
 
-def alternating_projections(scan: DataFrame, data: DataFrame, probe: np.ndarray, width: int, steps: int, image: DataFrame, truth: DataFrame | None = None, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
+def alternating_projections(scan: DataFrame, data: DataFrame, probe: np.ndarray, width: int, steps: int, image: DataFrame, truth: DataFrame | None = None, keep: Callable[[DataFrame], DataFrame] = lambda df: df, power_steps: int = 0, refine_from: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(image, residuals) after so many steps from an image (pix, re, im).
 
     Each step gives the frames the measured moduli, sums them up to an image and cuts frames from it
@@ -78,7 +78,15 @@ def alternating_projections(scan: DataFrame, data: DataFrame, probe: np.ndarray,
     for i in range(steps):
         before = prox.data_residual(waves, data, n)
         fitted = keep(prox.project_data(waves, data, n))
+        if power_steps:
+            cells = keep(dense.long(fitted, n))
+            omega = gram.synchronized(cells, scan, probe, width, power_steps, keep)
+            fitted = keep(dense.packed(frames.stacked(cells, omega), n))
         image = keep(frames.projected(dense.long(fitted, n), scan, probe, width))
+        if refine_from is not None and i >= refine_from:
+            windows = frames.split(geometry.frame_pixels(scan, n, width), image)
+            new = refined_probe(windows, dense.long(fitted, n), probe).orderBy("y", "x").collect()
+            probe = np.array([r["re"] + 1j * r["im"] for r in new]).reshape(n, n)
         waves = keep(exit_waves(image, scan, probe, width))
         off = distance(truth, image) if truth is not None else before.select(F.lit(0.0).alias("mse"))
         row = before.crossJoin(off).crossJoin(step_norm(waves, fitted).withColumnRenamed("r", "s")).crossJoin(size)

@@ -167,6 +167,15 @@ def test_alternating_projections_lower_the_residuals(spark):
     assert len(got) == 4 and got[-1][0] < got[0][0] and got[-1][1] < got[0][1]
 
 
+def test_refinement_within_the_solver_keeps_the_scale(spark):
+    scan, width, image, *_, probe = _small(spark, 4)
+    data = P.kept(dense.intensities(solvers.exit_waves(image, scan, probe, width), N))
+    ones = image.select("pix", F.lit(1.0).alias("re"), F.lit(0.0).alias("im"))
+    _, rows = solvers.alternating_projections(scan, data, probe, width, 4, ones, image, P.kept, refine_from=1)
+    got = [r.r_data for r in rows.orderBy("iter").collect()]
+    assert got[-1] < got[0]
+
+
 def test_refined_probe(spark):
     scan, width, image, *_, probe = _small(spark, 4)
     cells = frames.split(geometry.frame_pixels(scan, N, width), image)
