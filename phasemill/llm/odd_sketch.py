@@ -131,10 +131,13 @@ def differing(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, text: str, key: str, plan: Plan) -> DataFrame:
-    """The pairs (u, v) of keys whose texts have 100 * shared >= percent * all shingles, on whole sets."""
-    asked = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct()
-    texts = settled(docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(asked, "id", "left_semi").dropDuplicates(), "texts")
+def texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows (id, text) of some ids, by a shuffle at every size: neither side has a bound."""
+    return texts.join(ids.distinct().hint("merge"), "id", "left_semi")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
+    """The pairs (u, v) of ids whose texts have 100 * shared >= percent * all shingles, on whole sets."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,9 +157,9 @@ def verified(pairs: DataFrame, docs: DataFrame, text: str, key: str, plan: Plan)
                 keep = pa.array(100 * same >= plan.percent * (total - same))
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["u", "v"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    left = pairs.join(texts.select(F.col("id").alias("u"), F.col("text").alias("left")), "u")
-    both = left.join(texts.select(F.col("id").alias("v"), F.col("text").alias("right")), "v")
+    kind = texts.schema["id"].dataType.simpleString()
+    left = pairs.join(texts.select(F.col("id").alias("u"), F.col("text").alias("left")).hint("merge"), "u")
+    both = left.join(texts.select(F.col("id").alias("v"), F.col("text").alias("right")).hint("merge"), "v")
     return both.select("u", "v", "left", "right").mapInArrow(check, f"u {kind}, v {kind}")
 
 
@@ -170,8 +173,8 @@ def joined_sets(column: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def _fine(docs: DataFrame, ids: DataFrame, text: str, key: str, plan: Plan) -> DataFrame:
-    """id and larger odd sketch of the asked documents."""
+def _fine(texts: DataFrame, plan: Plan) -> DataFrame:
+    """id and larger odd sketch of texts."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,28 +183,33 @@ def _fine(docs: DataFrame, ids: DataFrame, text: str, key: str, plan: Plan) -> D
                 odd = odd_sketches(*minima(keys, bounds, plan.fine_samples), last - first, plan.fine_bits)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), _lists(odd)], names=["id", "odd"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    asked = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(ids, "id", "left_semi")
-    return asked.mapInArrow(sketch, f"id {kind}, odd array<long>")
+    kind = texts.schema["id"].dataType.simpleString()
+    return texts.select("id", "text").mapInArrow(sketch, f"id {kind}, odd array<long>")
 
 
 def _across(members: DataFrame, plan: Plan) -> DataFrame:
-    """Pairs (u, v) of one bucket but different components that the larger sketches let pass; members: bucket, n, id, component, odd."""
+    """Pairs (u, v) of one bucket but different components that the larger sketches let pass, each in the first band that it shares.
+
+    members: bucket, band, n, id, component, bands, odd.
+    """
     small, large = members.filter(F.col("n") <= plan.joined), members.filter(F.col("n") > plan.joined)
-    other = small.select("bucket", F.col("id").alias("v"), F.col("component").alias("c"), F.col("odd").alias("odd_v"))
-    pairs = small.join(other, "bucket").filter((F.col("component") < F.col("c")) & (differing("odd", "odd_v") <= plan.most_fine_bits())).select(F.col("id").alias("u"), "v")
+    other = small.select("bucket", F.col("id").alias("v"), F.col("component").alias("c"), F.col("bands").alias("bands_v"), F.col("odd").alias("odd_v"))
+    first = F.array_position(F.zip_with("bands", "bands_v", lambda x, y: x == y), True) == F.col("band") + 1
+    pairs = small.join(other, "bucket").filter((F.col("component") < F.col("c")) & first & (differing("odd", "odd_v") <= plan.most_fine_bits())).select(F.col("id").alias("u"), "v")
     sliced = large.withColumn("slices", F.ceil(F.col("n") / plan.slice)).withColumn("i", F.pmod(F.xxhash64("id"), F.col("slices")))
     spread = sliced.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
-    dealt = spread.select("bucket", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "id", F.xxhash64("component").alias("of"), "odd")
+    dealt = spread.select("bucket", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "id", F.xxhash64("component").alias("of"), "band", "bands", "odd")
     most = plan.most_fine_bits()
 
     def compare(group: pa.Table) -> pa.Table:
         ids, comp = group.column("id").combine_chunks(), group.column("of").to_numpy()
         odd = np.stack(group.column("odd").to_pylist()).astype(np.int64).view(np.uint64)
+        bands, band = np.stack(group.column("bands").to_pylist()), group.column("band")[0].as_py()
         u, v = [], []
         for n in range(len(odd) - 1):
             near = np.bitwise_count(odd[n + 1 :] ^ odd[n]).sum(axis=1) <= most
             hit = np.flatnonzero(near & (comp[n + 1 :] != comp[n])) + n + 1
+            hit = hit[np.argmax(bands[hit] == bands[n], axis=1) == band]
             u += [n] * len(hit)
             v += hit.tolist()
         return pa.table({"u": ids.take(pa.array(u, pa.int64())), "v": ids.take(pa.array(v, pa.int64()))})
@@ -223,24 +231,26 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", pl
     signed = settled(signatures(docs, text, key, plan), "signatures")
     full = signed.filter("n_shingles > 0 AND id IS NOT NULL")
     classes = settled(full.groupBy("p", "q", "n_shingles").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("odd").alias("odd")), "classes")
-    banded = classes.select("id", F.posexplode("bands").alias("band", "value")).select("id", F.xxhash64("band", "value").alias("bucket"))
+    banded = classes.select("id", F.posexplode("bands").alias("band", "value")).select("id", "band", F.xxhash64("band", "value").alias("bucket"))
     leads = settled(banded.groupBy("bucket").agg(F.min("id").alias("lead"), F.count("*").alias("n")).filter("n > 1"), "leads")
     members = settled(banded.join(leads, "bucket"), "members")
     star = members.filter("id <> lead").select(F.col("lead").alias("u"), F.col("id").alias("v")).distinct()
     odd = classes.select("id", "odd")
     close = star.join(odd.select(F.col("id").alias("u"), F.col("odd").alias("odd_u")), "u").join(odd.select(F.col("id").alias("v"), F.col("odd").alias("odd_v")), "v").filter(differing("odd_u", "odd_v") <= plan.most_bits())
-    links = settled(verified(settled(close.select("u", "v"), "pairs"), docs, text, key, plan), "links")
+    # every later check reads texts of these only, so they are fetched once
+    texts = settled(texts_of(docs.select(F.col(key).alias("id"), F.col(text).alias("text")), members.select("id")).dropDuplicates(), "texts")
+    links = settled(verified(settled(close.select("u", "v"), "pairs"), texts, plan), "links")
     # classes that share a key are one node too
     own = full.join(classes.select("p", "q", "n_shingles", F.col("id").alias("class")), ["p", "q", "n_shingles"]).select("id", "class", "n_shingles").distinct()
     same = own.filter("id <> class").select(F.col("class").alias("u"), F.col("id").alias("v"))
     first = components(links)
     placed = members.join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("bucket")
-    left = settled(placed.join(mixed, "bucket", "left_semi").select("bucket", "n", "id", "component"), "left")
-    fine = settled(_fine(docs, left.select("id").distinct(), text, key, plan), "fine")
-    rest = settled(_across(left.join(fine, "id"), plan), "rest")
+    left = settled(placed.join(mixed, "bucket", "left_semi").select("bucket", "band", "n", "id", "component"), "left")
+    fine = settled(_fine(texts_of(texts, left.select("id")), plan), "fine")
+    rest = settled(_across(left.join(fine, "id").join(classes.select("id", "bands"), "id"), plan), "rest")
     if not rest.isEmpty():
-        links = links.union(settled(verified(rest, docs, text, key, plan), "links"))
+        links = links.union(settled(verified(rest, settled(texts_of(texts, rest.select(F.explode(F.array("u", "v")).alias("id"))), "texts"), plan), "links"))
     last = components(links.union(same))
     out = signed.select("id", "n_shingles").join(last, "id", "left").withColumn("component", F.when(F.col("n_shingles") > 0, F.coalesce("component", "id")).otherwise(F.col("id")))
     return out.select(F.col("id").alias(key), "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("component") == F.col("id"), F.lit(True)).alias("kept"))
