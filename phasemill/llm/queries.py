@@ -12,7 +12,7 @@ from phasemill.llm.deobfuscate import toxicity
 from phasemill.llm.gam import quality
 from phasemill.llm.html_blocks import extracted
 from phasemill.llm.odd_sketch import near_duplicates
-from phasemill.llm.paragraph_dedup import paragraph_dedup
+from phasemill.llm.paragraph_dedup import repeated_paragraphs
 from phasemill.llm.pfair import mixed
 from phasemill.llm.positional_index import contamination
 from phasemill.llm.repetition import repetition_coverage
@@ -28,8 +28,8 @@ def op1_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_paragraph_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = paragraph_dedup(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_paragraphs", "n_removed", F.array_join(F.transform("removed_lines", lambda x: x.cast("string")), ",").alias("removed_lines"), F.array_join(F.transform("first_docs", lambda x: x.cast("string")), ",").alias("first_docs"))
+    found = repeated_paragraphs(table(spark, sf_dir, "documents"))
+    return found.filter(~F.col("kept")).select(F.col("doc").alias("doc_id"), "line", F.col("first_doc").alias("first_doc_id"), "first_line")
 
 
 def op3_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,12 +108,8 @@ shared AS (SELECT a.id AS u, b.id AS v, count(*) AS k FROM s a JOIN s b ON a.g =
 links AS MATERIALIZED (SELECT u, v FROM shared JOIN n x ON x.id = u JOIN n y ON y.id = v WHERE 100 * k >= 80 * (x.n + y.n - k)),
 edges AS MATERIALIZED (SELECT u, v FROM links UNION SELECT v, u FROM links),
 reach AS (SELECT id AS u, id AS r FROM p UNION SELECT edges.v AS u, reach.r FROM reach JOIN edges ON edges.u = reach.u),
-c AS (SELECT u AS id, min(r) AS r FROM reach GROUP BY u),
-f AS (SELECT p.doc_id, p.line, p.id <> c.r AS gone, q.doc_id AS first_doc FROM p JOIN c USING (id) JOIN p q ON q.id = c.r),
-a AS (SELECT doc_id, count(*) AS n_paragraphs, count(*) FILTER (gone) AS n_removed, string_agg(CAST(line AS VARCHAR), ',' ORDER BY line) FILTER (gone) AS removed_lines FROM f GROUP BY doc_id),
-b AS (SELECT doc_id, string_agg(CAST(first_doc AS VARCHAR), ',' ORDER BY first_doc) AS first_docs FROM (SELECT DISTINCT doc_id, first_doc FROM f WHERE gone) GROUP BY doc_id)
-SELECT d.doc_id, CAST(coalesce(n_paragraphs, 0) AS BIGINT) AS n_paragraphs, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(removed_lines, '') AS removed_lines, coalesce(first_docs, '') AS first_docs
-FROM documents d LEFT JOIN a USING (doc_id) LEFT JOIN b USING (doc_id)
+c AS (SELECT u AS id, min(r) AS r FROM reach GROUP BY u)
+SELECT p.doc_id, CAST(p.line AS BIGINT) AS line, q.doc_id AS first_doc_id, CAST(q.line AS BIGINT) AS first_line FROM p JOIN c USING (id) JOIN p q ON q.id = c.r WHERE p.id <> c.r
 """
 
 OP7_SQL = f"""
