@@ -9,6 +9,7 @@ word-beginning features of the restored text then scores each document.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 from phasemill.llm import words as W
 from phasemill.llm.gam import held_out, sampled
+from phasemill.llm.shared import settled
 
 #: Letters that a sign may stand for, as fixed values.
 LEET = {
@@ -50,6 +52,14 @@ _CLASS[192:256] = 92 + np.arange(64) % 32
 _BITS = 7
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z and the capitals of Latin-1 in lower case."""
+    low = W.LOWER[data]
+    capital = np.flatnonzero((low[:-1] == 0xC3) & (low[1:] >= 0x80) & (low[1:] <= 0x9E) & (low[1:] != 0x97)) + 1
+    low[capital] += 32
+    return low
+
+
 def letter_counts(docs: DataFrame, text: str) -> DataFrame:
     """(code, n): trigrams of byte classes over all whole texts; at most 2^21 rows, whatever the corpus."""
 
@@ -58,7 +68,7 @@ def letter_counts(docs: DataFrame, text: str) -> DataFrame:
         for batch in batches:
             for _, _, data, offsets in W.blocks(batch.column(0)):
                 c = np.zeros(len(data) + len(offsets) + 1, dtype=np.int64)  # a place without letter between rows
-                c[np.arange(len(data)) + 1 + W.row_of(offsets)] = _CLASS[W.LOWER[data]]
+                c[np.arange(len(data)) + 1 + W.row_of(offsets)] = _CLASS[lowered(data)]
                 pair = (c[:-1] << _BITS) | c[1:]
                 codes = (pair[:-1] << _BITS) | c[2:]
                 total += np.bincount(codes[(codes & 0x3FFF) > 0], minlength=len(total))
@@ -138,6 +148,8 @@ class Read:
     hashes: np.ndarray
 
 
+#: Runs of letters within a word that are read as words too.
+PARTS = re.compile(r"[^\W\d_]{4,}")
 #: Letters that a spaced-out word may have.
 SPACED_LETTERS = range(3, 17)
 #: Bytes at a word's beginning that are features of their own.
@@ -156,7 +168,7 @@ def _spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.ndar
 
 def read(data: np.ndarray, offsets: np.ndarray, letters: Letters, known: dict[str, str]) -> Read:
     """Word features of the restored text of each row; known: words restored before."""
-    low = W.LOWER[data]
+    low = lowered(data)
     starts, ends, bounds = W.segment(low, offsets, W.SPACED)
     rows = W.row_of(bounds)
     solid = _LETTER[low] | _DIGIT[low]
@@ -200,9 +212,10 @@ def read(data: np.ndarray, offsets: np.ndarray, letters: Letters, known: dict[st
 
     body = low.tobytes()
     for i in np.flatnonzero(strange):
-        if got := restore(body[core[i] : core_end[i]].decode(errors="ignore")):
-            out_words.append(got)
-            out_rows.append(int(rows[i]))
+        word = body[core[i] : core_end[i]].decode(errors="ignore")
+        whole = {restore(word), *PARTS.findall(word)} - {""}  # signs may also join words, as in l'un or one-two
+        out_words += sorted(whole)
+        out_rows += [int(rows[i])] * len(whole)
     for a, b in spaced:  # where the spaced word begins and ends isn't known: all its parts count
         got = restore("".join(body[core[i] : core_end[i]].decode(errors="ignore") for i in range(a, b)))
         parts = {got[i : i + n] for n in SPACED_LETTERS for i in range(len(got) - n + 1)}
@@ -260,12 +273,12 @@ def fit(rows: np.ndarray, places: np.ndarray, y: np.ndarray, width: int, steps:
     return w
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", threshold: float = 0.7, sample: int = 20_000, width: int = 4096) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", threshold: float = 0.7, sample: int = 20_000, width: int = 4096, least_gain: float = 8.0) -> DataFrame:
     """One row per row of docs: key, held_out, score (0 to 1), predicted (score >= threshold).
 
     The character model counts all texts. Features are chosen and weighed on about `sample`
     labelled rows at most whose crc32(key as text) mod 3 is not 1: the `width` words and word
-    beginnings that tell the labels apart best. Null and empty texts get the score of a text without
+    beginnings that tell the labels apart best, of those with a log-likelihood gain of `least_gain`. Null and empty texts get the score of a text without
     any of them; rows with a null key are scored too. Rows whose label is null or not 0 or 1 are not
     learned from; with labels of one kind only, or none, every score is the smoothed share of label
     1. Rows that repeat are scored alike. No rows give no rows.
@@ -275,7 +288,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
     letters = spark.sparkContext.broadcast(Letters(counted["code"].to_numpy(np.int64), counted["n"].to_numpy(np.float64)))
     marked = labels.select(F.col(key), F.col(label).cast("int").alias("_label")).filter("_label IN (0, 1)").filter(~held_out(key))
     chosen = sampled(marked, key, sample)
-    taught = docs.select(F.col(key), F.col(text).alias("_text")).join(chosen, key)
+    # the sample's size is bounded, so the texts need not be shuffled to meet it
+    taught = settled(docs.select(F.col(key), F.col(text).alias("_text")).join(F.broadcast(chosen), key).select("_text", "_label"), "taught")
 
     def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, str] = {}
@@ -287,13 +301,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
                 one = np.bincount(inverse, weights=y, minlength=len(hashes)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(one), pa.array(np.bincount(inverse, minlength=len(hashes)) - one)], names=["feature", "one", "zero"])
 
-    table = taught.select("_text", "_label").mapInArrow(differences, "feature long, one long, zero long").groupBy("feature").agg(F.sum("one").alias("one"), F.sum("zero").alias("zero"))
+    table = taught.mapInArrow(differences, "feature long, one long, zero long").groupBy("feature").agg(F.sum("one").alias("one"), F.sum("zero").alias("zero"))
     counts = chosen.agg(F.sum("_label"), F.count("*")).first()
     ones, total = int(counts[0] or 0), int(counts[1])
     part = lambda n, of: F.when(n > 0, n * F.log(n / of)).otherwise(0.0)
     n, one, zero = F.col("one") + F.col("zero"), F.col("one").cast("double"), F.col("zero").cast("double")
     gain = part(one, n * (ones / max(total, 1))) + part(zero, n * ((total - ones) / max(total, 1)))
-    best = table.filter("one + zero >= 4").withColumn("gain", gain).orderBy(F.desc("gain"), "feature").limit(width).select("feature").toPandas() if 0 < ones < total else None
+    best = table.filter("one + zero >= 4").withColumn("gain", gain).filter(F.col("gain") >= least_gain).orderBy(F.desc("gain"), "feature").limit(width).select("feature").toPandas() if 0 < ones < total else None
     lookup = spark.sparkContext.broadcast(Lookup(np.sort(best["feature"].to_numpy(np.int64).view(np.uint64)) if best is not None else np.zeros(0, dtype=np.uint64)))
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,7 +319,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(first, last - first), pa.ListArray.from_arrays(pa.array(ends), pa.array(at.astype(np.int32)))], names=["label", "places"])
 
     size = len(lookup.value.hashes)
-    seen = taught.select("_text", "_label").mapInArrow(places, "label int, places array<int>").toPandas() if size else None
+    seen = taught.mapInArrow(places, "label int, places array<int>").toPandas() if size else None
     y = seen["label"].to_numpy(np.float64) if size else np.array([1.0] * ones + [0.0] * (total - ones))
     lengths = seen["places"].map(len).to_numpy() if size else np.zeros(len(y), dtype=np.int64)
     flat = np.concatenate([np.zeros(0, dtype=np.int64), *(np.asarray(p, dtype=np.int64) for p in (seen["places"] if size else []))])
