@@ -108,7 +108,7 @@ def _blocks(docs: DataFrame, text: str, key: str) -> DataFrame:
             yield out()
 
     share = F.coalesce(F.pmod(F.crc32(F.col(key).cast("string")), F.lit(10)) == 0, F.lit(False))
-    return docs.select(F.col(key), share.alias("held"), F.col(text), F.spark_partition_id().alias("part")).mapInArrow(cut, "block string, docs binary, lengths binary, words binary, ids binary")
+    return docs.select(F.col(key), share.alias("held"), F.col(text), F.spark_partition_id().alias("part")).mapInArrow(W.tidy(cut), "block string, docs binary, lengths binary, words binary, ids binary")
 
 
 def _opened(row: dict) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
@@ -134,7 +134,7 @@ def _asked(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
                     columns += [pa.array([pack(np.diff(grams.keys[at[b] : at[b + 1]], prepend=np.uint64(0))) for b in some], pa.binary()), pa.array([pack(counts[at[b] : at[b + 1]]) for b in some], pa.binary())]
                     yield pa.RecordBatch.from_arrays(columns, names=["block", "k", "bucket", "keys", "counts"])
 
-    return blocks.mapInArrow(ask, "block string, k int, bucket int, keys binary, counts binary")
+    return blocks.mapInArrow(W.tidy(ask), "block string, k int, bucket int, keys binary, counts binary")
 
 
 def _answer(group: pa.Table) -> pa.Table:
@@ -248,7 +248,7 @@ def scores(docs: DataFrame, text: str = "text", key: str = "doc_id", order: int
     blocks = settled(_blocks(docs, text, key), "lm-blocks")
     size = blocks.agg(F.sum(F.octet_length("ids") + F.octet_length("words"))).first()[0] or 0
     buckets = int(max(4, -(-size * order // BUCKET_KEYS)))
-    answers = settled(_asked(blocks, order, buckets).groupBy("k", "bucket").applyInArrow(_answer, "block string, k int, bucket int, counts binary, known long, once long, twice long, total long"), "lm-answers")
+    answers = settled(_asked(blocks, order, buckets).groupBy("k", "bucket").applyInArrow(W.tidy_group(_answer), "block string, k int, bucket int, counts binary, known long, once long, twice long, total long"), "lm-answers")
     of = answers.filter("k = 1").agg(F.sum("known"), F.sum("once"), F.sum("twice"), F.sum("total")).first()
     known, once, twice, total = (int(x or 0) for x in of)
     discount = once / (once + 2 * twice) if once and twice else 0.5
@@ -274,4 +274,4 @@ def scores(docs: DataFrame, text: str = "text", key: str = "doc_id", order: int
         return pa.concat_tables(out)
 
     schema = f"`{key}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return blocks.groupBy("block").cogroup(answers.select("block", "k", "bucket", "counts").groupBy("block")).applyInArrow(score, schema)
+    return blocks.groupBy("block").cogroup(answers.select("block", "k", "bucket", "counts").groupBy("block")).applyInArrow(W.tidy_pair(score), schema)

@@ -75,7 +75,7 @@ def letter_counts(docs: DataFrame, text: str) -> DataFrame:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["code", "n"])
 
-    return docs.select(F.col(text)).mapInArrow(count, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return docs.select(F.col(text)).mapInArrow(W.tidy(count), "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 class Letters:
@@ -150,6 +150,8 @@ class Read:
 
 #: Runs of letters within a word that are read as words too.
 PARTS = re.compile(r"[^\W\d_]{4,}")
+#: Text whose features are counted at a time: each word gives up to six.
+TAUGHT_BYTES = 300_000
 #: Letters that a spaced-out word may have.
 SPACED_LETTERS = range(3, 17)
 #: Bytes at a word's beginning that are features of their own.
@@ -294,14 +296,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
     def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, str] = {}
         for batch in batches:
-            for first, last, data, offsets in W.blocks(batch.column(0)):
+            for first, last, data, offsets in W.blocks(batch.column(0), TAUGHT_BYTES):
                 got = _distinct(read(data, offsets, letters.value, known))
                 y = batch.column(1).slice(first, last - first).to_numpy()[got.rows]
                 hashes, inverse = np.unique(got.hashes, return_inverse=True)
                 one = np.bincount(inverse, weights=y, minlength=len(hashes)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(one), pa.array(np.bincount(inverse, minlength=len(hashes)) - one)], names=["feature", "one", "zero"])
 
-    table = taught.mapInArrow(differences, "feature long, one long, zero long").groupBy("feature").agg(F.sum("one").alias("one"), F.sum("zero").alias("zero"))
+    table = taught.mapInArrow(W.tidy(differences), "feature long, one long, zero long").groupBy("feature").agg(F.sum("one").alias("one"), F.sum("zero").alias("zero"))
     counts = chosen.agg(F.sum("_label"), F.count("*")).first()
     ones, total = int(counts[0] or 0), int(counts[1])
     part = lambda n, of: F.when(n > 0, n * F.log(n / of)).otherwise(0.0)
@@ -319,7 +321,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(first, last - first), pa.ListArray.from_arrays(pa.array(ends), pa.array(at.astype(np.int32)))], names=["label", "places"])
 
     size = len(lookup.value.hashes)
-    seen = taught.mapInArrow(places, "label int, places array<int>").toPandas() if size else None
+    seen = taught.mapInArrow(W.tidy(places), "label int, places array<int>").toPandas() if size else None
     y = seen["label"].to_numpy(np.float64) if size else np.array([1.0] * ones + [0.0] * (total - ones))
     lengths = seen["places"].map(len).to_numpy() if size else np.zeros(len(y), dtype=np.int64)
     flat = np.concatenate([np.zeros(0, dtype=np.int64), *(np.asarray(p, dtype=np.int64) for p in (seen["places"] if size else []))])
@@ -334,4 +336,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), batch.column(1).slice(first, last - first), pa.array(got), pa.array((got >= threshold).astype(np.int32))], names=[key, "held_out", "score", "predicted"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key), held_out(key).alias("_held"), F.col(text)).mapInArrow(score, f"`{key}` {kind}, held_out boolean, score double, predicted int")
+    return docs.select(F.col(key), held_out(key).alias("_held"), F.col(text)).mapInArrow(W.tidy(score), f"`{key}` {kind}, held_out boolean, score double, predicted int")

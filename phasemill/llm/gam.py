@@ -215,7 +215,7 @@ def extracted(docs: DataFrame, text: str, key: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), *(pa.array(x[:, j].astype(np.float32)) for j in range(x.shape[1]))], names=[key, *FEATURES])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key), F.col(text)).mapInArrow(extract, f"`{key}` {kind}, " + ", ".join(f"{n} float" for n in FEATURES))
+    return docs.select(F.col(key), F.col(text)).mapInArrow(W.tidy(extract), f"`{key}` {kind}, " + ", ".join(f"{n} float" for n in FEATURES))
 
 
 def held_out(key: str):
@@ -249,4 +249,4 @@ def quality(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got), pa.array((got >= threshold).astype(np.int32))], names=[key, "held_out", "score", "predicted"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return found.select(F.col(key), held_out(key).alias("_held"), *FEATURES).mapInArrow(score, f"`{key}` {kind}, held_out boolean, score double, predicted int")
+    return found.select(F.col(key), held_out(key).alias("_held"), *FEATURES).mapInArrow(W.tidy(score), f"`{key}` {kind}, held_out boolean, score double, predicted int")

@@ -123,7 +123,7 @@ def signatures(docs: DataFrame, text: str, key: str, plan: Plan) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(np.diff(bounds)), pa.array(prints[0]), pa.array(prints[1]), _lists(bands), _lists(odd)], names=["id", "n_shingles", "p", "q", "bands", "odd"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key), F.col(text)).mapInArrow(sign, f"id {kind}, n_shingles long, p long, q long, bands array<long>, odd array<long>")
+    return docs.select(F.col(key), F.col(text)).mapInArrow(W.tidy(sign), f"id {kind}, n_shingles long, p long, q long, bands array<long>, odd array<long>")
 
 
 def differing(a: str, b: str) -> Column:
@@ -160,7 +160,7 @@ def verified(pairs: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
     kind = texts.schema["id"].dataType.simpleString()
     left = pairs.join(texts.select(F.col("id").alias("u"), F.col("text").alias("left")).hint("merge"), "u")
     both = left.join(texts.select(F.col("id").alias("v"), F.col("text").alias("right")).hint("merge"), "v")
-    return both.select("u", "v", "left", "right").mapInArrow(check, f"u {kind}, v {kind}")
+    return both.select("u", "v", "left", "right").mapInArrow(W.tidy(check), f"u {kind}, v {kind}")
 
 
 def joined_sets(column: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -184,7 +184,7 @@ def _fine(texts: DataFrame, plan: Plan) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), _lists(odd)], names=["id", "odd"])
 
     kind = texts.schema["id"].dataType.simpleString()
-    return texts.select("id", "text").mapInArrow(sketch, f"id {kind}, odd array<long>")
+    return texts.select("id", "text").mapInArrow(W.tidy(sketch), f"id {kind}, odd array<long>")
 
 
 def _across(members: DataFrame, plan: Plan) -> DataFrame:
@@ -215,7 +215,7 @@ def _across(members: DataFrame, plan: Plan) -> DataFrame:
         return pa.table({"u": ids.take(pa.array(u, pa.int64())), "v": ids.take(pa.array(v, pa.int64()))})
 
     kind = members.schema["id"].dataType.simpleString()
-    return pairs.union(dealt.groupBy("bucket", "a", "b").applyInArrow(compare, f"u {kind}, v {kind}")).distinct()
+    return pairs.union(dealt.groupBy("bucket", "a", "b").applyInArrow(W.tidy_group(compare), f"u {kind}, v {kind}")).distinct()
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", plan: Plan = Plan()) -> DataFrame:

@@ -47,7 +47,7 @@ def paragraphs(docs: DataFrame, text: str, key: str, least_words: int) -> DataFr
                 yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays([keys, pa.array(number.astype(np.int64))], names=["doc", "line"]), pa.array(texts, pa.string())], names=["id", "text"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key), F.col(text)).filter(F.col(key).isNotNull()).mapInArrow(cut, f"id struct<doc:{kind},line:long>, text string")
+    return docs.select(F.col(key), F.col(text)).filter(F.col(key).isNotNull()).mapInArrow(W.tidy(cut), f"id struct<doc:{kind},line:long>, text string")
 
 
 def repeated_paragraphs(docs: DataFrame, text: str = "text", key: str = "doc_id", least_words: int = 20, shingle: int = 5, percent: int = 80, rows: int = 3, miss: float = 1e-4) -> DataFrame:

@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from phasemill.llm import words as W
 from phasemill.llm.shared import settled
 
+#: Text of a segment of the index.
+SEGMENT_BYTES = 1_000_000
 #: Words of a phrase that must match in order.
 WINDOW = 13
 #: Bytes of benchmark text that are looked up in one pass; a longer benchmark takes several passes.
@@ -29,7 +31,7 @@ INDEX = "keys binary, word_bounds binary, terms binary, term_bounds binary, post
 
 
 def build_index(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row per segment of about 2 MB of text: every token of every document as a posting.
+    """One row per segment of about 1 MB of text: every token of every document as a posting.
 
     keys: the documents' keys as Arrow IPC; word_bounds: their first words within the segment; terms: sorted
     hashes; term_bounds, postings: each term's sorted word positions. Null and empty texts are
@@ -38,7 +40,7 @@ def build_index(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last, data, offsets in W.blocks(batch.column(1)):
+            for first, last, data, offsets in W.blocks(batch.column(1), SEGMENT_BYTES):
                 lowered = W.LOWER[data]
                 starts, ends, bounds = W.segment(lowered, offsets, W.ALNUM)
                 hashes = W.span_hashes(lowered, starts, ends)
@@ -54,7 +56,7 @@ def build_index(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
                 parts = [sink.getvalue().to_pybytes(), bounds.astype(np.int64), ordered[at], np.append(at, len(ordered)).astype(np.int64), order]
                 yield pa.RecordBatch.from_arrays([pa.array([p if isinstance(p, bytes) else p.tobytes()], pa.binary()) for p in parts], names=["keys", "word_bounds", "terms", "term_bounds", "postings"])
 
-    return docs.select(F.col(key), F.col(text)).mapInArrow(build, INDEX)
+    return docs.select(F.col(key), F.col(text)).mapInArrow(W.tidy(build), INDEX)
 
 
 @dataclass
@@ -217,7 +219,7 @@ def matches(index: DataFrame, asked: Phrases, kind: str) -> DataFrame:
                     found[d].update(asked.items[asked.item_bounds[p] : asked.item_bounds[p + 1]])
                 yield pa.RecordBatch.from_arrays([seg.keys, pa.array(n_words), pa.array(spans, pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))), pa.array([sorted(x) for x in found], pa.list_(pa.string()))], names=["_key", "n_words", "spans", "items"])
 
-    return index.mapInArrow(look, f"_key {kind}, n_words long, spans array<struct<from:long,to:long>>, items array<string>")
+    return index.mapInArrow(W.tidy(look), f"_key {kind}, n_words long, spans array<struct<from:long,to:long>>, items array<string>")
 
 
 def search_near(index: DataFrame, items: list[tuple[object, str | None]], slack: int, kind: str = "bigint") -> DataFrame:
@@ -233,7 +235,7 @@ def search_near(index: DataFrame, items: list[tuple[object, str | None]], slack:
                 pairs = sorted({(d, i) for d, p in zip(doc.tolist(), phrase.tolist(), strict=True) for i in asked.items[asked.item_bounds[p] : asked.item_bounds[p + 1]]})
                 yield pa.RecordBatch.from_arrays([seg.keys.take(pa.array([d for d, _ in pairs], pa.int64())), pa.array([i for _, i in pairs], pa.string())], names=["_key", "item"])
 
-    return index.mapInArrow(look, f"_key {kind}, item string")
+    return index.mapInArrow(W.tidy(look), f"_key {kind}, item string")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item: str = "item_id", item_text: str = "text") -> DataFrame:

@@ -110,4 +110,4 @@ def repetition_coverage(docs: DataFrame, text: str = "text", key: str = "doc_id"
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), *(columns[n] for n in names)], names=[key, *names])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key), F.col(text)).mapInArrow(judge, f"`{key}` {kind}, {COLUMNS}")
+    return docs.select(F.col(key), F.col(text)).mapInArrow(W.tidy(judge), f"`{key}` {kind}, {COLUMNS}")

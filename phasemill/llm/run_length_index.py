@@ -18,20 +18,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phasemill.llm import words as W
 from phasemill.llm.backoff_lm import pack, unpack
-from phasemill.llm.shared import pieces, settled
+from phasemill.llm.shared import concluded, pieces, settled
 
 #: Bytes of a string that counts as repeated, and of an anchor within it.
 WINDOW = 100
 ANCHOR = 40
 #: Bytes of a text that are cut at a time; a longer text is cut in pieces that overlap by WINDOW - 1.
-PIECE = 2_000_000
+PIECE = 500_000
 #: Text whose stretches a block collects before it sends them.
-BLOCK_BYTES = 12_000_000
+BLOCK_BYTES = 8_000_000
 #: Text in a group of documents; there are as many groups of anchors.
 GROUP_BYTES = 6_000_000
 _PLACE_BITS = 22
@@ -151,14 +152,16 @@ def _cut(docs: DataFrame, groups: int) -> DataFrame:
         if held:
             yield send(held)
 
-    return docs.mapInArrow(cut, _PACKED)
+    return docs.mapInArrow(W.tidy(cut), _PACKED)
 
 
 def _settle_equal(groups: int):
-    """For stretches of some anchors: kind 1, those with an earlier equal one; kind 2, places whose bytes must be compared."""
+    """For stretches of some anchors: kind 1, those with an earlier equal one; kind 2, places whose bytes must be compared. Kind 1 of before passes."""
     names = tuple(n for n, _ in ENTRY)
 
     def settle(group: pa.Table) -> pa.Table:
+        old = pc.equal(group.column("kind"), 1)
+        passed, group = group.filter(old), group.filter(pc.invert(old))
         e = _received(group, names)
         order = np.lexsort((e["start"], e["row"], e["doc"], e["print"], e["anchor"]))
         e = {n: v[order] for n, v in e.items()}
@@ -177,7 +180,7 @@ def _settle_equal(groups: int):
         names2 = ("anchor", *_MARKS)
         sub = {n: e[n][ask] for n in names2}
         rows += _send(sub, _group_of(sub["doc"], groups), 2, names2)
-        return pa.Table.from_batches([_batch(rows)])
+        return pa.concat_tables([pa.Table.from_batches([_batch(rows)]), passed.cast(_batch([]).schema)])
 
     return settle
 
@@ -471,12 +474,17 @@ def repeated_bytes(docs: DataFrame, text: str = "text", key: str = "doc_id", car
     kind = docs.schema[key].dataType.simpleString()
     slim = docs.select(F.col(key).alias("_doc"), F.col(text).alias("_text"), F.pmod(F.xxhash64(F.col(text)), F.lit(65536)).cast("int").alias("_row"))
     sent = _cut(slim.filter("_text IS NOT NULL"), groups)
-    first = settled(sent.filter("kind = 0").groupBy("bucket").applyInArrow(_settle_equal(groups), _PACKED), "equal")
+
     whole = docs.select(F.col(key).alias("_doc"), F.col(text).alias("_text"), F.pmod(F.xxhash64(F.col(text)), F.lit(65536)).cast("int").alias("_row"), *(F.col(c).alias(f"_carry_{c}") for c in carry))
     grouped, carrying = (d.withColumn("_group", F.coalesce(F.pmod(F.col("_doc"), F.lit(groups)).cast("int"), F.pmod(F.xxhash64("_text"), F.lit(groups)).cast("int"))) for d in (slim, whole))
-    wanted = grouped.groupBy("_group").cogroup(first.filter("kind = 2").withColumnRenamed("bucket", "_group").groupBy("_group"))
-    second = wanted.applyInArrow(_fetch(groups), _PACKED).groupBy("bucket").applyInArrow(_compare(groups), _PACKED)
-    marks = settled(sent.filter("kind = 1").union(first.filter("kind = 1")).union(second), "marks").withColumnRenamed("bucket", "_group")
+
+    def marked() -> DataFrame:
+        first = settled(sent.groupBy("bucket").applyInArrow(W.tidy_group(_settle_equal(groups)), _PACKED), "equal")
+        wanted = grouped.groupBy("_group").cogroup(first.filter("kind = 2").withColumnRenamed("bucket", "_group").groupBy("_group"))
+        second = wanted.applyInArrow(W.tidy_pair(_fetch(groups)), _PACKED).groupBy("bucket").applyInArrow(W.tidy_group(_compare(groups)), _PACKED)
+        return first.filter("kind = 1").union(second)
+
+    marks = concluded(marked, "marks").withColumnRenamed("bucket", "_group")
     schema = f"`{key}` {kind}, n_bytes long, n_removed long, spans array<struct<from:long,to:long>>, kept_sha256 string, kept_text string"
     schema += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    return carrying.groupBy("_group").cogroup(marks.groupBy("_group")).applyInArrow(_remove(key, carry), schema)
+    return carrying.groupBy("_group").cogroup(marks.groupBy("_group")).applyInArrow(W.tidy_pair(_remove(key, carry)), schema)

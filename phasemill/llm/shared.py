@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+_made: list[str] = []
 
 
 def folder(spark: SparkSession) -> str:
@@ -22,12 +26,23 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def concluded(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What make returns, settled; the tables that it settled on the way are deleted then."""
+    first = len(_made)
+    out = settled(make(), name)
+    context = out.sparkSession.sparkContext
+    for path in _made[first:-1]:
+        at = context._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+    del _made[first:-1]
+    return out
+
+
 def pieces(df: DataFrame, column: str, bytes_each: int = 8_000_000, least: int = 12) -> int:
     """How many partitions df's column needs at bytes_each; one pass over its lengths."""
-    from pyspark.sql import functions as F
-
     total = df.agg(F.sum(F.octet_length(column))).first()[0] or 0
     return int(max(least, -(-total // bytes_each)))

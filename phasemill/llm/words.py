@@ -7,14 +7,16 @@ object is made per word.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are handled at a time; a longer text is a block of its own.
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 500_000
 #: Bytes whose prefix sums are held at a time.
 _SPAN = 1 << 19
 
@@ -24,6 +26,45 @@ _rng = np.random.default_rng(20240229)
 _BYTE_VALUE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 
 
+def release() -> None:
+    """Gives freed memory back, for the worker stays while later stages share its executor."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(work: Callable) -> Callable:
+    """A function of batches that releases memory at its end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        release()
+
+    return run
+
+
+def tidy_group(work: Callable) -> Callable:
+    """The same for a function of one group."""
+
+    def run(group: pa.Table) -> pa.Table:
+        out = work(group)
+        release()
+        return out
+
+    return run
+
+
+def tidy_pair(work: Callable) -> Callable:
+    """The same for a function of two groups."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = work(left, right)
+        release()
+        return out
+
+    return run
+
+
 def _classes(*ranges: tuple[int, int]) -> np.ndarray:
     table = np.ones(256, dtype=bool)
     for low, high in ranges:
