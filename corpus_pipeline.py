@@ -14,13 +14,18 @@ from phasemill.llm.odd_sketch import near_duplicates
 from phasemill.llm.pfair import mixed
 from phasemill.llm.positional_index import contamination
 from phasemill.llm.run_length_index import repeated_bytes
-from phasemill.llm.shared import settled
+from phasemill.llm.shared import concluded, settled
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _tuned(spark: SparkSession) -> None:
+    """Texts are long, so fewer rows at a time go between Spark and Python."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is not among the rejected; rows without doc_id stay."""
     return docs.join(rejected.select(F.col("doc_id").alias("_gone")), F.col("doc_id") == F.col("_gone"), "left_anti").select(*docs.columns)
@@ -28,18 +33,20 @@ def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model doesn't predict to be toxic."""
-    found = toxicity(docs, _table(spark, sf_dir, "labels"))
-    return _without(docs, settled(found.filter("predicted = 1").select("doc_id").distinct(), "toxic"))
+    _tuned(spark)
+    labels = _table(spark, sf_dir, "labels")
+    return _without(docs, concluded(lambda: toxicity(docs, labels).filter("predicted = 1").select("doc_id").distinct(), "toxic"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, that of the smallest doc_id."""
-    found = near_duplicates(docs)
-    return _without(docs, settled(found.filter(~F.col("kept")).select("doc_id").distinct(), "near"))
+    _tuned(spark)
+    return _without(docs, concluded(lambda: near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct(), "near"))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the byte strings that an earlier place holds too."""
+    _tuned(spark)
     found = repeated_bytes(docs, carry=tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars")))
     kept = found.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("kept_text").cast(docs.schema["n_chars"].dataType))
     return kept.select(*docs.columns)
@@ -47,12 +54,14 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no more benchmark text than the rule allows."""
-    found = contamination(docs, _table(spark, sf_dir, "benchmark"))
-    return _without(docs, settled(found.filter("contaminated").select("doc_id").distinct(), "contaminated"))
+    _tuned(spark)
+    items = _table(spark, sf_dir, "benchmark")
+    return _without(docs, concluded(lambda: contamination(docs, items).filter("contaminated").select("doc_id").distinct(), "contaminated"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with their place in the mix: in order of slot, offset."""
+    _tuned(spark)
     return mixed(docs, carry=tuple(c for c in docs.columns if c not in ("doc_id", "source")))
 
 
