@@ -250,7 +250,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", pl
     fine = settled(_fine(texts_of(texts, left.select("id")), plan), "fine")
     rest = settled(_across(left.join(fine, "id").join(classes.select("id", "bands"), "id"), plan), "rest")
     if not rest.isEmpty():
-        links = links.union(settled(verified(rest, settled(texts_of(texts, rest.select(F.explode(F.array("u", "v")).alias("id"))), "texts"), plan), "links"))
+        links = links.union(settled(verified(rest, settled(texts_of(texts, rest.select(F.col("u").alias("id")).distinct().union(rest.select("v").distinct())), "texts"), plan), "links"))
     last = components(links.union(same))
     out = signed.select("id", "n_shingles").join(last, "id", "left").withColumn("component", F.when(F.col("n_shingles") > 0, F.coalesce("component", "id")).otherwise(F.col("id")))
     return out.select(F.col("id").alias(key), "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("component") == F.col("id"), F.lit(True)).alias("kept"))
