@@ -12,7 +12,7 @@ from phasemill.llm.deobfuscate import toxicity
 from phasemill.llm.gam import quality
 from phasemill.llm.html_blocks import extracted
 from phasemill.llm.odd_sketch import near_duplicates
-from phasemill.llm.paragraph_dedup import repeated_paragraphs
+from phasemill.llm.paragraph_dedup import repeated_paragraphs, repeated_passages
 from phasemill.llm.pfair import mixed
 from phasemill.llm.positional_index import contamination
 from phasemill.llm.repetition import repetition_coverage
@@ -32,6 +32,11 @@ def op2_paragraph_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.filter(~F.col("kept")).select(F.col("doc").alias("doc_id"), "line", F.col("first_doc").alias("first_doc_id"), "first_line")
 
 
+def op2_every_paragraph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_passages(table(spark, sf_dir, "documents"))
+    return found.filter(~F.col("kept")).select(F.col("doc").alias("doc_id"), "line", F.col("last").alias("last_line"), F.col("first_doc").alias("first_doc_id"), "first_line", F.col("first_last").alias("first_last_line"))
+
+
 def op3_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores(table(spark, sf_dir, "documents"))
 
@@ -70,6 +75,7 @@ def op10_additive_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_blocks": op1_line_blocks,
     "op2_paragraph_bands": op2_paragraph_bands,
+    "op2_every_paragraph": op2_every_paragraph,
     "op3_backoff_automaton": op3_backoff_automaton,
     "op4_deobfuscation": op4_deobfuscation,
     "op5_repetition_coverage": op5_repetition_coverage,
@@ -112,6 +118,24 @@ c AS (SELECT u AS id, min(r) AS r FROM reach GROUP BY u)
 SELECT p.doc_id, CAST(p.line AS BIGINT) AS line, q.doc_id AS first_doc_id, CAST(q.line AS BIGINT) AS first_line FROM p JOIN c USING (id) JOIN p q ON q.id = c.r WHERE p.id <> c.r
 """
 
+#: Every line with a word, and blocks of adjacent lines under 20 words.
+OP2_EVERY_SQL = f"""
+WITH RECURSIVE l AS (SELECT doc_id, i - 1 AS line, x[i] AS text FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents))),
+v AS MATERIALIZED (SELECT doc_id, line, w FROM (SELECT doc_id, line, {_SPACED} AS w FROM l) WHERE len(w) > 0),
+b AS (SELECT doc_id, line, w, line - row_number() OVER (PARTITION BY doc_id ORDER BY line) AS g FROM v WHERE len(w) < 20),
+e AS (SELECT doc_id, line, line AS last, w FROM v UNION ALL SELECT doc_id, min(line), max(line), flatten(list(w ORDER BY line)) FROM b GROUP BY doc_id, g HAVING count(*) > 1),
+p AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id, line, last) AS id, doc_id, line, last, w FROM e),
+s AS MATERIALIZED (SELECT DISTINCT id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, CAST(len(w) - 3 AS BIGINT)), lambda i: array_to_string(w[i : i + 4], ' ')) END) AS g FROM p),
+n AS MATERIALIZED (SELECT id, count(*) AS n FROM s GROUP BY id),
+shared AS (SELECT a.id AS u, b.id AS v, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY ALL),
+links AS MATERIALIZED (SELECT u, v FROM shared JOIN n x ON x.id = u JOIN n y ON y.id = v WHERE 100 * k >= 80 * (x.n + y.n - k)),
+edges AS MATERIALIZED (SELECT u, v FROM links UNION SELECT v, u FROM links),
+reach AS (SELECT id AS u, id AS r FROM p UNION SELECT edges.v AS u, reach.r FROM reach JOIN edges ON edges.u = reach.u),
+c AS (SELECT u AS id, min(r) AS r FROM reach GROUP BY u)
+SELECT p.doc_id, CAST(p.line AS BIGINT) AS line, CAST(p.last AS BIGINT) AS last_line, q.doc_id AS first_doc_id, CAST(q.line AS BIGINT) AS first_line, CAST(q.last AS BIGINT) AS first_last_line
+FROM p JOIN c USING (id) JOIN p q ON q.id = c.r WHERE p.id <> c.r
+"""
+
 OP7_SQL = f"""
 WITH RECURSIVE d AS (SELECT doc_id, {_SPACED} AS w FROM documents),
 s AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
@@ -143,6 +167,7 @@ FROM d JOIN kept USING (doc_id) LEFT JOIN cnt USING (doc_id)
 
 ORACLES: dict[str, str] = {
     "op2_paragraph_bands": OP2_SQL,
+    "op2_every_paragraph": OP2_EVERY_SQL,
     "op7_odd_sketch": OP7_SQL,
     "op8_positional_index": OP8_SQL,
     "op9_run_length_index": OP9_SQL,

@@ -81,6 +81,28 @@ def test_paragraph_components_match_brute_force(spark):
     assert {(r.doc, r.line): (r.first_doc, r.first_line) for r in got} == H.classes(parts)
 
 
+def test_short_paragraphs_and_wrapped_passages(spark):
+    a, b, c = (H.prose(s, n, 3000) for s, n in ((501, 12), (502, 15), (503, 4)))
+    rows = [(1, f"{H.prose(504, 9)}\n\n{a}\n{b}\n\n{c}", "a"), (2, f"{H.prose(505, 30)}\n{a}\n{b}\n{H.prose(506, 40)}\n{c}", "a"), (3, f"{a} {b}\n \n", "a"), (4, f"{H.prose(507, 14)}\n{a.upper()}", "a"), (None, a, "a"), (5, None, "a")]
+    got = paragraph_dedup.repeated_passages(H.docs(spark, rows)).collect()
+    parts = {}
+    for k, t, _ in rows:
+        lines, run = (t or "").split("\n"), []
+        for n, line in enumerate([*lines, ""]):
+            if k is not None and line.strip():
+                parts[k, n, n] = H.shingles(line, 5)
+            if 0 < len(line.split()) < 20:
+                run.append(n)
+                continue
+            if len(run) > 1 and k is not None:
+                parts[k, run[0], run[-1]] = H.shingles("\n".join(lines[run[0] : run[-1] + 1]), 5)
+            run = []
+    assert {(r.doc, r.line, r.last): (r.first_doc, r.first_line, r.first_last) for r in got} == H.classes(sorted(parts.items()))
+    gone = {(r.doc, r.line, r.last) for r in got if not r.kept}
+    assert gone == {(2, 1, 1), (2, 2, 2), (2, 1, 2), (2, 4, 4), (3, 0, 0), (4, 1, 1)}
+    assert paragraph_dedup.repeated_passages(H.docs(spark, rows).limit(0)).count() == 0
+
+
 def _removed(rows):
     """doc_id -> (bytes, removed, spans, kept hash), by a dictionary of all 100-byte strings."""
     seen, out = set(), {}
