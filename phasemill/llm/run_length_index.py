@@ -9,6 +9,9 @@ halves, again and again; the earlier ones are indexed (BWT in runs, suffix-array
 both ends of each run), the later ones are streamed against the index for their matching
 statistics, and starts that match 100 bytes or more are repeats. All windows of equal
 content have one anchor, so the result is exact up to collisions of 128-bit hashes.
+
+An anchor with very many different stretches would bring all their bytes to one task. Its
+windows are dealt one by one instead, by hashes of their bytes, and the first of each stays.
 """
 
 from __future__ import annotations
@@ -35,6 +38,8 @@ PIECE = 500_000
 BLOCK_BYTES = 8_000_000
 #: Text in a group of documents; there are as many groups of anchors.
 GROUP_BYTES = 6_000_000
+#: Different stretches of one anchor up to which their bytes meet; the windows of more are dealt by their hashes.
+HOT_STRETCHES = 2_000
 _PLACE_BITS = 22
 ENTRY = [("anchor", np.uint64), ("print", np.uint64), ("doc", np.int64), ("row", np.uint16), ("start", np.int64), ("count", np.uint8)]
 _MARKS = ("doc", "row", "start", "count")
@@ -155,8 +160,8 @@ def _cut(docs: DataFrame, groups: int) -> DataFrame:
     return docs.mapInArrow(W.tidy(cut), _PACKED)
 
 
-def _settle_equal(groups: int):
-    """For stretches of some anchors: kind 1, those with an earlier equal one; kind 2, places whose bytes must be compared. Kind 1 of before passes."""
+def _settle_equal(groups: int, hot: int):
+    """For stretches of some anchors: kind 1, those with an earlier equal one; kind 2, places whose bytes must be compared; kind 3, the same of anchors with more than `hot`. Kind 1 of before passes."""
     names = tuple(n for n, _ in ENTRY)
 
     def settle(group: pa.Table) -> pa.Table:
@@ -175,11 +180,11 @@ def _settle_equal(groups: int):
         sub = {n: e[n][~lead & ~same_place] for n in _MARKS}
         rows += _send(sub, _group_of(sub["doc"], groups), 1, _MARKS)
         anchor_no = np.cumsum(new_anchor) - 1
-        several = np.bincount(anchor_no[lead], minlength=anchor_no[-1] + 1 if len(order) else 0) > 1
-        ask = lead & several[anchor_no] if len(order) else lead
+        different = np.bincount(anchor_no[lead], minlength=anchor_no[-1] + 1 if len(order) else 0)[anchor_no]
         names2 = ("anchor", *_MARKS)
-        sub = {n: e[n][ask] for n in names2}
-        rows += _send(sub, _group_of(sub["doc"], groups), 2, names2)
+        for kind, ask in ((2, lead & (different > 1) & (different <= hot)), (3, lead & (different > max(1, hot)))):
+            sub = {n: e[n][ask] for n in names2}
+            rows += _send(sub, _group_of(sub["doc"], groups), kind, names2)
         return pa.concat_tables([pa.Table.from_batches([_batch(rows)]), passed.cast(_batch([]).schema)])
 
     return settle
@@ -367,8 +372,32 @@ def trimmed(raw: np.ndarray, ends: np.ndarray, size: np.ndarray, anchor: np.ndar
     return keep, low[keep] - begin[keep], high[keep] - begin[keep]
 
 
+def _first_windows(e: dict[str, np.ndarray], groups: int) -> tuple[dict[str, np.ndarray], list[tuple]]:
+    """The first of equal windows, and kind 1 of the others, in runs."""
+    order = np.lexsort((e["start"], e["row"], e["doc"], e["print"], e["anchor"]))
+    lead = np.ones(len(order), dtype=bool)
+    lead[1:] = (e["anchor"][order[1:]] != e["anchor"][order[:-1]]) | (e["print"][order[1:]] != e["print"][order[:-1]])
+    later = order[~lead]
+    later = later[np.lexsort((e["start"][later], e["row"][later], e["doc"][later]))]
+    doc, row, start = (e[n][later] for n in ("doc", "row", "start"))
+    edge = np.ones(len(later), dtype=bool)
+    edge[1:] = (doc[1:] != doc[:-1]) | (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1) | (start[1:] % 128 == 0)  # a count is one byte
+    at = np.flatnonzero(edge)
+    sub = {"doc": doc[at], "row": row[at], "start": start[at], "count": np.diff(np.append(at, len(later))).astype(np.uint8)}
+    chosen = np.sort(order[lead])
+    return {n: v[chosen] for n, v in e.items()}, list(_send(sub, _group_of(sub["doc"], groups), 1, _MARKS))
+
+
 def _compare(groups: int):
+    """Kind 1 for stretches by their bytes (kind 0) and for windows by their hashes (kind 3). Kind 1 of before passes."""
+
     def compare(group: pa.Table) -> pa.Table:
+        of = lambda kind: group.filter(pc.equal(group.column("kind"), kind))
+        windows, passed, group = of(3), of(1), of(0)
+        marks = _first_windows(_received(windows, tuple(n for n, _ in ENTRY)), groups)[1]
+        held = [pa.Table.from_batches([_batch(marks)]), passed.cast(_batch([]).schema)]
+        if not group.num_rows:
+            return pa.concat_tables(held)
         e = _received(group, ("anchor", *_MARKS))
         raw = b"".join(group.column("bytes").to_pylist())
         size = e["count"].astype(np.int64) + WINDOW - 1
@@ -391,7 +420,7 @@ def _compare(groups: int):
         first = np.flatnonzero(edge)
         count = np.diff(np.append(first, len(starts)))
         sub = {"doc": e["doc"][which[first]], "row": e["row"][which[first]], "start": e["start"][which[first]] + starts[first], "count": count.astype(np.uint8)}
-        return pa.Table.from_batches([_batch(list(_send(sub, _group_of(sub["doc"], groups), 1, _MARKS)))])
+        return pa.concat_tables([pa.Table.from_batches([_batch(list(_send(sub, _group_of(sub["doc"], groups), 1, _MARKS)))]), *held])
 
     return compare
 
@@ -409,24 +438,40 @@ def _by_document(docs: pa.Table, e: dict[str, np.ndarray]) -> Iterator[tuple[int
 
 
 def _fetch(groups: int):
-    """The bytes of the places that kind 2 asks for, by anchor."""
+    """Kind 0: the bytes of the places that kind 2 asks for, by anchor; kind 3: hashes of the windows that kind 3 asks for, the first of equal ones; kind 1: the others."""
     names = ("anchor", *_MARKS)
 
+    def windows_of(body: bytes, e: dict[str, np.ndarray], at: np.ndarray) -> dict[str, np.ndarray]:
+        count = e["count"][at].astype(np.int64)
+        which = np.repeat(at, count)
+        start = e["start"][which] + np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
+        prints = W.span_hashes(np.frombuffer(body, dtype=np.uint8), start, start + WINDOW)
+        return {"anchor": e["anchor"][which], "print": prints, "doc": e["doc"][which], "row": e["row"][which], "start": start, "count": np.ones(len(which), dtype=np.uint8)}
+
     def fetch(docs: pa.Table, asked: pa.Table) -> pa.Table:
-        e = _received(asked, names)
+        of = [_received(asked.filter(pc.equal(asked.column("kind"), kind)), names) for kind in (2, 3)]
+        e = {n: np.concatenate([x[n] for x in of]) for n in names}
+        cold = len(of[0]["doc"])
         texts = docs.column("_text").cast(pa.large_binary()) if docs.num_rows else docs.column("_text")
-        taken, raw, done = [], [], set()
+        taken, raw, done, dealt = [], [], set(), []
         for n, at in _by_document(docs, e) if asked.num_rows else []:
             if len(at) and at[0] not in done:  # a row given twice answers once
                 done.add(at[0])
                 body = texts[n].as_py()
+                if len(hot := at[at >= cold]):
+                    dealt.append(windows_of(body, e, hot))
+                at = at[at < cold]
                 for i in at:
                     s = int(e["start"][i])
                     raw.append(body[s : s + int(e["count"][i]) + WINDOW - 1])
                 taken.append(at)
         chosen = np.concatenate([np.zeros(0, dtype=np.int64), *taken])
         sub = {n: e[n][chosen] for n in names}
-        return pa.Table.from_batches([_batch(list(_send(sub, (sub["anchor"] % np.uint64(groups)).astype(np.int64), 0, names, raw)))])
+        rows = list(_send(sub, (sub["anchor"] % np.uint64(groups)).astype(np.int64), 0, names, raw))
+        if dealt:
+            first, marks = _first_windows({n: np.concatenate([d[n] for d in dealt]) for n, _ in ENTRY}, groups)
+            rows += marks + list(_send(first, (W.mix(first["print"]) % np.uint64(groups)).astype(np.int64), 3, tuple(n for n, _ in ENTRY)))
+        return pa.Table.from_batches([_batch(rows)])
 
     return fetch
 
@@ -479,8 +524,8 @@ def repeated_bytes(docs: DataFrame, text: str = "text", key: str = "doc_id", car
     grouped, carrying = (d.withColumn("_group", F.coalesce(F.pmod(F.col("_doc"), F.lit(groups)).cast("int"), F.pmod(F.xxhash64("_text"), F.lit(groups)).cast("int"))) for d in (slim, whole))
 
     def marked() -> DataFrame:
-        first = settled(sent.groupBy("bucket").applyInArrow(W.tidy_group(_settle_equal(groups)), _PACKED), "equal")
-        wanted = grouped.groupBy("_group").cogroup(first.filter("kind = 2").withColumnRenamed("bucket", "_group").groupBy("_group"))
+        first = settled(sent.groupBy("bucket").applyInArrow(W.tidy_group(_settle_equal(groups, HOT_STRETCHES)), _PACKED), "equal")
+        wanted = grouped.groupBy("_group").cogroup(first.filter("kind >= 2").withColumnRenamed("bucket", "_group").groupBy("_group"))
         second = wanted.applyInArrow(W.tidy_pair(_fetch(groups)), _PACKED).groupBy("bucket").applyInArrow(W.tidy_group(_compare(groups)), _PACKED)
         return first.filter("kind = 1").union(second)
 

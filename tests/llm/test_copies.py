@@ -137,6 +137,37 @@ def test_repeated_bytes(spark):
     assert run_length_index.repeated_bytes(table.limit(0)).count() == 0
 
 
+def test_windows_of_hot_anchors(spark, monkeypatch):
+    monkeypatch.setattr(run_length_index, "HOT_STRETCHES", 3)
+    test_repeated_bytes(spark)
+    monkeypatch.setattr(run_length_index, "HOT_STRETCHES", 0)
+    test_repeated_bytes(spark)
+
+
+def test_bytes_of_a_hot_anchor_do_not_meet(spark, monkeypatch):
+    """Borders of one passage in many documents: no task gets more than a bounded number of stretches of one anchor."""
+    seen = spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(run_length_index, "HOT_STRETCHES", 50, raising=False)
+    plain = run_length_index._fetch
+
+    def counted(groups):
+        fetch = plain(groups)
+
+        def run(docs, asked):
+            out = fetch(docs, asked)
+            seen.add(sum(len(run_length_index.unpack(c[0], np.uint64)) for k, c in zip(out.column("kind").to_pylist(), out.column("columns").to_pylist()) if k == 0))
+            return out
+
+        return run
+
+    monkeypatch.setattr(run_length_index, "_fetch", counted)
+    passage = H.prose(801, 40, 3000)
+    rows = [(k, f"{H.prose(2000 + k, 20, 3000)} {passage} {H.prose(4000 + k, 20, 3000)}", "a") for k in range(200)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in run_length_index.repeated_bytes(H.docs(spark, rows)).collect()}
+    assert got == _removed((k, t) for k, t, _ in rows)
+    assert seen.value < 200
+
+
 def test_long_texts_are_cut_without_loss(spark, monkeypatch):
     body = H.prose(77, 1500, 3000)
     data = np.frombuffer(body.encode(), dtype=np.uint8)
