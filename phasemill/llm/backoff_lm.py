@@ -236,7 +236,7 @@ class Automaton:
         return out
 
 
-def scores(docs: DataFrame, text: str = "text", key: str = "doc_id", order: int = 2, strength: float = 20.0) -> DataFrame:
+def scores(docs: DataFrame, text: str = "text", key: str = "doc_id", order: int = 3, strength: float = 20.0) -> DataFrame:
     """One row per row of docs: key, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Trained on the rows whose crc32(key as text) mod 10 is not 0; a null key is a training row.

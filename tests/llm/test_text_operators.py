@@ -71,6 +71,15 @@ def test_backoff_scores(spark, order):
         assert g.base_score == pytest.approx(base, abs=1e-8) and g.score == pytest.approx(score, abs=1e-8)
 
 
+def test_registered_model_has_trigrams(spark, tmp_path):
+    from phasemill.llm import queries
+
+    H.docs(spark, [(k, H.prose(k % 7, 40, 30), "a") for k in range(100, 160)]).write.parquet(f"{tmp_path}/documents.parquet")
+    table = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    got, three, two = ({r.doc_id: r.score for r in d.collect()} for d in (queries.op3_backoff_automaton(spark, str(tmp_path)), backoff_lm.scores(table, order=3), backoff_lm.scores(table, order=2)))
+    assert got == pytest.approx(three) and sum(got.values()) > sum(two.values())
+
+
 def test_backoff_lanes_join_seamlessly(spark, monkeypatch):
     table = H.docs(spark, [(k, H.prose(k, 1300, 50), "a") for k in range(1, 6)])
     whole = {r.doc_id: r.score for r in backoff_lm.scores(table, order=3).collect()}
