@@ -15,7 +15,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phasemill.llm import words as W
@@ -238,25 +238,38 @@ def search_near(index: DataFrame, items: list[tuple[object, str | None]], slack:
     return index.mapInArrow(W.tidy(look), f"_key {kind}, item string")
 
 
+def merged(spans: Column) -> Column:
+    """Sorted runs (from, to) with those that overlap or touch made one, as a single slice gives them."""
+
+    def add(done: Column, s: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        joined = F.struct(last["from"].alias("from"), F.greatest(last["to"], s["to"]).alias("to"))
+        more = F.when(last["to"] >= s["from"], F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(joined))).otherwise(F.concat(done, F.array(s)))
+        return F.when(F.size(done) == 0, F.array(s)).otherwise(more)
+
+    return F.aggregate(spans, F.array().cast("array<struct<from:long,to:long>>"), add)
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per row of docs: key, n_words, spans (runs of hit words), items (sorted), n_hit, contaminated.
 
     contaminated: a hit, and 20 hit words or more in 400, that is 20 * n_hit >= n_words. Null and
     empty texts have no words. An empty benchmark hits nothing. The benchmark is read in slices of
     SLICE_BYTES; with more than one the index is written once, each slice has its pass over it and
-    the runs are merged per row. Rows that share a key are judged one by one when there is one
-    slice; with more the runs of rows with one key are merged, so give keys that are unique.
+    the runs are merged per row, by a number of the row within the written index. Rows that share
+    a key or have none are judged one by one.
     """
     index, kind = build_index(docs, text, key), docs.schema[key].dataType.simpleString()
     asked = slices(benchmark, item, item_text)
     first, second = next(asked, []), next(asked, None)
     found = matches(index, phrases(first), kind)
     if second is not None:
-        index = settled(index, "index")
+        numbered = docs.select(F.struct(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key")).alias("_numbered"), F.col(text).alias("_text"))
+        index, kind = settled(build_index(numbered, "_text", "_numbered"), "index"), numbered.schema["_numbered"].dataType.simpleString()
         found = settled(matches(index, phrases(first), kind), "matches")
         for part in chain([second], asked):
             found = found.unionByName(settled(matches(index, phrases(part), kind).filter(F.size("spans") > 0), "matches"))
-        found = found.groupBy("_key").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        found = found.groupBy("_key.row").agg(F.first("_key.key").alias("_key"), F.max("n_words").alias("n_words"), merged(F.array_sort(F.flatten(F.collect_list("spans")))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     covered = F.aggregate("spans", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end")), lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0), s["to"] - F.greatest(a["end"], s["from"]))).alias("n"), F.greatest(a["end"], s["to"]).alias("end")), lambda a: a["n"])
     return found.select(F.col("_key").alias(key), "n_words", "spans", "items", covered.alias("n_hit")).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 

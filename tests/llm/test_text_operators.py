@@ -128,6 +128,17 @@ def test_contamination_in_slices_and_without_items(spark, monkeypatch):
     assert positional_index.contamination(table.limit(0), items).count() == 0
 
 
+def test_contamination_in_slices_judges_each_row(spark, monkeypatch):
+    a, b = H.prose(31, 20), H.prose(35, 20)
+    rows = [(None, a, "a"), (None, H.prose(36, 50) + " " + b, "a"), (None, "clean words", "a"), (None, None, "a"), (7, a, "a"), (7, H.prose(37, 90), "a"), (7, a, "a"), (8, a + " " + b, "a")]
+    items = spark.createDataFrame([(1, a), (2, b)], "item_id long, text string")
+    table, columns = H.docs(spark, rows), ["doc_id", "n_words", "n_hit", "items", "spans", "contaminated"]
+    whole = H.counts(positional_index.contamination(table, items).select(columns).collect())
+    monkeypatch.setattr(positional_index, "slices", lambda *a, f=positional_index.slices: f(*a[:3], 100))
+    got = H.counts(positional_index.contamination(table, items).select(columns).collect())
+    assert got == whole and sum(got.values()) == len(rows)
+
+
 def test_proximity(spark):
     table = H.docs(spark, [(1, "red blue x green", "a"), (2, "green x x x x x x red blue", "a"), (3, "blue green red", "a")])
     got = positional_index.search_near(positional_index.build_index(table), [("q", "red blue green")], 3)
