@@ -26,37 +26,38 @@ def _tuned(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is not among the rejected; rows without doc_id stay."""
-    return docs.join(rejected.select(F.col("doc_id").alias("_gone")), F.col("doc_id") == F.col("_gone"), "left_anti").select(*docs.columns)
-
-
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model doesn't predict to be toxic."""
+    """Rows that the toxicity model doesn't predict to be toxic, each by its own text."""
     _tuned(spark)
-    labels = _table(spark, sf_dir, "labels")
-    return _without(docs, concluded(lambda: toxicity(docs, labels).filter("predicted = 1").select("doc_id").distinct(), "toxic"))
+    scored = toxicity(docs, _table(spark, sf_dir, "labels"), carry=tuple(c for c in docs.columns if c != "doc_id"))
+    return scored.filter("predicted = 0").select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that of the smallest doc_id."""
+    """One row of each group of near copies, that of the smallest doc_id; rows without doc_id come after all others, rows of one doc_id in any order."""
     _tuned(spark)
-    return _without(docs, concluded(lambda: near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct(), "near"))
+    rows = settled(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    filled = F.coalesce("doc_id", F.lit("0").cast(docs.schema["doc_id"].dataType))
+    keyed = rows.select(F.struct(F.col("doc_id").isNull().alias("none"), filled.alias("doc_id"), "_row").alias("_key"), "text")
+    gone = concluded(lambda: near_duplicates(keyed, key="_key").filter(~F.col("kept")).select(F.col("_key._row").alias("_gone")), "near")
+    return rows.join(gone, F.col("_row") == F.col("_gone"), "left_anti").select(*docs.columns)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the byte strings that an earlier place holds too."""
+    """All documents, without the byte strings that an earlier place holds too; rows without doc_id come after all others, in order of a hash."""
     _tuned(spark)
-    found = repeated_bytes(docs, carry=tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars")))
+    late = F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 61))
+    keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), late))
+    found = repeated_bytes(keyed, key="_key", carry=tuple(c for c in docs.columns if c not in ("text", "n_chars")))
     kept = found.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("kept_text").cast(docs.schema["n_chars"].dataType))
     return kept.select(*docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no more benchmark text than the rule allows."""
+    """Rows that hold no more benchmark text than the rule allows, each by its own text."""
     _tuned(spark)
-    items = _table(spark, sf_dir, "benchmark")
-    return _without(docs, concluded(lambda: contamination(docs, items).filter("contaminated").select("doc_id").distinct(), "contaminated"))
+    whole = docs.select(F.struct(*docs.columns).alias("_whole"), "text")
+    return contamination(whole, _table(spark, sf_dir, "benchmark"), key="_whole").filter(~F.col("contaminated")).select("_whole.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -275,8 +275,8 @@ def fit(rows: np.ndarray, places: np.ndarray, y: np.ndarray, width: int, steps:
     return w
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", threshold: float = 0.7, sample: int = 20_000, width: int = 4096, least_gain: float = 8.0) -> DataFrame:
-    """One row per row of docs: key, held_out, score (0 to 1), predicted (score >= threshold).
+def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", threshold: float = 0.7, sample: int = 20_000, width: int = 4096, least_gain: float = 8.0, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of docs: key, held_out, score (0 to 1), predicted (score >= threshold) and the carried columns.
 
     The character model counts all texts. Features are chosen and weighed on about `sample`
     labelled rows at most whose crc32(key as text) mod 3 is not 1: the `width` words and word
@@ -333,7 +333,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
             for first, last, data, offsets in W.blocks(batch.column(2)):
                 rows, at = lookup.value.find(read(data, offsets, letters.value, known), last - first)
                 got = 1 / (1 + np.exp(-(weights[-1] + np.bincount(rows, weights=weights[at], minlength=last - first))))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), batch.column(1).slice(first, last - first), pa.array(got), pa.array((got >= threshold).astype(np.int32))], names=[key, "held_out", "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), batch.column(1).slice(first, last - first), pa.array(got), pa.array((got >= threshold).astype(np.int32)), *(c.slice(first, last - first) for c in batch.columns[3:])], names=[key, "held_out", "score", "predicted", *carry])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key), held_out(key).alias("_held"), F.col(text)).mapInArrow(W.tidy(score), f"`{key}` {kind}, held_out boolean, score double, predicted int")
+    return docs.select(F.col(key), held_out(key).alias("_held"), F.col(text), *(F.col(c).alias(f"_carry_{n}") for n, c in enumerate(carry))).mapInArrow(W.tidy(score), f"`{key}` {kind}, held_out boolean, score double, predicted int" + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry))

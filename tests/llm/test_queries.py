@@ -65,3 +65,23 @@ def test_pipeline(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "repeated_bytes", "decontamination", "mixing"]
     for _, stage in corpus_pipeline.STAGES[1:4]:
         assert stage(spark, docs.limit(0), str(tmp_path)).columns == docs.columns
+
+
+def test_pipeline_judges_each_row(spark, tmp_path):
+    """Rows without doc_id take part, rows of one doc_id are judged one by one, a row given twice stays once."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rows, item = _corpus()
+    passage = H.prose(901, 55, 3000)
+    toxic = H.prose(6000, 70, 3000) + f" stupid {H.prose(6001, 5)} idiot"
+    clean, twice, copied, other = (H.prose(s, 70, 3000) for s in (6002, 6003, 1, 6006))
+    holds = f"{H.prose(6004, 60, 3000)} {passage} {H.prose(6005, 60, 3000)}"
+    items = [item, H.prose(6008, 16, 3000), H.prose(6009, 16, 3000)]
+    leaks = [f"{H.prose(6010 + k, 40, 3000)} {items[k]}" for k in (1, 2)]
+    rows += [(None, toxic, "n1"), (None, clean, "n2"), (8000, toxic, "n3"), (8000, clean + " more", "n4"), (8001, twice, "n5"), (8001, twice, "n5"), (None, copied, "n6"), (None, holds, "n7"), (None, leaks[0], "n8"), (8002, leaks[1], "n9"), (8002, other, "n10"), (None, None, "n11")]
+    H.docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(k, int("idiot" in (t or ""))) for k, t, _ in rows if k is not None and k < 1000], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = [r for r in corpus_pipeline.run(spark, str(tmp_path)).collect() if (r.source or "").startswith("n")]
+    assert sorted((r.source, r.doc_id) for r in got) == [("n10", 8002), ("n11", None), ("n4", 8000), ("n5", 8001), ("n7", None)]
+    (short,) = (r for r in got if r.source == "n7")
+    assert passage not in short.text and len(short.text) < len(holds)
