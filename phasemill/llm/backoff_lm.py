@@ -85,13 +85,17 @@ def _blocks(docs: DataFrame, text: str, key: str) -> DataFrame:
             keys = pa.concat_arrays([pa.concat_arrays([h[0]]) for h in held])
             hashes = np.concatenate([h[2] for h in held])
             lengths = np.concatenate([np.diff(h[3]) for h in held])
-            distinct, ids = np.unique(hashes, return_inverse=True)
+            distinct, ids, often = np.unique(hashes, return_inverse=True, return_counts=True)
+            by = np.argsort(-often, kind="stable")  # frequent words get small numbers, which pack well
+            rank = np.empty(len(by), dtype=np.int64)
+            rank[by] = np.arange(len(by))
+            distinct, ids = distinct[by], rank[ids]
             batch = pa.RecordBatch.from_arrays([keys, pa.concat_arrays([h[1] for h in held])], names=["key", "held"])
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, batch.schema) as stream:
                 stream.write_batch(batch)
             name = f"{int(np.bitwise_xor.reduce(W.mix(distinct + np.uint64(len(ids))))):016x}-{int(np.bitwise_xor.reduce(W.mix(hashes[: 4096] + np.arange(min(4096, len(hashes)), dtype=np.uint64)))):016x}-{held[0][4]}"
-            parts = [sink.getvalue().to_pybytes(), pack(lengths.astype(np.int64)), pack(np.diff(distinct, prepend=np.uint64(0))), pack(ids.astype(np.int32))]
+            parts = [sink.getvalue().to_pybytes(), pack(lengths.astype(np.int64)), pack(distinct), pack(ids.astype(np.int32))]
             return pa.RecordBatch.from_arrays([pa.array([name]), *(pa.array([p], pa.binary()) for p in parts)], names=["block", "docs", "lengths", "words", "ids"])
 
         number = 0
@@ -114,8 +118,7 @@ def _blocks(docs: DataFrame, text: str, key: str) -> DataFrame:
 def _opened(row: dict) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
     """Documents, token hashes and bounds of a block."""
     docs = pa.ipc.open_stream(row["docs"]).read_next_batch()
-    distinct = np.cumsum(unpack(row["words"], np.uint64), dtype=np.uint64)
-    return docs, distinct[unpack(row["ids"], np.int32)], np.concatenate([[0], np.cumsum(unpack(row["lengths"], np.int64))])
+    return docs, unpack(row["words"], np.uint64)[unpack(row["ids"], np.int32)], np.concatenate([[0], np.cumsum(unpack(row["lengths"], np.int64))])
 
 
 def _asked(blocks: DataFrame, order: int, buckets: int) -> DataFrame:

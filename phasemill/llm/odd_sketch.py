@@ -1,13 +1,15 @@
 """MinHash near-duplicates with odd sketches.
 
-Documents with equal shingle sets are one class. MinHash values of a class, in bands, give
-candidates; the same values, folded into a parity bitmap (an odd sketch), give a close
-estimate of high similarities from the population count of an XOR, which turns most
-candidates away; the rest is checked on whole sets. Within a band's bucket every class is
-first compared with the bucket's smallest one only, so a large group of copies costs one
-candidate per member; what a bucket then still holds in several components is compared
-across them by larger odd sketches, small buckets by a join and large ones in bounded pairs
-of slices, so that only pairs close to the limit or above leave a task.
+Documents with equal shingle sets are one class, known by a number. MinHash values of a
+class, in bands, give candidates; the same values, folded into a parity bitmap (an odd
+sketch), give a close estimate of high similarities from the population count of an XOR,
+which turns most candidates away; the rest is checked on whole sets. The (band, class) rows
+are sorted once over the whole table, and rows alone in their bucket, nearly all of them, go
+there: only what collides is joined with anything. Within a bucket every class is first
+compared with the bucket's smallest one only, so a large group of copies costs one candidate
+per member; what a bucket then still holds in several components is compared across them by
+larger odd sketches, small buckets by a join and large ones in bounded pairs of slices, so
+that only pairs close to the limit or above leave a task.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from phasemill.llm import words as W
 from phasemill.llm.components import components
-from phasemill.llm.shared import settled
+from phasemill.llm.shared import Work
 
 
 @dataclass(frozen=True)
@@ -108,7 +110,8 @@ def _lists(values: np.ndarray) -> pa.Array:
 
 
 def signatures(docs: DataFrame, text: str, key: str, plan: Plan) -> DataFrame:
-    """id, n_shingles, two fingerprints of the whole set, bands and sketch of each row."""
+    """id, tag (a hash of the text), n_shingles, two fingerprints of the whole set, band values b0.. and sketch words o0.. of each row."""
+    names = ["id", "tag", "n_shingles", "p", "q", *_numbered("b", plan.bands), *_numbered("o", plan.bits // 64)]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,10 +123,48 @@ def signatures(docs: DataFrame, text: str, key: str, plan: Plan) -> DataFrame:
                     total = np.zeros(len(keys) + 1, dtype=np.uint64)
                     np.cumsum(W.mix(keys ^ np.uint64(salt)), out=total[1:])
                     prints.append((total[bounds[1:]] - total[bounds[:-1]]).view(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(np.diff(bounds)), pa.array(prints[0]), pa.array(prints[1]), _lists(bands), _lists(odd)], names=["id", "n_shingles", "p", "q", "bands", "odd"])
+                columns = [pa.array(np.diff(bounds)), *map(pa.array, prints), *map(pa.array, np.ascontiguousarray(bands.T)), *map(pa.array, np.ascontiguousarray(odd.T))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(first, last - first) for k in (0, 2)), *columns], names=names)
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key), F.col(text)).mapInArrow(W.tidy(sign), f"id {kind}, n_shingles long, p long, q long, bands array<long>, odd array<long>")
+    return docs.select(F.col(key), F.col(text), F.xxhash64(F.col(text)).alias("tag")).mapInArrow(W.tidy(sign), f"id {kind}, " + ", ".join(f"{n} long" for n in names[1:]))
+
+
+def _numbered(name: str, n: int) -> list[str]:
+    return [f"{name}{i}" for i in range(n)]
+
+
+def colliding(banded: DataFrame) -> DataFrame:
+    """The rows (bucket, c) whose bucket has another row too, and a few that stand alone at a partition's end.
+
+    One sort of the whole table by bucket and c, so a large bucket spreads over several tasks; each
+    reads its rows in order and holds one of them.
+    """
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pending: tuple[pa.RecordBatch, int, bool] | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bucket = batch.column(0).to_numpy()
+            same = bucket[1:] == bucket[:-1]
+            keep = np.zeros(len(bucket), dtype=bool)
+            keep[1:] |= same
+            keep[:-1] |= same
+            if pending is None:
+                keep[0] = True  # the partition before may hold its bucket
+            else:
+                row, was, kept = pending
+                if was == bucket[0]:
+                    keep[0] = kept = True
+                if kept:
+                    yield row
+            yield batch.slice(0, len(keep) - 1).filter(pa.array(keep[:-1]))
+            pending = batch.slice(len(keep) - 1), int(bucket[-1]), bool(keep[-1])
+        if pending is not None:
+            yield pending[0]
+
+    return banded.select("bucket", "c").repartitionByRange("bucket", "c").sortWithinPartitions("bucket", "c").mapInArrow(meet, "bucket long, c long")
 
 
 def differing(a: str, b: str) -> Column:
@@ -131,13 +172,8 @@ def differing(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
 
 
-def texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows (id, text) of some ids, by a shuffle at every size: neither side has a bound."""
-    return texts.join(ids.distinct().hint("merge"), "id", "left_semi")
-
-
 def verified(pairs: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
-    """The pairs (u, v) of ids whose texts have 100 * shared >= percent * all shingles, on whole sets."""
+    """The pairs (u, v) of classes whose texts (c, text) have 100 * shared >= percent * all shingles, on whole sets."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,10 +193,9 @@ def verified(pairs: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
                 keep = pa.array(100 * same >= plan.percent * (total - same))
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["u", "v"])
 
-    kind = texts.schema["id"].dataType.simpleString()
-    left = pairs.join(texts.select(F.col("id").alias("u"), F.col("text").alias("left")).hint("merge"), "u")
-    both = left.join(texts.select(F.col("id").alias("v"), F.col("text").alias("right")).hint("merge"), "v")
-    return both.select("u", "v", "left", "right").mapInArrow(W.tidy(check), f"u {kind}, v {kind}")
+    left = pairs.join(texts.select(F.col("c").alias("u"), F.col("text").alias("left")).hint("merge"), "u")
+    both = left.join(texts.select(F.col("c").alias("v"), F.col("text").alias("right")).hint("merge"), "v")
+    return both.select("u", "v", "left", "right").mapInArrow(W.tidy(check), "u long, v long")
 
 
 def joined_sets(column: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -174,48 +209,48 @@ def joined_sets(column: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def _fine(texts: DataFrame, plan: Plan) -> DataFrame:
-    """id and larger odd sketch of texts."""
+    """c and larger odd sketch of texts (c, text)."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, data, offsets in W.blocks(batch.column(1)):
                 keys, bounds = W.shingle_sets(data, offsets, plan.shingle)
                 odd = odd_sketches(*minima(keys, bounds, plan.fine_samples), last - first, plan.fine_bits)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), _lists(odd)], names=["id", "odd"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), _lists(odd)], names=["c", "odd"])
 
-    kind = texts.schema["id"].dataType.simpleString()
-    return texts.select("id", "text").mapInArrow(W.tidy(sketch), f"id {kind}, odd array<long>")
+    return texts.select("c", "text").mapInArrow(W.tidy(sketch), "c long, odd array<long>")
 
 
 def _across(members: DataFrame, plan: Plan) -> DataFrame:
     """Pairs (u, v) of one bucket but different components that the larger sketches let pass, each in the first band that it shares.
 
-    members: bucket, band, n, id, component, bands, odd.
+    members: bucket, n, c, component, bands, odd.
     """
     small, large = members.filter(F.col("n") <= plan.joined), members.filter(F.col("n") > plan.joined)
-    other = small.select("bucket", F.col("id").alias("v"), F.col("component").alias("c"), F.col("bands").alias("bands_v"), F.col("odd").alias("odd_v"))
-    first = F.array_position(F.zip_with("bands", "bands_v", lambda x, y: x == y), True) == F.col("band") + 1
-    pairs = small.join(other, "bucket").filter((F.col("component") < F.col("c")) & first & (differing("odd", "odd_v") <= plan.most_fine_bits())).select(F.col("id").alias("u"), "v")
-    sliced = large.withColumn("slices", F.ceil(F.col("n") / plan.slice)).withColumn("i", F.pmod(F.xxhash64("id"), F.col("slices")))
+    other = small.select("bucket", F.col("c").alias("v"), F.col("component").alias("of"), F.col("bands").alias("bands_v"), F.col("odd").alias("odd_v"))
+    shared = F.array_position(F.zip_with("bands", "bands_v", lambda x, y: x == y), True)
+    first = F.element_at("bands", F.greatest(shared, F.lit(1)).cast("int")) == F.col("bucket")
+    pairs = small.join(other, "bucket").filter((F.col("component") < F.col("of")) & first & (differing("odd", "odd_v") <= plan.most_fine_bits())).select(F.col("c").alias("u"), "v")
+    sliced = large.withColumn("slices", F.ceil(F.col("n") / plan.slice)).withColumn("i", F.pmod(F.xxhash64("c"), F.col("slices")))
     spread = sliced.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
-    dealt = spread.select("bucket", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "id", F.xxhash64("component").alias("of"), "band", "bands", "odd")
+    dealt = spread.select("bucket", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "c", "component", "bands", "odd")
     most = plan.most_fine_bits()
 
     def compare(group: pa.Table) -> pa.Table:
-        ids, comp = group.column("id").combine_chunks(), group.column("of").to_numpy()
+        ids, comp = group.column("c").to_numpy(), group.column("component").to_numpy()
         odd = np.stack(group.column("odd").to_pylist()).astype(np.int64).view(np.uint64)
-        bands, band = np.stack(group.column("bands").to_pylist()), group.column("band")[0].as_py()
+        bands, bucket = np.stack(group.column("bands").to_pylist()), group.column("bucket")[0].as_py()
         u, v = [], []
         for n in range(len(odd) - 1):
             near = np.bitwise_count(odd[n + 1 :] ^ odd[n]).sum(axis=1) <= most
             hit = np.flatnonzero(near & (comp[n + 1 :] != comp[n])) + n + 1
-            hit = hit[np.argmax(bands[hit] == bands[n], axis=1) == band]
-            u += [n] * len(hit)
-            v += hit.tolist()
-        return pa.table({"u": ids.take(pa.array(u, pa.int64())), "v": ids.take(pa.array(v, pa.int64()))})
+            hit = hit[bands[n][np.argmax(bands[hit] == bands[n], axis=1)] == bucket]
+            u.append(np.full(len(hit), n))
+            v.append(hit)
+        u, v = (np.concatenate([np.zeros(0, dtype=np.int64), *x]) for x in (u, v))
+        return pa.table({"u": ids[u], "v": ids[v]})
 
-    kind = members.schema["id"].dataType.simpleString()
-    return pairs.union(dealt.groupBy("bucket", "a", "b").applyInArrow(W.tidy_group(compare), f"u {kind}, v {kind}")).distinct()
+    return pairs.union(dealt.groupBy("bucket", "a", "b").applyInArrow(W.tidy_group(compare), "u long, v long")).distinct()
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", plan: Plan = Plan()) -> DataFrame:
@@ -228,29 +263,42 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", pl
     the links of all of them. A row with a null key takes part in nothing: component_id null, kept.
     Other columns are not read. No rows give no rows.
     """
-    signed = settled(signatures(docs, text, key, plan), "signatures")
+    work = Work(docs.sparkSession, "near")
+    signed = work.settled(signatures(docs, text, key, plan).withColumn("r", F.monotonically_increasing_id()), "signatures")
     full = signed.filter("n_shingles > 0 AND id IS NOT NULL")
-    classes = settled(full.groupBy("p", "q", "n_shingles").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("odd").alias("odd")), "classes")
-    banded = classes.select("id", F.posexplode("bands").alias("band", "value")).select("id", "band", F.xxhash64("band", "value").alias("bucket"))
-    leads = settled(banded.groupBy("bucket").agg(F.min("id").alias("lead"), F.count("*").alias("n")).filter("n > 1"), "leads")
-    members = settled(banded.join(leads, "bucket"), "members")
-    star = members.filter("id <> lead").select(F.col("lead").alias("u"), F.col("id").alias("v")).distinct()
-    odd = classes.select("id", "odd")
-    close = star.join(odd.select(F.col("id").alias("u"), F.col("odd").alias("odd_u")), "u").join(odd.select(F.col("id").alias("v"), F.col("odd").alias("odd_v")), "v").filter(differing("odd_u", "odd_v") <= plan.most_bits())
-    # every later check reads texts of these only, so they are fetched once
-    texts = settled(texts_of(docs.select(F.col(key).alias("id"), F.col(text).alias("text")), members.select("id")).dropDuplicates(), "texts")
-    links = settled(verified(settled(close.select("u", "v"), "pairs"), texts, plan), "links")
-    # classes that share a key are one node too
-    own = full.join(classes.select("p", "q", "n_shingles", F.col("id").alias("class")), ["p", "q", "n_shingles"]).select("id", "class", "n_shingles").distinct()
-    same = own.filter("id <> class").select(F.col("class").alias("u"), F.col("id").alias("v"))
-    first = components(links)
-    placed = members.join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    held = [*_numbered("b", plan.bands), *_numbered("o", plan.bits // 64)]
+    # a class is known by the number of one of its rows
+    classes = work.settled(full.groupBy("p", "q", "n_shingles").agg(F.min("r").alias("c"), *(F.first(h).alias(h) for h in held)), "classes")
+    bands, odd = F.array(*_numbered("b", plan.bands)), F.array(*_numbered("o", plan.bits // 64))
+    # a set that not even one shingle more or less would be close to has no link but with its equals
+    able = classes.filter(100 * F.col("n_shingles") >= plan.percent * (F.col("n_shingles") + 1))
+    met = work.settled(colliding(able.select("c", F.explode(bands).alias("bucket"))), "met")
+    leads = met.groupBy("bucket").agg(F.min("c").alias("lead"), F.count("*").alias("n")).filter("n > 1")
+    members = work.settled(met.join(leads, "bucket"), "members")
+    star = members.filter("c <> lead").select(F.col("lead").alias("u"), F.col("c").alias("v")).distinct()
+    sketched = classes.join(members.select("c").distinct(), "c", "left_semi").select("c", odd.alias("odd"))
+    close = star.join(sketched.select(F.col("c").alias("u"), F.col("odd").alias("odd_u")), "u").join(sketched.select(F.col("c").alias("v"), F.col("odd").alias("odd_v")), "v").filter(differing("odd_u", "odd_v") <= plan.most_bits())
+    # every later check reads texts of these only, so they are fetched once; neither side has a bound, so by a shuffle at every size
+    asked = signed.select("id", "tag", F.col("r").alias("c")).join(members.select("c").distinct(), "c", "left_semi")
+    tagged = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("tag"))
+    texts = work.settled(tagged.join(asked.hint("merge"), ["id", "tag"]).dropDuplicates(["id", "tag"]).select("c", "text"), "texts")
+    links = work.settled(verified(work.settled(close.select("u", "v"), "pairs"), texts, plan), "links")
+    first = components(links, work)
+    placed = members.join(first.withColumnRenamed("id", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("bucket")
-    left = settled(placed.join(mixed, "bucket", "left_semi").select("bucket", "band", "n", "id", "component"), "left")
-    fine = settled(_fine(texts_of(texts, left.select("id")), plan), "fine")
-    rest = settled(_across(left.join(fine, "id").join(classes.select("id", "bands"), "id"), plan), "rest")
+    left = work.settled(placed.join(mixed, "bucket", "left_semi").select("bucket", "n", "c", "component"), "left")
+    fine = work.settled(_fine(texts.join(left.select("c").distinct().hint("merge"), "c", "left_semi"), plan), "fine")
+    rest = work.settled(_across(left.join(fine, "c").join(classes.select("c", bands.alias("bands")), "c"), plan), "rest")
     if not rest.isEmpty():
-        links = links.union(settled(verified(rest, settled(texts_of(texts, rest.select(F.col("u").alias("id")).distinct().union(rest.select("v").distinct())), "texts"), plan), "links"))
-    last = components(links.union(same))
-    out = signed.select("id", "n_shingles").join(last, "id", "left").withColumn("component", F.when(F.col("n_shingles") > 0, F.coalesce("component", "id")).otherwise(F.col("id")))
-    return out.select(F.col("id").alias(key), "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("component") == F.col("id"), F.lit(True)).alias("kept"))
+        few = rest.select(F.col("u").alias("c")).union(rest.select("v")).distinct()
+        links = links.union(work.settled(verified(rest, work.settled(texts.join(few.hint("merge"), "c", "left_semi"), "texts"), plan), "links"))
+    rows = work.settled(full.select("r", "id", "p", "q", "n_shingles").join(classes.select("p", "q", "n_shingles", "c"), ["p", "q", "n_shingles"]).select("id", "n_shingles", "c"), "rows")
+    # classes that share a key are one node too
+    several = rows.groupBy("id").agg(F.min("c").alias("u"), F.max("c").alias("high")).filter("u < high").select("id", "u")
+    same = rows.join(several, "id").select("u", F.col("c").alias("v"))
+    last = components(links.union(same), work)
+    grouped = work.settled(rows.join(last.withColumnRenamed("id", "c"), "c", "left").select("id", "n_shingles", F.coalesce("component", "c").alias("component")), "grouped")
+    lowest = work.settled(grouped.groupBy("component").agg(F.min("id").alias("component_id")), "lowest")
+    out = grouped.join(lowest, "component").select("id", "n_shingles", "component_id")
+    out = out.unionByName(signed.filter("n_shingles = 0 OR id IS NULL").select("id", "n_shingles", F.col("id").alias("component_id")))
+    return work.concluded(out.select(F.col("id").alias(key), "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("id"), F.lit(True)).alias("kept")), "near")

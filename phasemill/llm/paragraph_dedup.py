@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 
 from phasemill.llm import words as W
 from phasemill.llm.odd_sketch import Plan, near_duplicates
-from phasemill.llm.shared import settled
 
 _LINE = np.ones(256, dtype=bool)
 _LINE[10] = False
@@ -71,7 +70,7 @@ def paragraph_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", **
     first_docs: the documents that keep the first of what is removed. Null, empty and short texts and
     null keys have no paragraphs. See repeated_paragraphs for the rest. No rows give no rows.
     """
-    found = settled(repeated_paragraphs(docs, text, key, **limits), "paragraphs")
+    found = repeated_paragraphs(docs, text, key, **limits)
     gone = ~F.col("kept")
     each = found.groupBy(F.col("doc").alias(key)).agg(
         F.count("*").alias("n_paragraphs"),

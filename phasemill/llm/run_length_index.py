@@ -22,12 +22,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from phasemill.llm import words as W
 from phasemill.llm.backoff_lm import pack, unpack
-from phasemill.llm.shared import concluded, pieces, settled
+from phasemill.llm.shared import Work, pieces
 
 #: Bytes of a string that counts as repeated, and of an anchor within it.
 WINDOW = 100
@@ -41,7 +42,9 @@ GROUP_BYTES = 6_000_000
 #: Different stretches of one anchor up to which their bytes meet; the windows of more are dealt by their hashes.
 HOT_STRETCHES = 2_000
 _PLACE_BITS = 22
-ENTRY = [("anchor", np.uint64), ("print", np.uint64), ("doc", np.int64), ("row", np.uint16), ("start", np.int64), ("count", np.uint8)]
+#: Shifts that spread a key over its low bits.
+_FOLDS = (32, 16, 8)
+ENTRY = [("anchor", np.uint64), ("print", np.uint64), ("doc", np.int64), ("row", np.int64), ("start", np.int64), ("count", np.uint8)]
 _MARKS = ("doc", "row", "start", "count")
 
 
@@ -105,9 +108,20 @@ def _received(table: pa.Table | pa.RecordBatch, names: tuple[str, ...]) -> dict[
     return {n: np.concatenate(v) for n, v in out.items()}
 
 
-def _group_of(doc: np.ndarray, groups: int) -> np.ndarray:
-    """The group of documents that a key belongs to; the same in Spark as pmod(key, groups)."""
-    return np.mod(doc, groups).astype(np.int64)
+def _group_of(e: dict[str, np.ndarray], groups: int) -> np.ndarray:
+    """The group of documents that each entry's key and text hash fall in."""
+    x = (e["doc"] ^ e["row"]).view(np.uint64)
+    for by in _FOLDS:
+        x = x ^ (x >> np.uint64(by))
+    return np.mod(x.view(np.int64), groups)
+
+
+def _group(groups: int) -> Column:
+    """The same in Spark; rows without a key go by their text."""
+    x = F.coalesce("_doc", F.lit(0)).cast("long").bitwiseXOR(F.col("_row"))
+    for by in _FOLDS:
+        x = x.bitwiseXOR(F.shiftrightunsigned(x, by))
+    return F.pmod(x, F.lit(groups)).cast("int")
 
 
 def _cut(docs: DataFrame, groups: int) -> DataFrame:
@@ -132,7 +146,7 @@ def _cut(docs: DataFrame, groups: int) -> DataFrame:
         twin_of_first = repeat & (d == d[head]) & (s == s[head]) & (r == r[head])
         marked = np.sort(order[repeat & ~twin & ~twin_of_first])
         sub = {n: e[n][marked] for n in _MARKS}
-        rows += _send(sub, _group_of(sub["doc"], groups), 1, _MARKS)
+        rows += _send(sub, _group_of(sub, groups), 1, _MARKS)
         return _batch(rows)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +163,7 @@ def _cut(docs: DataFrame, groups: int) -> DataFrame:
                 for lo, bounds, x in found:
                     start, count, anchor, prints = stretches(x, bounds)
                     row = np.searchsorted(bounds, start, side="right") - 1
-                    held.append({"anchor": anchor, "print": prints, "doc": docs_[row].astype(np.int64), "row": rows_[row].astype(np.uint16), "start": start - bounds[row] + lo, "count": count.astype(np.uint8)})
+                    held.append({"anchor": anchor, "print": prints, "doc": docs_[row].astype(np.int64), "row": rows_[row].astype(np.int64), "start": start - bounds[row] + lo, "count": count.astype(np.uint8)})
                     size += len(x)
                 if size >= BLOCK_BYTES:
                     yield send(held)
@@ -178,13 +192,13 @@ def _settle_equal(groups: int, hot: int):
         same_place = (e["doc"] == e["doc"][head]) & (e["start"] == e["start"][head]) & (e["row"] == e["row"][head])
         rows = []
         sub = {n: e[n][~lead & ~same_place] for n in _MARKS}
-        rows += _send(sub, _group_of(sub["doc"], groups), 1, _MARKS)
+        rows += _send(sub, _group_of(sub, groups), 1, _MARKS)
         anchor_no = np.cumsum(new_anchor) - 1
         different = np.bincount(anchor_no[lead], minlength=anchor_no[-1] + 1 if len(order) else 0)[anchor_no]
         names2 = ("anchor", *_MARKS)
         for kind, ask in ((2, lead & (different > 1) & (different <= hot)), (3, lead & (different > max(1, hot)))):
             sub = {n: e[n][ask] for n in names2}
-            rows += _send(sub, _group_of(sub["doc"], groups), kind, names2)
+            rows += _send(sub, _group_of(sub, groups), kind, names2)
         return pa.concat_tables([pa.Table.from_batches([_batch(rows)]), passed.cast(_batch([]).schema)])
 
     return settle
@@ -385,7 +399,7 @@ def _first_windows(e: dict[str, np.ndarray], groups: int) -> tuple[dict[str, np.
     at = np.flatnonzero(edge)
     sub = {"doc": doc[at], "row": row[at], "start": start[at], "count": np.diff(np.append(at, len(later))).astype(np.uint8)}
     chosen = np.sort(order[lead])
-    return {n: v[chosen] for n, v in e.items()}, list(_send(sub, _group_of(sub["doc"], groups), 1, _MARKS))
+    return {n: v[chosen] for n, v in e.items()}, list(_send(sub, _group_of(sub, groups), 1, _MARKS))
 
 
 def _compare(groups: int):
@@ -420,7 +434,7 @@ def _compare(groups: int):
         first = np.flatnonzero(edge)
         count = np.diff(np.append(first, len(starts)))
         sub = {"doc": e["doc"][which[first]], "row": e["row"][which[first]], "start": e["start"][which[first]] + starts[first], "count": count.astype(np.uint8)}
-        return pa.concat_tables([pa.Table.from_batches([_batch(list(_send(sub, _group_of(sub["doc"], groups), 1, _MARKS)))]), *held])
+        return pa.concat_tables([pa.Table.from_batches([_batch(list(_send(sub, _group_of(sub, groups), 1, _MARKS)))]), *held])
 
     return compare
 
@@ -428,13 +442,14 @@ def _compare(groups: int):
 def _by_document(docs: pa.Table, e: dict[str, np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
     """(row of docs, entries of it), for every row of the group."""
     order = np.lexsort((e["start"], e["row"], e["doc"]))
+    held = {n: e[n][order] for n in ("doc", "row")}
     for n, (doc, row) in enumerate(zip(docs.column("_doc").to_pylist(), docs.column("_row").to_pylist(), strict=True)):
         if doc is None:
             yield n, order[:0]
             continue
-        low, high = np.searchsorted(e["doc"], doc, "left", sorter=order), np.searchsorted(e["doc"], doc, "right", sorter=order)
-        at = order[low:high]
-        yield n, at[e["row"][at] == row]
+        low, high = np.searchsorted(held["doc"], doc, "left"), np.searchsorted(held["doc"], doc, "right")
+        own = held["row"][low:high]
+        yield n, order[low + np.searchsorted(own, row, "left") : low + np.searchsorted(own, row, "right")]
 
 
 def _fetch(groups: int):
@@ -476,33 +491,31 @@ def _fetch(groups: int):
     return fetch
 
 
-def _remove(key: str, carry: tuple[str, ...]):
-    def remove(docs: pa.Table, marks: pa.Table) -> pa.Table:
-        e = _received(marks, _MARKS)
-        out: dict[str, list] = {n: [] for n in ("n_bytes", "n_removed", "spans", "kept_sha256", "kept_text")}
-        for n, at in _by_document(docs, e):
-            text = docs.column("_text")[n].as_py()
-            body = (text or "").encode()
-            spans: list[list[int]] = []
-            for s, c in zip(e["start"][at].tolist(), e["count"][at].tolist(), strict=True):
-                if spans and s <= spans[-1][1]:
-                    spans[-1][1] = max(spans[-1][1], s + c + WINDOW - 1)
-                else:
-                    spans.append([s, s + c + WINDOW - 1])
-            parts, last = [], 0
-            for a, b in spans:
-                parts.append(body[last:a])
-                last = b
-            kept = b"".join([*parts, body[last:]])
-            out["n_bytes"].append(len(body))
-            out["n_removed"].append(len(body) - len(kept))
-            out["spans"].append([{"from": a, "to": b} for a, b in spans])
-            out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-            out["kept_text"].append(None if text is None else kept.decode(errors="ignore"))
-        types = [pa.int64(), pa.int64(), pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())])), pa.string(), pa.string()]
-        return pa.table([docs.column("_doc"), *(pa.array(v, t) for v, t in zip(out.values(), types, strict=True)), *(docs.column(f"_carry_{c}") for c in carry)], names=[key, *out, *carry])
-
-    return remove
+def _remove(docs: pa.Table, marks: pa.Table) -> pa.Table:
+    """The documents of a group without the marked bytes."""
+    e = _received(marks, _MARKS)
+    out: dict[str, list] = {n: [] for n in ("n_bytes", "n_removed", "spans", "kept_sha256", "kept_text")}
+    for n, at in _by_document(docs, e):
+        text = docs.column("_text")[n].as_py()
+        body = (text or "").encode()
+        spans: list[list[int]] = []
+        for s, c in zip(e["start"][at].tolist(), e["count"][at].tolist(), strict=True):
+            if spans and s <= spans[-1][1]:
+                spans[-1][1] = max(spans[-1][1], s + c + WINDOW - 1)
+            else:
+                spans.append([s, s + c + WINDOW - 1])
+        parts, last = [], 0
+        for a, b in spans:
+            parts.append(body[last:a])
+            last = b
+        kept = b"".join([*parts, body[last:]])
+        out["n_bytes"].append(len(body))
+        out["n_removed"].append(len(body) - len(kept))
+        out["spans"].append([{"from": a, "to": b} for a, b in spans])
+        out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
+        out["kept_text"].append(None if text is None else kept.decode(errors="ignore"))
+    types = [pa.int64(), pa.int64(), pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())])), pa.string(), pa.string()]
+    return pa.table([docs.column("_doc"), *(pa.array(v, t) for v, t in zip(out.values(), types, strict=True)), docs.column("_carried")], names=["_doc", *out, "_carried"])
 
 
 def repeated_bytes(docs: DataFrame, text: str = "text", key: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -513,23 +526,20 @@ def repeated_bytes(docs: DataFrame, text: str = "text", key: str = "doc_id", car
     the rest without characters that a removed run cut. A null text has no bytes and stays null,
     shorter texts than 100 bytes and null keys are never touched nor compared. The key is an
     integer. A row given twice is one text, of which neither copy is the earlier; different texts
-    of one key are ordered by a hash. No rows give no rows.
+    of one key are told apart and ordered by a 64-bit hash. Carried columns may have any name but
+    those of the result. No rows give no rows.
     """
     groups = pieces(docs, text, GROUP_BYTES, 4)
-    kind = docs.schema[key].dataType.simpleString()
-    slim = docs.select(F.col(key).alias("_doc"), F.col(text).alias("_text"), F.pmod(F.xxhash64(F.col(text)), F.lit(65536)).cast("int").alias("_row"))
+    # extra columns travel as one struct, whatever their names
+    whole = docs.select(F.col(key).alias("_doc"), F.col(text).alias("_text"), F.xxhash64(F.col(text)).alias("_row"), (F.struct(*(F.col(c) for c in carry)) if carry else F.lit(0)).alias("_carried"))
+    slim = whole.drop("_carried")
+    work = Work(docs.sparkSession, "repeats")
     sent = _cut(slim.filter("_text IS NOT NULL"), groups)
-
-    whole = docs.select(F.col(key).alias("_doc"), F.col(text).alias("_text"), F.pmod(F.xxhash64(F.col(text)), F.lit(65536)).cast("int").alias("_row"), *(F.col(c).alias(f"_carry_{c}") for c in carry))
-    grouped, carrying = (d.withColumn("_group", F.coalesce(F.pmod(F.col("_doc"), F.lit(groups)).cast("int"), F.pmod(F.xxhash64("_text"), F.lit(groups)).cast("int"))) for d in (slim, whole))
-
-    def marked() -> DataFrame:
-        first = settled(sent.groupBy("bucket").applyInArrow(W.tidy_group(_settle_equal(groups, HOT_STRETCHES)), _PACKED), "equal")
-        wanted = grouped.groupBy("_group").cogroup(first.filter("kind >= 2").withColumnRenamed("bucket", "_group").groupBy("_group"))
-        second = wanted.applyInArrow(W.tidy_pair(_fetch(groups)), _PACKED).groupBy("bucket").applyInArrow(W.tidy_group(_compare(groups)), _PACKED)
-        return first.filter("kind = 1").union(second)
-
-    marks = concluded(marked, "marks").withColumnRenamed("bucket", "_group")
-    schema = f"`{key}` {kind}, n_bytes long, n_removed long, spans array<struct<from:long,to:long>>, kept_sha256 string, kept_text string"
-    schema += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    return carrying.groupBy("_group").cogroup(marks.groupBy("_group")).applyInArrow(W.tidy_pair(_remove(key, carry)), schema)
+    first = work.settled(sent.groupBy("bucket").applyInArrow(W.tidy_group(_settle_equal(groups, HOT_STRETCHES)), _PACKED), "equal")
+    wanted = slim.withColumn("_group", _group(groups)).groupBy("_group").cogroup(first.filter("kind >= 2").withColumnRenamed("bucket", "_group").groupBy("_group"))
+    second = wanted.applyInArrow(W.tidy_pair(_fetch(groups)), _PACKED).groupBy("bucket").applyInArrow(W.tidy_group(_compare(groups)), _PACKED)
+    marks = work.concluded(first.filter("kind = 1").union(second), "marks").withColumnRenamed("bucket", "_group")
+    made = T.StructType.fromDDL("n_bytes long, n_removed long, spans array<struct<from:long,to:long>>, kept_sha256 string, kept_text string")
+    schema = T.StructType([whole.schema["_doc"], *made.fields, whole.schema["_carried"]])
+    out = whole.withColumn("_group", _group(groups)).groupBy("_group").cogroup(marks.groupBy("_group")).applyInArrow(W.tidy_pair(_remove), schema)
+    return out.select(F.col("_doc").alias(key), "n_bytes", "n_removed", "spans", "kept_sha256", "kept_text", *(F.col(f"_carried.`{c}`").alias(c) for c in carry))

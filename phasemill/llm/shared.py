@@ -4,18 +4,21 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_made: list[str] = []
-
 
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where that is unset, as in tests, a new folder that is set as such."""
+    """spark.checkpoint.dir of the session; where that is unset, a new folder that is set as such, on one machine only.
+
+    On a cluster an unset folder raises ValueError: executors would not see each other's files.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -23,23 +26,31 @@ def folder(spark: SparkSession) -> str:
 
 def settled(df: DataFrame, name: str) -> DataFrame:
     """df written once to the shared folder and read from there: its lineage ends, and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _made.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Work:
+    """The intermediate tables of one run of an operator, in a folder of its own."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.path, self.made = spark, f"{folder(spark)}/{name}-{uuid.uuid4().hex}", 0
 
+    def settled(self, df: DataFrame, name: str) -> DataFrame:
+        """As settled, within this folder."""
+        self.made += 1
+        path = f"{self.path}/{self.made}-{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
-def concluded(make: Callable[[], DataFrame], name: str) -> DataFrame:
-    """What make returns, settled; the tables that it settled on the way are deleted then."""
-    first = len(_made)
-    out = settled(make(), name)
-    context = out.sparkSession.sparkContext
-    for path in _made[first:-1]:
-        at = context._jvm.org.apache.hadoop.fs.Path(path)
+    def concluded(self, df: DataFrame, name: str) -> DataFrame:
+        """df settled outside; the tables of this run are deleted then."""
+        out = settled(df, name)
+        context = self.spark.sparkContext
+        at = context._jvm.org.apache.hadoop.fs.Path(self.path)
         at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
-    del _made[first:-1]
-    return out
+        return out
 
 
 def pieces(df: DataFrame, column: str, bytes_each: int = 8_000_000, least: int = 12) -> int:

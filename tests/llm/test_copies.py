@@ -198,3 +198,11 @@ def test_equal_windows_of_many_copies():
         windows = [t[i : i + 100] for i in range(len(t) - 99)]
         assert found.tolist() == [i for i, w in enumerate(windows) if w in seen]
         seen.update(windows)
+
+
+def test_texts_of_one_key_are_told_apart(spark):
+    """Rows of one key with different texts, keys in strides: nothing of a text without copies goes."""
+    rows = [(8 * k, H.prose(k, 40, 3000), "a") for k in range(60)] + [(8, H.prose(500 + k, 40, 3000), "b") for k in range(40)]
+    got = run_length_index.repeated_bytes(H.docs(spark, rows), carry=("text", "source", "lang")).withColumnRenamed("n_removed", "gone").collect()
+    assert len(got) == 100 and all(g.gone == 0 and g.kept_text == g.text for g in got)
+    assert H.counts((g.doc_id, g.text, g.source) for g in got) == H.counts(rows)
