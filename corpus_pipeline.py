@@ -14,7 +14,7 @@ from phasemill.llm.odd_sketch import near_duplicates
 from phasemill.llm.pfair import mixed
 from phasemill.llm.positional_index import contamination
 from phasemill.llm.run_length_index import repeated_bytes
-from phasemill.llm.shared import concluded, settled
+from phasemill.llm.shared import settled
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,7 +39,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = settled(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
     filled = F.coalesce("doc_id", F.lit("0").cast(docs.schema["doc_id"].dataType))
     keyed = rows.select(F.struct(F.col("doc_id").isNull().alias("none"), filled.alias("doc_id"), "_row").alias("_key"), "text")
-    gone = concluded(lambda: near_duplicates(keyed, key="_key").filter(~F.col("kept")).select(F.col("_key._row").alias("_gone")), "near")
+    gone = near_duplicates(keyed, key="_key").filter(~F.col("kept")).select(F.col("_key._row").alias("_gone"))
     return rows.join(gone, F.col("_row") == F.col("_gone"), "left_anti").select(*docs.columns)
 
 
