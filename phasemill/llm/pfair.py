@@ -3,60 +3,85 @@
 Each source is a task that owes its weight of every slot. Its k-th block may run from slot
 floor(k / w) and must have run by slot ceil((k + 1) / w); taking the released block with the
 earliest deadline in each slot keeps every source less than one block away from its share.
-The schedule has one row per block, at most about `most_blocks` of them, and is made on the
-driver from the sources' sizes alone; documents find their block by a running sum in Spark.
+Weights are whole shares of a period, and after a period every source has exactly its share,
+so the schedule of one period repeats. Where a source ends, a new phase begins with the
+sources that are left. The driver makes one period per phase from the sources' sizes alone,
+whatever the number of blocks; documents find their block by a running sum and its slot by
+the block's place within a period, both in Spark.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Mapping
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bytes of a block at least, and blocks of a schedule at most besides one per source.
+#: Bytes of a block.
 BLOCK_BYTES = 65_536
-MOST_BLOCKS = 1_000_000
-MOST_SOURCES = 100_000
+#: Slots of a period of all sources: weights are rounded to whole shares of it.
+PERIOD = 10_000
+#: Sources that are tasks of their own; the smallest of more are one task together.
+TASKS = 256
 #: Bytes of a source that one task sums up.
 SUM_BYTES = 64_000_000
 
 
-def schedule(blocks: list[int], shares: list[int]) -> list[tuple[int, int, int, int, int]]:
-    """(slot, source, block, release, deadline) for sources with so many blocks and integer shares.
+@dataclass(frozen=True)
+class Phase:
+    """Slots from `begin` on in which the same sources run. period: (slot, source, k, release, deadline) of the slots of one period, k from 0."""
 
-    Where a source runs out the rest are scheduled anew from there with the shares that are left, so
-    in each such phase every source is less than one block from its share. Equal deadlines go by the
-    sources' order. A share below 1 counts as 1; sources without blocks take no part.
+    begin: int
+    slots: int
+    shares: dict[int, int]
+    done: dict[int, int]
+    period: list[tuple[int, int, int, int, int]]
+
+    @property
+    def length(self) -> int:
+        return sum(self.shares.values())
+
+
+def one_period(shares: dict[int, int], most: int) -> list[tuple[int, int, int, int, int]]:
+    """(slot, source, k, release, deadline) of a period, or of its first slots; equal deadlines go by the sources' order."""
+    whole, out = sum(shares.values()), []
+    k = dict.fromkeys(shares, 0)
+    waiting = [(0, i) for i in shares]
+    heapq.heapify(waiting)
+    ready: list[tuple[int, int, int]] = []
+    for t in range(min(whole, most)):
+        while waiting and waiting[0][0] <= t:
+            release, i = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(k[i] + 1) * whole // shares[i]), i, release))
+        deadline, i, release = heapq.heappop(ready)
+        out.append((t, i, k[i], release, deadline))
+        k[i] += 1
+        heapq.heappush(waiting, (k[i] * whole // shares[i], i))
+    return out
+
+
+def phases(blocks: list[int], shares: list[int]) -> list[Phase]:
+    """The phases of sources with so many blocks and whole shares.
+
+    In each phase every source is less than one block from its share of the phase's slots. A share
+    below 1 counts as 1; sources without blocks take no part.
     """
-    out: list[tuple[int, int, int, int, int]] = []
-    done = [0] * len(blocks)
-    active = [i for i, n in enumerate(blocks) if n > 0]
-    shares = [max(1, s) for s in shares]
-    begin = 0
-    while active:
-        whole = sum(shares[i] for i in active)
-        first = {i: done[i] for i in active}
-        waiting = [(0, i) for i in active]
-        heapq.heapify(waiting)
-        ready: list[tuple[int, int, int]] = []
-        t = 0
-        while True:
-            while waiting and waiting[0][0] <= t:
-                release, i = heapq.heappop(waiting)
-                k = done[i] - first[i]
-                heapq.heappush(ready, (-(-(k + 1) * whole // shares[i]), i, release))
-            deadline, i, release = heapq.heappop(ready)
-            out.append((begin + t, i, done[i], begin + release, begin + deadline))
-            done[i] += 1
-            t += 1
-            if done[i] == blocks[i]:
-                break
-            heapq.heappush(waiting, ((done[i] - first[i]) * whole // shares[i], i))
-        begin += t
-        active = [i for i in active if done[i] < blocks[i]]
+    left, begin, out = list(blocks), 0, []
+    while active := {i: max(1, shares[i]) for i, n in enumerate(left) if n > 0}:
+        whole = sum(active.values())
+        rounds = min((left[i] - 1) // s for i, s in active.items())  # whole periods in which none ends
+        period = one_period(active, whole)
+        ends = {i: left[i] - rounds * s for i, s in active.items()}
+        slots = rounds * whole + 1 + next(t for t, i, k, _, _ in period if k + 1 == ends[i])
+        out.append(Phase(begin, slots, active, {i: blocks[i] - left[i] for i in active}, period if slots >= whole else period[:slots]))
+        for i, s in active.items():
+            left[i] -= rounds * s
+        for _, i, _, _, _ in period[: slots - rounds * whole]:
+            left[i] -= 1
+        begin += slots
     return out
 
 
@@ -65,37 +90,59 @@ def _named(source: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))
 
 
-def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, tempering: float = 0.7, text: str = "text", key: str = "doc_id", source: str = "source", block_bytes: int = BLOCK_BYTES, most_blocks: int = MOST_BLOCKS, carry: tuple[str, ...] = ()) -> DataFrame:
+def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, tempering: float = 0.7, text: str = "text", key: str = "doc_id", source: str = "source", block_bytes: int = BLOCK_BYTES, period: int = PERIOD, tasks: int = TASKS, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of docs: key, source, n_bytes, block, slot, offset, release, deadline and the carried columns; the mix is in order of slot, offset.
 
     weights: target weights of sources by name, in any unit (sources that it doesn't name get the
-    least of them); without it a source weighs its share of bytes to the power `tempering`. A row
-    weighs the UTF-8 bytes of its text and one more, so null and empty texts have a place too. Within
-    a source rows are ordered by a hash of the key, then the key, then a hash of the text; rows that
+    least of them); without it a source weighs its share of bytes to the power `tempering`. They are
+    rounded to whole shares of `period` slots, one at least. A row weighs the UTF-8 bytes of its text
+    and one more, so null and empty texts have a place too. Within a source rows are ordered by a
+    hash of the key (of the text where it is null), then the key, then a hash of the text; rows that
     are equal in these follow each other in any order. A row is in the block in which it begins; a
-    text longer than a block leaves the next blocks to what follows. Null is a source of its own.
-    Every row is placed once; when a source ends, the others share its slots by their weights. More
-    than MOST_SOURCES sources raise ValueError. No rows give no rows.
+    text longer than a block leaves the next blocks to what follows. Null is a source of its own. Of
+    more than `tasks` sources the smallest are one task together, with the sum of their weights, in
+    which their rows follow each other by hash. Every row is placed once; when a source ends, the
+    others share its slots by their weights. Carried columns may have any name but those of the
+    result. No rows give no rows.
     """
     spark = docs.sparkSession
-    sized = docs.select(F.col(key).alias("_key"), F.col(source).alias("_source"), _named(source).alias("_name"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("_size"), F.xxhash64(F.col(key)).alias("_at"), F.xxhash64(F.col(text)).alias("_tie"), F.struct(*(F.col(c) for c in carry) or [F.lit(0).alias("none")]).alias("_carried"))
-    sizes = sized.groupBy("_name").agg(F.sum("_size").alias("size")).orderBy("_name").limit(MOST_SOURCES + 1).collect()
-    if len(sizes) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    total = sum(r["size"] for r in sizes)
-    block = max(block_bytes, -(-total // most_blocks))
+    hashed = F.coalesce(F.when(F.col(key).isNotNull(), F.xxhash64(F.col(key))), F.xxhash64(F.col(text)))
+    sized = docs.select(F.col(key).alias("_key"), F.col(source).alias("_source"), _named(source).alias("_name"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("_size"), hashed.alias("_at"), F.xxhash64(F.col(text)).alias("_tie"), (F.struct(*(F.col(c) for c in carry)) if carry else F.lit(0)).alias("_carried"))
+    by_name = sized.groupBy("_name").agg(F.sum("_size").alias("size"))
+    sizes = by_name.orderBy(F.desc("size"), "_name").limit(tasks).collect()  # as many as tasks at most
+    total, count = by_name.agg(F.sum("size"), F.count("*")).first()
+    total = int(total or 0)
     least = min((w for w in weights.values() if w > 0), default=1.0) if weights else 1.0
-    wanted = [max(weights.get(r["_name"][1:], least), 0) if weights else (r["size"] / total) ** tempering for r in sizes]
-    shares = [max(1, round(w / max(sum(wanted), 1e-300) * 1_000_000_000)) for w in wanted]
-    rows = schedule([-(-r["size"] // block) for r in sizes], shares)
-    names = [r["_name"] for r in sizes]
-    plan = pd.DataFrame({"slot": [r[0] for r in rows], "_name": [names[r[1]] for r in rows], "block": [r[2] for r in rows], "release": [r[3] for r in rows], "deadline": [r[4] for r in rows]})
-    slots = spark.createDataFrame(plan, "slot long, _name string, block long, release long, deadline long")
+    wish = lambda name, size: max(weights.get(name[1:], least), 0) if weights else (size / total) ** tempering
+    names, held, wanted = [r["_name"] for r in sizes], [r["size"] for r in sizes], [wish(r["_name"], r["size"]) for r in sizes]
+    if count > tasks:
+        others = by_name.filter(~F.col("_name").isin(names))
+        named = F.coalesce(*(F.when(F.col("_name") == f"={n}", F.lit(float(max(w, 0)))) for n, w in weights.items()), F.lit(float(least))) if weights else F.pow(F.col("size") / total, F.lit(tempering))
+        size, weight = others.agg(F.sum("size"), F.sum(named)).first()
+        names, held, wanted = [*names, "~"], [*held, int(size)], [*wanted, float(weight)]  # no name begins with this sign
+        sized = sized.withColumn("_name", F.when(F.col("_name").isin(names), F.col("_name")).otherwise("~"))
+    shares = [max(1, round(w / max(sum(wanted), 1e-300) * period)) for w in wanted]
+    block = int(block_bytes)
+    plan = phases([-(-n // block) for n in held], shares)
+    of = [(names[i], n, p.done[i], p.begin, p.shares[i], p.length) for n, p in enumerate(plan) for i in p.shares]
+    spans = spark.createDataFrame(pd.DataFrame(of, columns=["_name", "phase", "done", "begin", "share", "length"]), "_name string, phase int, done long, begin long, share long, length long")
+    rows = [(n, names[i], k, t, r, d) for n, p in enumerate(plan) for t, i, k, r, d in p.period]
+    slots = spark.createDataFrame(pd.DataFrame(rows, columns=["phase", "_name", "k", "t", "r", "d"]), "phase int, _name string, k long, t long, r long, d long")
     parts = int(max(1, -(-total // SUM_BYTES)))
     # parts of the hash range keep the order, so each part can be summed up alone
     cut = sized.withColumn("_part", F.floor((F.shiftrightunsigned(F.col("_at").bitwiseXOR(F.lit(-(1 << 63))), 33) * parts) / F.lit(float(1 << 31))).cast("long"))
     before = cut.groupBy("_name", "_part").agg(F.sum("_size").alias("size")).select("_name", "_part", (F.sum("size").over(Window.partitionBy("_name").orderBy("_part")) - F.col("size")).alias("_before"))
     order = Window.partitionBy("_name", "_part").orderBy("_at", "_key", "_tie").rowsBetween(Window.unboundedPreceding, 0)
     summed = cut.withColumn("_start", F.sum("_size").over(order) - F.col("_size")).join(before, ["_name", "_part"]).withColumn("_start", F.col("_start") + F.col("_before"))
-    placed = summed.withColumn("block", F.expr(f"_start div {block}")).withColumn("offset", F.pmod("_start", F.lit(block))).join(slots, ["_name", "block"])
-    return placed.select(F.col("_key").alias(key), F.col("_source").alias(source), F.col("_size").alias("n_bytes"), "block", "slot", "offset", "release", "deadline", *(F.col(f"_carried.{c}").alias(c) for c in carry))
+    placed = summed.withColumn("_block", F.expr(f"_start div {block}"))
+    # a source's phases, as many as there are sources at most, in one row each: the last that has begun by the block
+    ranges = spans.groupBy("_name").agg(F.array_sort(F.collect_list(F.struct("done", "phase", "begin", "share", "length"))).alias("_phases"))
+    last = F.aggregate("_phases", F.element_at("_phases", 1), lambda a, p: F.when(p["done"] <= F.col("_block"), p).otherwise(a))
+    timed = placed.join(ranges, "_name").withColumn("_phase", last).drop("_phases")
+    timed = timed.withColumn("_k", F.col("_block") - F.col("_phase.done"))
+    found = timed.withColumn("phase", F.col("_phase.phase")).withColumn("k", F.pmod("_k", F.col("_phase.share"))).join(slots, ["phase", "_name", "k"])
+    shift = F.col("_phase.begin") + F.expr("_k div _phase.share") * F.col("_phase.length")
+    return found.select(
+        F.col("_key").alias(key), F.col("_source").alias(source), F.col("_size").alias("n_bytes"), F.col("_block").alias("block"), (shift + F.col("t")).alias("slot"),
+        F.pmod("_start", F.lit(block)).alias("offset"), (shift + F.col("r")).alias("release"), (shift + F.col("d")).alias("deadline"), *(F.col(f"_carried.`{c}`").alias(c) for c in carry),
+    )

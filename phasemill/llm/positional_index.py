@@ -3,29 +3,30 @@
 The index is partitioned by document: each segment of consecutive documents holds its own
 dictionary of term hashes and, per term, the sorted positions at which it stands. A phrase
 is found by intersecting the offset-adjusted lists of its terms, the rarest first, so no
-posting is ever shuffled; only the phrases travel, in slices of a bounded size.
+posting is ever shuffled; only the phrases travel, broadcast in slices of a bounded size.
+The index is written once, with a number for each row, and every slice reads it.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phasemill.llm import words as W
-from phasemill.llm.shared import settled
+from phasemill.llm.shared import Work
 
 #: Text of a segment of the index.
 SEGMENT_BYTES = 1_000_000
 #: Words of a phrase that must match in order.
 WINDOW = 13
-#: Bytes of benchmark text that are looked up in one pass; a longer benchmark takes several passes.
+#: Bytes of benchmark text in a slice; each slice is broadcast and takes one pass over the index.
 SLICE_BYTES = 2_000_000
 INDEX = "keys binary, word_bounds binary, terms binary, term_bounds binary, postings binary"
 
@@ -145,8 +146,8 @@ class Segment:
             which, start = which[ok], start[ok]
         return live[which], start
 
-    def near(self, asked: Phrases, slack: int) -> tuple[np.ndarray, np.ndarray]:
-        """(phrase, position of its rarest term) where each other term stands in the same document within `slack` words of it."""
+    def near(self, asked: Phrases, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """(phrase, first word) where all terms of the phrase stand among `width` words of one document, in any order."""
         first, count = self.find(asked.terms)
         used = np.arange(asked.terms.shape[1]) < asked.length[:, None]
         rank = np.where(used, count, np.iinfo(np.int64).max)
@@ -156,16 +157,32 @@ class Segment:
         which = np.repeat(np.arange(len(live)), many)
         inner = np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
         at = self.postings[first[live, order[:, 0]][which] + inner].astype(np.int64)
-        for k in range(1, asked.terms.shape[1]):
-            on = np.flatnonzero(asked.length[live[which]] > k)
-            row = np.searchsorted(self.bounds, at[on], side="right") - 1
-            low = np.maximum(at[on] - slack, self.bounds[row])
-            high = np.minimum(at[on] + slack, self.bounds[row + 1] - 1)
-            f, c = first[live[which[on]], order[which[on], k]], count[live[which[on]], order[which[on], k]]
-            ok = np.ones(len(which), dtype=bool)
-            ok[on] = self.rank_of(f, c, high + 1) > self.rank_of(f, c, low)
-            which, at = which[ok], at[ok]
-        return live[which], at
+
+        def among(which: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+            """Which rows have all their terms in the words [low, high)."""
+            left = np.arange(len(which))
+            for k in range(1, asked.terms.shape[1]):
+                on = asked.length[live[which[left]]] > k
+                term = order[which[left[on]], k]
+                f, c = first[live[which[left[on]]], term], count[live[which[left[on]]], term]
+                ok = np.ones(len(left), dtype=bool)
+                ok[on] = self.rank_of(f, c, high[left[on]]) > self.rank_of(f, c, low[left[on]])
+                left = left[ok]
+            return left
+
+        row = np.searchsorted(self.bounds, at, side="right") - 1
+        low, high = self.bounds[row], self.bounds[row + 1]
+        around = among(which, np.maximum(at - width + 1, low), np.minimum(at + width, high))
+        which, at, low, high = which[around], at[around], low[around], high[around]
+        found, where = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for back in range(width):  # every stretch of so many words that holds the rarest term
+            begin = np.maximum(at - back, low)
+            hit = among(which, begin, np.minimum(at - back + width, high))
+            found.append(live[which[hit]])
+            where.append(begin[hit])
+            rest = np.setdiff1d(np.arange(len(which)), hit)
+            which, at, low, high = which[rest], at[rest], low[rest], high[rest]
+        return np.concatenate(found), np.concatenate(where)
 
     def rank_of(self, first: np.ndarray, count: np.ndarray, position: np.ndarray) -> np.ndarray:
         """How many postings of each list lie before the position."""
@@ -192,16 +209,15 @@ def slices(items: DataFrame, item: str, text: str, most: int = SLICE_BYTES) -> I
         yield held
 
 
-def matches(index: DataFrame, asked: Phrases, kind: str) -> DataFrame:
-    """Per document of the index: n_words, the hit runs of words as (from, to) and the matched items."""
+def matches(index: DataFrame, asked: Broadcast, kind: str) -> DataFrame:
+    """Per document of the index with a hit: the hit runs of words as (from, to) and the matched items."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                seg = Segment(row)
-                n_words = np.diff(seg.bounds)
-                phrase, start = seg.exact(asked)
-                end = start + asked.length[phrase]
+                seg, wanted = Segment(row), asked.value
+                phrase, start = seg.exact(wanted)
+                end = start + wanted.length[phrase]
                 order = np.lexsort((end, start))
                 begin, reach = start[order], np.maximum.accumulate(end[order]) if len(order) else end
                 doc = np.searchsorted(seg.bounds, begin, side="right") - 1
@@ -210,29 +226,39 @@ def matches(index: DataFrame, asked: Phrases, kind: str) -> DataFrame:
                 runs = np.flatnonzero(new)
                 run_doc, run_from = doc[runs], begin[runs]
                 run_to = reach[np.append(runs[1:], len(begin)) - 1] if len(runs) else run_from
-                spans: list[list[dict]] = [[] for _ in n_words]
+                spans: dict[int, list[dict]] = {}
                 for d, a, b in zip(run_doc.tolist(), (run_from - seg.bounds[run_doc]).tolist(), (run_to - seg.bounds[run_doc]).tolist(), strict=True):
-                    spans[d].append({"from": a, "to": b})
-                found: list[set[str]] = [set() for _ in n_words]
+                    spans.setdefault(d, []).append({"from": a, "to": b})
+                found: dict[int, set[str]] = {d: set() for d in spans}
                 at = np.searchsorted(seg.bounds, start, side="right") - 1
                 for d, p in zip(at.tolist(), phrase.tolist(), strict=True):
-                    found[d].update(asked.items[asked.item_bounds[p] : asked.item_bounds[p + 1]])
-                yield pa.RecordBatch.from_arrays([seg.keys, pa.array(n_words), pa.array(spans, pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))), pa.array([sorted(x) for x in found], pa.list_(pa.string()))], names=["_key", "n_words", "spans", "items"])
+                    found[d].update(wanted.items[wanted.item_bounds[p] : wanted.item_bounds[p + 1]])
+                yield pa.RecordBatch.from_arrays([seg.keys.take(pa.array(list(spans), pa.int64())), pa.array(list(spans.values()), pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))), pa.array([sorted(x) for x in found.values()], pa.list_(pa.string()))], names=["_key", "spans", "items"])
+
+    return index.mapInArrow(W.tidy(look), f"_key {kind}, spans array<struct<from:long,to:long>>, items array<string>")
+
+
+def lengths(index: DataFrame, kind: str) -> DataFrame:
+    """(_key, n_words) of every document of the index; reads no terms and no postings."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for keys, bounds in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.ipc.open_stream(keys).read_next_batch().column(0), pa.array(np.diff(np.frombuffer(bounds, dtype=np.int64)))], names=["_key", "n_words"])
 
-    return index.mapInArrow(W.tidy(look), f"_key {kind}, n_words long, spans array<struct<from:long,to:long>>, items array<string>")
+    return index.select("keys", "word_bounds").mapInArrow(count, f"_key {kind}, n_words long")
 
 
-def search_near(index: DataFrame, items: list[tuple[object, str | None]], slack: int, kind: str = "bigint") -> DataFrame:
-    """Proximity matches (_key, item): documents in which all words of a window of the item, in any order, stand within `slack` words of its rarest one."""
-    asked = phrases(items)
+def near_matches(index: DataFrame, asked: Broadcast, width: int, kind: str) -> DataFrame:
+    """(_key, item), each pair once per document: all words of a window of the item stand among `width` words of the document."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                seg = Segment(row)
-                phrase, at = seg.near(asked, slack)
+                seg, wanted = Segment(row), asked.value
+                phrase, at = seg.near(wanted, width)
                 doc = np.searchsorted(seg.bounds, at, side="right") - 1
-                pairs = sorted({(d, i) for d, p in zip(doc.tolist(), phrase.tolist(), strict=True) for i in asked.items[asked.item_bounds[p] : asked.item_bounds[p + 1]]})
+                pairs = sorted({(d, i) for d, p in zip(doc.tolist(), phrase.tolist(), strict=True) for i in wanted.items[wanted.item_bounds[p] : wanted.item_bounds[p + 1]]})
                 yield pa.RecordBatch.from_arrays([seg.keys.take(pa.array([d for d, _ in pairs], pa.int64())), pa.array([i for _, i in pairs], pa.string())], names=["_key", "item"])
 
     return index.mapInArrow(W.tidy(look), f"_key {kind}, item string")
@@ -250,28 +276,58 @@ def merged(spans: Column) -> Column:
     return F.aggregate(spans, F.array().cast("array<struct<from:long,to:long>>"), add)
 
 
+def _numbered_index(docs: DataFrame, text: str, key: str, work: Work) -> tuple[DataFrame, str]:
+    """The written index of docs, whose keys are (row, key) with a number for each row, and the type of these."""
+    numbered = docs.select(F.struct(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key")).alias("_numbered"), F.col(text).alias("_text"))
+    return work.settled(build_index(numbered, "_text", "_numbered"), "index"), numbered.schema["_numbered"].dataType.simpleString()
+
+
+def _each_slice(benchmark: DataFrame, item: str, item_text: str, look: Callable[[Broadcast], DataFrame], work: Work) -> DataFrame | None:
+    """What look finds for each slice of the benchmark, one after the other."""
+    found = None
+    for part in slices(benchmark, item, item_text):
+        asked = benchmark.sparkSession.sparkContext.broadcast(phrases(part))
+        got = work.settled(look(asked), "matches")
+        asked.unpersist()
+        found = got if found is None else found.unionByName(got)
+    return found
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per row of docs: key, n_words, spans (runs of hit words), items (sorted), n_hit, contaminated.
 
     contaminated: a hit, and 20 hit words or more in 400, that is 20 * n_hit >= n_words. Null and
-    empty texts have no words. An empty benchmark hits nothing. The benchmark is read in slices of
-    SLICE_BYTES; with more than one the index is written once, each slice has its pass over it and
-    the runs are merged per row, by a number of the row within the written index. Rows that share
-    a key or have none are judged one by one.
+    empty texts have no words. An empty benchmark hits nothing. Rows have numbers in the index, by
+    which the matches of all slices of the benchmark are put together, so rows that share a key or
+    have none are judged one by one. Other columns are not read. No rows give no rows.
+    """
+    work = Work(docs.sparkSession, "contamination")
+    index, kind = _numbered_index(docs, text, key, work)
+    words = lengths(index, kind).select("_key.row", "_key.key", "n_words")
+    spans, items = F.array().cast("array<struct<from:long,to:long>>"), F.array().cast("array<string>")
+    found = _each_slice(benchmark, item, item_text, lambda asked: matches(index, asked, kind).select("_key.row", "spans", "items"), work)
+    if found is None:
+        found = words.select("row", spans.alias("spans"), items.alias("items")).limit(0)
+    hits = found.groupBy("row").agg(merged(F.array_sort(F.flatten(F.collect_list("spans")))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    covered = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["to"] - s["from"])
+    out = words.join(hits, "row", "left").select(F.col("key").alias(key), "n_words", F.coalesce("spans", spans).alias("spans"), F.coalesce("items", items).alias("items"))
+    out = out.withColumn("n_hit", covered).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+    return work.concluded(out, "contamination")
+
+
+def proximity(docs: DataFrame, benchmark: DataFrame, width: int = 20, text: str = "text", key: str = "doc_id", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(key, item) for each row of docs and item of which all words of a window stand among `width` words of the row, in any order.
+
+    A word that a window holds several times counts once. Rows are judged one by one, as in
+    contamination; those without a match, a text or words have no row here, nor have items without
+    words or id.
     """
-    index, kind = build_index(docs, text, key), docs.schema[key].dataType.simpleString()
-    asked = slices(benchmark, item, item_text)
-    first, second = next(asked, []), next(asked, None)
-    found = matches(index, phrases(first), kind)
-    if second is not None:
-        numbered = docs.select(F.struct(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key")).alias("_numbered"), F.col(text).alias("_text"))
-        index, kind = settled(build_index(numbered, "_text", "_numbered"), "index"), numbered.schema["_numbered"].dataType.simpleString()
-        found = settled(matches(index, phrases(first), kind), "matches")
-        for part in chain([second], asked):
-            found = found.unionByName(settled(matches(index, phrases(part), kind).filter(F.size("spans") > 0), "matches"))
-        found = found.groupBy("_key.row").agg(F.first("_key.key").alias("_key"), F.max("n_words").alias("n_words"), merged(F.array_sort(F.flatten(F.collect_list("spans")))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    covered = F.aggregate("spans", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end")), lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0), s["to"] - F.greatest(a["end"], s["from"]))).alias("n"), F.greatest(a["end"], s["to"]).alias("end")), lambda a: a["n"])
-    return found.select(F.col("_key").alias(key), "n_words", "spans", "items", covered.alias("n_hit")).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+    work = Work(docs.sparkSession, "proximity")
+    index, kind = _numbered_index(docs, text, key, work)
+    found = _each_slice(benchmark, item, item_text, lambda asked: near_matches(index, asked, width, kind).select("_key.row", "_key.key", "item"), work)
+    if found is None:
+        found = lengths(index, kind).select("_key.row", "_key.key", F.lit("").alias("item")).limit(0)
+    return work.concluded(found.distinct().select(F.col("key").alias(key), F.col("item").alias("item_id")), "proximity")
 
 
 def items_digest(items: list[str]) -> str:

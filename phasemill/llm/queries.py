@@ -14,7 +14,7 @@ from phasemill.llm.html_blocks import extracted
 from phasemill.llm.odd_sketch import near_duplicates
 from phasemill.llm.paragraph_dedup import repeated_paragraphs, repeated_passages
 from phasemill.llm.pfair import mixed
-from phasemill.llm.positional_index import contamination
+from phasemill.llm.positional_index import contamination, proximity
 from phasemill.llm.repetition import repetition_coverage
 from phasemill.llm.run_length_index import repeated_bytes
 
@@ -28,15 +28,16 @@ def op1_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_paragraph_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = repeated_paragraphs(table(spark, sf_dir, "documents"))
-    return found.filter(~F.col("kept")).select(F.col("doc").alias("doc_id"), "line", F.col("first_doc").alias("first_doc_id"), "first_line")
-
-
-def op2_every_paragraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeated_passages(table(spark, sf_dir, "documents"))
     return found.filter(~F.col("kept")).select(F.col("doc").alias("doc_id"), "line", F.col("last").alias("last_line"), F.col("first_doc").alias("first_doc_id"), "first_line", F.col("first_last").alias("first_last_line"))
 
 
+def op2_long_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of 20 words or more only."""
+    found = repeated_paragraphs(table(spark, sf_dir, "documents"))
+    return found.filter(~F.col("kept")).select(F.col("doc").alias("doc_id"), "line", F.col("first_doc").alias("first_doc_id"), "first_line")
+
+
 def op3_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores(table(spark, sf_dir, "documents"))
 
@@ -63,6 +64,10 @@ def op8_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op8_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return proximity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeated_bytes(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
@@ -75,13 +80,14 @@ def op10_additive_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_blocks": op1_line_blocks,
     "op2_paragraph_bands": op2_paragraph_bands,
-    "op2_every_paragraph": op2_every_paragraph,
+    "op2_long_paragraphs": op2_long_paragraphs,
     "op3_backoff_automaton": op3_backoff_automaton,
     "op4_deobfuscation": op4_deobfuscation,
     "op5_repetition_coverage": op5_repetition_coverage,
     "op6_pfair": op6_pfair,
     "op7_odd_sketch": op7_odd_sketch,
     "op8_positional_index": op8_positional_index,
+    "op8_proximity": op8_proximity,
     "op9_run_length_index": op9_run_length_index,
     "op10_additive_model": op10_additive_model,
 }
@@ -105,7 +111,7 @@ FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 
 _SPACED = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
-OP2_SQL = f"""
+OP2_LONG_SQL = f"""
 WITH RECURSIVE l AS (SELECT doc_id, i - 1 AS line, x[i] AS text FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents))),
 p AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id, line) AS id, doc_id, line, w FROM (SELECT doc_id, line, {_SPACED} AS w FROM l) WHERE len(w) >= 20),
 s AS MATERIALIZED (SELECT DISTINCT id, unnest(list_transform(range(1, CAST(len(w) - 3 AS BIGINT)), lambda i: array_to_string(w[i : i + 4], ' '))) AS g FROM p),
@@ -119,7 +125,7 @@ SELECT p.doc_id, CAST(p.line AS BIGINT) AS line, q.doc_id AS first_doc_id, CAST(
 """
 
 #: Every line with a word, and blocks of adjacent lines under 20 words.
-OP2_EVERY_SQL = f"""
+OP2_SQL = f"""
 WITH RECURSIVE l AS (SELECT doc_id, i - 1 AS line, x[i] AS text FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents))),
 v AS MATERIALIZED (SELECT doc_id, line, w FROM (SELECT doc_id, line, {_SPACED} AS w FROM l) WHERE len(w) > 0),
 b AS (SELECT doc_id, line, w, line - row_number() OVER (PARTITION BY doc_id ORDER BY line) AS g FROM v WHERE len(w) < 20),
@@ -166,8 +172,8 @@ FROM d JOIN kept USING (doc_id) LEFT JOIN cnt USING (doc_id)
 """
 
 ORACLES: dict[str, str] = {
+    "op2_long_paragraphs": OP2_LONG_SQL,
     "op2_paragraph_bands": OP2_SQL,
-    "op2_every_paragraph": OP2_EVERY_SQL,
     "op7_odd_sketch": OP7_SQL,
     "op8_positional_index": OP8_SQL,
     "op9_run_length_index": OP9_SQL,

@@ -120,29 +120,52 @@ def test_contamination_in_slices_and_without_items(spark, monkeypatch):
     table = H.docs(spark, rows)
     columns = ["doc_id", "n_words", "n_hit", "items", "contaminated"]
     whole = {r.doc_id: tuple(r) for r in positional_index.contamination(table, items).select(columns).collect()}
-    parts = [positional_index.matches(positional_index.build_index(table), positional_index.phrases(s), "long") for s in positional_index.slices(items, "item_id", "text", 100)]
-    assert len(parts) > 1
+    assert len(list(positional_index.slices(items, "item_id", "text", 100))) > 1
     monkeypatch.setattr(positional_index, "slices", lambda *a, f=positional_index.slices: f(*a[:3], 100))
     assert {r.doc_id: tuple(r) for r in positional_index.contamination(table, items).select(columns).collect()} == whole
     assert all(r.n_hit == 0 for r in positional_index.contamination(table, items.limit(0)).collect())
     assert positional_index.contamination(table.limit(0), items).count() == 0
 
 
-def test_contamination_in_slices_judges_each_row(spark, monkeypatch):
+@pytest.mark.parametrize("most", [2_000_000, 100])
+def test_contamination_judges_each_row(spark, monkeypatch, most):
+    """Null and repeated keys, against plain Python, with a benchmark of one slice and of several."""
     a, b = H.prose(31, 20), H.prose(35, 20)
-    rows = [(None, a, "a"), (None, H.prose(36, 50) + " " + b, "a"), (None, "clean words", "a"), (None, None, "a"), (7, a, "a"), (7, H.prose(37, 90), "a"), (7, a, "a"), (8, a + " " + b, "a")]
-    items = spark.createDataFrame([(1, a), (2, b)], "item_id long, text string")
-    table, columns = H.docs(spark, rows), ["doc_id", "n_words", "n_hit", "items", "spans", "contaminated"]
-    whole = H.counts(positional_index.contamination(table, items).select(columns).collect())
-    monkeypatch.setattr(positional_index, "slices", lambda *a, f=positional_index.slices: f(*a[:3], 100))
-    got = H.counts(positional_index.contamination(table, items).select(columns).collect())
-    assert got == whole and sum(got.values()) == len(rows)
-
-
-def test_proximity(spark):
-    table = H.docs(spark, [(1, "red blue x green", "a"), (2, "green x x x x x x red blue", "a"), (3, "blue green red", "a")])
-    got = positional_index.search_near(positional_index.build_index(table), [("q", "red blue green")], 3)
-    assert sorted((r["_key"], r["item"]) for r in got.collect()) == [(1, "q"), (3, "q")]
+    rows = [(None, a, "a"), (None, H.prose(36, 50) + " " + b, "a"), (None, "clean words", "a"), (None, None, "a"), (7, a, "a"), (7, H.prose(37, 90), "a"), (7, a, "a"), (8, a + " " + b, "a"), (9, H.prose(38, 500) + " " + b, "a")]
+    items = [(1, a), (2, b), (3, "clean")]
+    want = []
+    for k, t, _ in rows:
+        w, hit, named = H.words(t), set(), set()
+        for n, x in items:
+            p = x.split()
+            for win in (tuple(p[i : i + 13]) for i in range(max(1, len(p) - 12))):
+                for i in range(len(w) - len(win) + 1):
+                    if tuple(w[i : i + len(win)]) == win:
+                        hit |= set(range(i, i + len(win)))
+                        named.add(str(n))
+        want.append((k, len(w), len(hit), sorted(named), bool(hit) and 20 * len(hit) >= len(w)))
+    monkeypatch.setattr(positional_index, "slices", lambda *a, f=positional_index.slices: f(*a[:3], most))
+    got = positional_index.contamination(H.docs(spark, rows).withColumn("row", F.lit(1)).withColumn("spans", F.lit(1)), spark.createDataFrame(items, "item_id long, text string"))
+    assert H.counts(tuple(r) for r in got.select("doc_id", "n_words", "n_hit", "items", "contaminated").collect()) == H.counts(want)
+
+
+@pytest.mark.parametrize("most", [2_000_000, 60])
+def test_proximity(spark, monkeypatch, most):
+    rows = [(1, "red blue x green", "a"), (2, "green x x x x x x red blue", "a"), (3, "blue green red", "a"), (3, "blue green red", "b"), (None, "x red red x blue green", "a"), (4, None, "a"), (5, " ".join(reversed(H.prose(61, 14, 3000).split())), "a"), (6, H.prose(62, 40, 9), "a")]
+    items = [("q", "red blue green"), ("r", "red red"), ("s", H.prose(61, 14, 3000)), ("t", H.prose(63, 13, 9)), (None, "red"), ("u", None)]
+    monkeypatch.setattr(positional_index, "slices", lambda *a, f=positional_index.slices: f(*a[:3], most))
+    table, asked = H.docs(spark, rows).withColumn("item", F.lit(0)), spark.createDataFrame(items, "item_id string, text string")
+    for width in (5, 14):
+        want = []
+        for k, t, _ in rows:
+            w = H.words(t)
+            for n, x in items:
+                p = H.words(x)
+                wins = [set(p[i : i + 13]) for i in range(max(1, len(p) - 12))] if p else []
+                if n and any(win <= set(w[s : s + width]) for win in wins for s in range(len(w))):
+                    want.append((k, n))
+        assert want and H.counts(tuple(r) for r in positional_index.proximity(table, asked, width).collect()) == H.counts(want)
+    assert positional_index.proximity(table, asked.limit(0)).count() == positional_index.proximity(table.limit(0), asked).count() == 0
 
 
 def test_main_text():
@@ -173,23 +196,71 @@ def test_mixing(spark):
     assert pfair.mixed(table.limit(0)).count() == 0
 
 
+def _slots(blocks, shares):
+    """(slot, source, block, release, deadline) of all blocks, from the phases' periods."""
+    return [(p.begin + m * p.length + t, i, p.done[i] + m * p.shares[i] + k, p.begin + m * p.length + r, p.begin + m * p.length + d) for p in pfair.phases(blocks, shares) for m in range(-(-p.slots // p.length)) for t, i, k, r, d in p.period if m * p.length + t < p.slots]
+
+
+def _earliest_deadlines(blocks, shares):
+    """The same by taking, slot by slot, the released block with the earliest deadline of all."""
+    left, out, begin, done = list(blocks), [], 0, [0] * len(blocks)
+    while active := [i for i, n in enumerate(left) if n]:
+        whole, base, t = sum(shares[i] for i in active), list(done), 0
+        while all(left[i] for i in active):
+            k = {i: done[i] - base[i] for i in active}
+            free = [(-(-(k[i] + 1) * whole // shares[i]), i) for i in active if k[i] * whole // shares[i] <= t]
+            d, i = min(free)
+            out.append((begin + t, i, done[i], begin + k[i] * whole // shares[i], begin + d))
+            done[i], left[i], t = done[i] + 1, left[i] - 1, t + 1
+        begin += t
+    return out
+
+
 def test_schedule_stays_within_one_block():
     rng = np.random.default_rng(3)
-    for _ in range(60):
-        n = int(rng.integers(1, 7))
-        blocks, shares = rng.integers(0, 40, n).tolist(), rng.integers(1, 500, n).tolist()
-        rows = pfair.schedule(blocks, shares)
-        assert [r[0] for r in rows] == list(range(sum(blocks)))
-        left, active = list(blocks), {i for i in range(n) if blocks[i]}
-        done, t = dict.fromkeys(active, 0), 0
-        for slot, i, _, release, deadline in rows:
-            assert release <= slot < deadline
-            whole = sum(shares[j] for j in active)
-            done[i], t, left[i] = done[i] + 1, t + 1, left[i] - 1
-            assert all(abs(done[j] - t * shares[j] / whole) < 1 for j in active)
-            if not left[i]:
-                active.discard(i)
-                done, t = dict.fromkeys(active, 0), 0
+    for most in (500, 9):
+        for _ in range(40):
+            n = int(rng.integers(1, 7))
+            blocks, shares = rng.integers(0, 40, n).tolist(), rng.integers(1, most, n).tolist()
+            rows = sorted(_slots(blocks, shares))
+            assert rows == _earliest_deadlines(blocks, shares)
+            assert [r[0] for r in rows] == list(range(sum(blocks)))
+            left, active = list(blocks), {i for i in range(n) if blocks[i]}
+            done, t = dict.fromkeys(active, 0), 0
+            for slot, i, _, release, deadline in rows:
+                assert release <= slot < deadline
+                whole = sum(shares[j] for j in active)
+                done[i], t, left[i] = done[i] + 1, t + 1, left[i] - 1
+                assert all(abs(done[j] - t * shares[j] / whole) < 1 for j in active)
+                if not left[i]:
+                    active.discard(i)
+                    done, t = dict.fromkeys(active, 0), 0
+
+
+def test_the_plan_does_not_grow_with_the_blocks():
+    few, many = (pfair.phases([n, 3 * n, n // 2], [5000, 3000, 2000]) for n in (10**6, 10**12))
+    assert [len(p.period) for p in few] == [len(p.period) for p in many] == [10_000, 5_000, 3_000]
+    assert sum(p.slots for p in many) == 45 * 10**11
+
+
+def test_mixing_matches_the_schedule(spark):
+    """Blocks of the same size at any total: each row's slot is its block's in the plain schedule, with null keys and many sources."""
+    rows = [(None if k % 3 == 0 else k, H.prose(k, 20 + k % 9, 3000), f"s{k % 11}") for k in range(400)]
+    table = H.docs(spark, rows).withColumns({"slot": F.lit("clash"), "_name": F.lit(1), "phase": F.lit(2), "_carried": F.lit(3)})
+    carried = ("text", "_name", "phase", "_carried")
+    got = pfair.mixed(table, block_bytes=300, period=50, carry=carried).collect()
+    assert H.counts((r.doc_id, r.source, r.text, r["_name"], r.phase, r["_carried"]) for r in got) == H.counts((k, s, t, 1, 2, 3) for k, t, s in rows)
+    size = Counter()
+    for _, t, s in rows:
+        size[s] += len(t.encode()) + 1
+    names = sorted(size, key=lambda s: (-size[s], s))
+    shares = [(size[s] / sum(size.values())) ** 0.7 for s in names]
+    shares = [max(1, round(w / sum(shares) * 50)) for w in shares]
+    at = {(names[i], b): (slot, r, d) for slot, i, b, r, d in _earliest_deadlines([-(-size[s] // 300) for s in names], shares)}
+    assert all(at[r.source, r.block] == (r.slot, r.release, r.deadline) for r in got)
+    pooled = pfair.mixed(table, block_bytes=300, period=50, tasks=4).collect()
+    assert H.counts((r.doc_id, r.source) for r in pooled) == H.counts((k, s) for k, _, s in rows)
+    assert len({(r.slot, r.offset) for r in pooled}) == 400 and len({r.slot for r in pooled if r.source in names[4:]}) < len({r.slot for r in pooled})
 
 
 def _auc(score, label):
