@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from phasemill.llm import words as W
 from phasemill.llm.gam import held_out, sampled
@@ -335,5 +336,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
                 got = 1 / (1 + np.exp(-(weights[-1] + np.bincount(rows, weights=weights[at], minlength=last - first))))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), batch.column(1).slice(first, last - first), pa.array(got), pa.array((got >= threshold).astype(np.int32)), *(c.slice(first, last - first) for c in batch.columns[3:])], names=[key, "held_out", "score", "predicted", *carry])
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key), held_out(key).alias("_held"), F.col(text), *(F.col(c).alias(f"_carry_{n}") for n, c in enumerate(carry))).mapInArrow(W.tidy(score), f"`{key}` {kind}, held_out boolean, score double, predicted int" + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry))
+    made = T.StructType.fromDDL("held_out boolean, score double, predicted int")
+    schema = T.StructType([docs.schema[key], *made.fields, *(docs.schema[c] for c in carry)])
+    return docs.select(F.col(key), held_out(key).alias("_held"), F.col(text), *(F.col(c).alias(f"_carry_{n}") for n, c in enumerate(carry))).mapInArrow(W.tidy(score), schema)

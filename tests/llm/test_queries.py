@@ -4,6 +4,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from phasemill.llm import queries as Q
 
@@ -63,8 +64,16 @@ def test_pipeline(spark, tmp_path):
     assert len(set(places)) == len(places)
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "repeated_bytes", "decontamination", "mixing"]
-    for _, stage in corpus_pipeline.STAGES[1:4]:
-        assert stage(spark, docs.limit(0), str(tmp_path)).columns == docs.columns
+    clash = ["spans", "kept_text", "slot", "n_bytes", "_row", "_whole", "score", "predicted", "contaminated", "component_id", "kept", "block", "a.b"]
+    odd = docs.limit(40).withColumns({c: F.lit(f"{c}!") for c in clash})
+    for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        for table in (docs, odd):
+            out = stage(spark, table.limit(0), str(tmp_path))
+            assert out.count() == 0 and (n == 4 or out.columns == table.columns)
+        out = stage(spark, odd, str(tmp_path))
+        name = lambda c: f"documents_{c}" if n == 4 and c in ("slot", "n_bytes", "block") else c
+        rows = out.collect()
+        assert rows and all(r[name(c)] == f"{c}!" for r in rows for c in clash)
 
 
 def test_pipeline_judges_each_row(spark, tmp_path):
