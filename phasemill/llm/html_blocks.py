@@ -1,11 +1,10 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines, one per block element. A line's weight is its text that may
-belong to an article: none in page furniture (menus, headers, footers, side bars, notices,
-adverts, forms, reader comments), less where most of it is links. Weights are summed over a
-sliding window of lines; where the sum surges the main text begins, where it dives it ends.
-An article or main element is taken at its word: what lies in it is main text whatever its
-length, and what lies outside has no weight.
+Markup is stripped into lines, one per block element. Lines of page furniture (menus, headers,
+footers, side bars, notices, adverts, forms, reader comments) go; of the rest each weighs its
+text, links only inside an article. An article or main element adds to the weight of its lines,
+and on a page that has one what lies outside weighs a part. Weights are summed over a sliding
+window of lines: where the sum surges the main text begins, where it dives it ends.
 """
 
 from __future__ import annotations
@@ -149,38 +148,45 @@ def lines(page: str) -> list[Line]:
 
 @dataclass(frozen=True)
 class Blocks:
-    """Lines of a window, weight at which a window surges, share of links from which a line has no weight."""
+    """Lines of a window, weights of a window at which it surges and under which it dives.
+
+    A page whose windows all stay below `surge` surges at its heaviest one. Lines of an article weigh
+    `bonus` more, those outside one `outside` of their text where the page has one; outside, lines
+    whose text is links to `link_share` or more weigh nothing.
+    """
 
     window: int = 3
-    surge: int = 80
+    surge: float = 80
+    dive: float = 20
+    bonus: float = 40
+    outside: float = 0.25
     link_share: float = 0.6
 
 
 def main_lines(found: list[Line], plan: Blocks = Blocks()) -> list[Line]:
-    """Lines between surges and dives."""
-    inside = any(x.article and not x.furniture for x in found)
+    """Lines between surges and dives; short lines right before the first are left out unless they are headings."""
+    left = [x for x in found if not x.furniture]
+    inside = any(x.article for x in left)
     weights = []
-    for x in found:
-        body = 0 if x.furniture or x.links >= plan.link_share * len(x.text) or inside and not x.article else len(x.text)
-        weights.append(max(body, plan.surge) if body and inside else body)
-    keep = [False] * len(found)
-    n = len(found)
+    for x in left:
+        own = 0 if x.links >= plan.link_share * len(x.text) else len(x.text) - x.links
+        weights.append(len(x.text) + plan.bonus if x.article else own * (plan.outside if inside else 1))
+    n = len(left)
     sums = [sum(weights[i : i + plan.window]) for i in range(n)]
+    surge = min(plan.surge, max(sums, default=0))
+    out: list[Line] = []
     i = 0
     while i < n:
-        if weights[i] and sums[i] >= plan.surge:  # surge
-            j = i
-            while j < n and sums[j] > 0:  # until the dive
-                keep[j] = True
-                j += 1
-            i = j
-        else:
+        if not weights[i] or sums[i] < surge:
+            i += 1
+            continue
+        j = i
+        while j < n and sums[j] >= min(plan.dive, surge):  # from the surge to the dive
+            j += 1
+        while i < j and weights[i] < min(plan.dive, surge) and not left[i].heading:
             i += 1
-    out = []
-    for x, k, w in zip(found, keep, weights, strict=True):
-        link_only = x.links >= plan.link_share * len(x.text)
-        if k and not x.furniture and (x.article if inside else w > 0 or not link_only):
-            out.append(x)
+        out += [x for x, w in zip(left[i:j], weights[i:j], strict=True) if w]
+        i = max(j, i + 1)
     return out
 
 

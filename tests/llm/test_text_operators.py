@@ -1,7 +1,9 @@
 """Operators that judge texts one by one or against the corpus, compared with plain Python."""
 
 import hashlib
+import html
 import math
+import os
 import re
 import zlib
 from collections import Counter
@@ -177,6 +179,73 @@ def test_main_text():
     assert html_blocks.main_text("<article><p>cut off in a ta") == "cut off in a ta"
 
 
+def _kept_lines(found, window, surge, dive, bonus, outside, share):
+    """Numbers of the kept lines, by the definition: one pass that opens at a surge and closes at a dive."""
+    seen = [n for n, x in enumerate(found) if not x.furniture]
+    article = any(found[n].article for n in seen)
+    weight = {}
+    for n in seen:
+        x = found[n]
+        plain = 0 if x.links >= share * len(x.text) else len(x.text) - x.links
+        weight[n] = len(x.text) + bonus if x.article else plain * outside if article else plain
+    total = {n: sum(weight[m] for m in seen[k : k + window]) for k, n in enumerate(seen)}
+    top = min(surge, max(total.values(), default=0))
+    low = min(dive, top)
+    kept, open_, leading = [], False, False
+    for n in seen:
+        if not open_ and weight[n] and total[n] >= top:
+            open_ = leading = True
+        if open_ and total[n] < low:
+            open_ = False
+            continue
+        if open_:
+            leading = leading and weight[n] < low and not found[n].heading
+            if weight[n] and not leading:
+                kept.append(n)
+    return kept
+
+
+def test_surges_and_dives_match_a_second_version():
+    rng = np.random.default_rng(4)
+    differ = 0
+    for _ in range(400):
+        some = rng.random() < 0.5
+        lines = []
+        for _ in range(int(rng.integers(0, 25))):
+            size = int(rng.choice([3, 15, 30, 60, 200]))
+            lines.append(html_blocks.Line("x" * size, bool(rng.random() < 0.2), bool(some and rng.random() < 0.4), int(size * rng.choice([0, 0, 0.5, 1])), bool(rng.random() < 0.1)))
+        plans = [html_blocks.Blocks(), html_blocks.Blocks(window=1, surge=1), html_blocks.Blocks(window=5, surge=300, dive=60)]
+        got = [[id(x) for x in html_blocks.main_lines(lines, p)] for p in plans]
+        assert got == [[id(lines[n]) for n in _kept_lines(lines, p.window, p.surge, p.dive, p.bonus, p.outside, p.link_share)] for p in plans]
+        differ += got[0] != got[1]
+    assert differ > 100
+
+
+def test_window_decides_without_an_article():
+    """A page of plain divs: short lines go, the text between surge and dive stays; the window's size matters."""
+    text = [H.prose(k, 30, 3000) for k in range(4)]
+    page = "<body>" + "".join(f"<div>{t}</div>" for t in ["Home", "News", "Log in", "A B", *text[:2], "* * *", *text[2:], "End", "Terms", "Map"]) + "</body>"
+    assert html_blocks.main_text(page) == "\n".join([*text[:2], "* * *", *text[2:]])
+    assert html_blocks.main_text(page, html_blocks.Blocks(window=1, surge=1, dive=1)).startswith("Home\nNews")
+    ends = "<article><p>a first line of some length, and more of it</p><aside>x</aside><aside>y</aside><nav>z</nav><p><a href=/>Sources</a></p><p>Short.</p></article><div>Rights reserved</div>"
+    assert html_blocks.main_text(ends) == "a first line of some length, and more of it\nSources\nShort."
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the driver's tables")
+def test_pages_without_article_keep_their_text(spark):
+    """Precision and recall by words, against a plain cut of the article, with and without the elements that mark it."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html").collect()
+    hit = got_n = want_n = whole = 0
+    for (page,) in rows:
+        inner = re.search(r"<article>(.*)</article>", page, re.DOTALL).group(1)
+        want = " ".join(html.unescape(re.sub(r"<[^>]+>", " ", inner)).split())
+        whole += " ".join(html_blocks.main_text(page).split()) == want
+        got = Counter(html_blocks.main_text(re.sub(r"</?article>", "", page)).split())
+        hit += (got & Counter(want.split())).total()
+        got_n, want_n = got_n + got.total(), want_n + len(want.split())
+    assert whole == len(rows) and hit / got_n > 0.9 and hit / want_n > 0.9
+
+
 def test_main_text_of_tables(spark):
     rows = [(1, "u", "<article><p>é</p></article>"), (1, "u", "<article><p>é</p></article>"), (2, None, None), (None, "v", "<article>" + "<p>x</p>" * 3000 + "</article>")]
     table = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1))
