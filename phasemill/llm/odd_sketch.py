@@ -8,8 +8,8 @@ are sorted once over the whole table, and rows alone in their bucket, nearly all
 there: only what collides is joined with anything. Within a bucket every class is first
 compared with the bucket's smallest one only, so a large group of copies costs one candidate
 per member; what a bucket then still holds in several components is compared across them by
-larger odd sketches, small buckets by a join and large ones in bounded pairs of slices, so
-that only pairs close to the limit or above leave a task.
+larger odd sketches, in slices of a bounded size, so that only pairs close to the limit or
+above leave a task.
 """
 
 from __future__ import annotations
@@ -47,8 +47,7 @@ class Plan:
     fine_samples: int = 2048
     fine_bits: int = 4096
     fine_slack: float = 0.065
-    #: members of a bucket that are paired by a join; larger buckets are compared in slices
-    joined: int = 32
+    #: members of a slice of a bucket
     slice: int = 512
 
     def most_bits(self) -> int:
@@ -221,36 +220,65 @@ def _fine(texts: DataFrame, plan: Plan) -> DataFrame:
     return texts.select("c", "text").mapInArrow(W.tidy(sketch), "c long, odd array<long>")
 
 
+def _pairs(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of places i < j within each of consecutive groups of the given sizes."""
+    size = np.repeat(sizes, sizes)
+    ends = np.repeat(np.cumsum(sizes), sizes)
+    more = ends - np.arange(len(size)) - 1  # places of the group after each
+    left = np.repeat(np.arange(len(size)), more)
+    return left, left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(more) - more, more)
+
+
 def _across(members: DataFrame, plan: Plan) -> DataFrame:
-    """Pairs (u, v) of one bucket but different components that the larger sketches let pass, each in the first band that it shares.
+    """Pairs (u, v) of one bucket but different components that the larger sketches let pass.
 
-    members: bucket, n, c, component, bands, odd.
+    members: bucket, n, c, component, odd. A large bucket is cut in slices, each pair of which is a
+    group of its own, so a group has a bounded size; groups are read in order, many at a time.
     """
-    small, large = members.filter(F.col("n") <= plan.joined), members.filter(F.col("n") > plan.joined)
-    other = small.select("bucket", F.col("c").alias("v"), F.col("component").alias("of"), F.col("bands").alias("bands_v"), F.col("odd").alias("odd_v"))
-    shared = F.array_position(F.zip_with("bands", "bands_v", lambda x, y: x == y), True)
-    first = F.element_at("bands", F.greatest(shared, F.lit(1)).cast("int")) == F.col("bucket")
-    pairs = small.join(other, "bucket").filter((F.col("component") < F.col("of")) & first & (differing("odd", "odd_v") <= plan.most_fine_bits())).select(F.col("c").alias("u"), "v")
-    sliced = large.withColumn("slices", F.ceil(F.col("n") / plan.slice)).withColumn("i", F.pmod(F.xxhash64("c"), F.col("slices")))
-    spread = sliced.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
-    dealt = spread.select("bucket", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "c", "component", "bands", "odd")
+    slices = F.greatest(F.ceil(F.col("n") / plan.slice), F.lit(1))
+    cut = members.withColumn("slices", slices).withColumn("i", F.pmod(F.xxhash64("c"), F.col("slices")))
+    dealt = cut.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
+    dealt = dealt.select("bucket", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "c", "component", "odd")
     most = plan.most_fine_bits()
 
-    def compare(group: pa.Table) -> pa.Table:
-        ids, comp = group.column("c").to_numpy(), group.column("component").to_numpy()
-        odd = np.stack(group.column("odd").to_pylist()).astype(np.int64).view(np.uint64)
-        bands, bucket = np.stack(group.column("bands").to_pylist()), group.column("bucket")[0].as_py()
-        u, v = [], []
-        for n in range(len(odd) - 1):
-            near = np.bitwise_count(odd[n + 1 :] ^ odd[n]).sum(axis=1) <= most
-            hit = np.flatnonzero(near & (comp[n + 1 :] != comp[n])) + n + 1
-            hit = hit[bands[n][np.argmax(bands[hit] == bands[n], axis=1)] == bucket]
-            u.append(np.full(len(hit), n))
-            v.append(hit)
-        u, v = (np.concatenate([np.zeros(0, dtype=np.int64), *x]) for x in (u, v))
-        return pa.table({"u": ids[u], "v": ids[v]})
+    def near(rows: pa.RecordBatch, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        ids, comp = rows.column(3).to_numpy(), rows.column(4).to_numpy()
+        odd = rows.column(5).flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        share = np.searchsorted(np.cumsum(sizes * sizes), np.arange(0, int((sizes * sizes).sum()), 200_000), side="left")
+        for low, high in zip(cuts := np.unique(np.append(share, len(sizes))), cuts[1:]):  # so many pairs at a time
+            u, v = _pairs(sizes[low:high])
+            u, v = u + at[low], v + at[low]
+            other = comp[u] != comp[v]
+            u, v = u[other], v[other]
+            hit = np.bitwise_count(odd[u] ^ odd[v]).sum(axis=1) <= most
+            u, v = ids[u[hit]], ids[v[hit]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
+
+        def grouped(last: bool) -> Iterator[pa.RecordBatch]:
+            """Whole groups of what is held; the last may go on in the next batch."""
+            rows = pa.Table.from_batches(rest).combine_chunks().to_batches()[0]
+            keys = [rows.column(k).to_numpy() for k in range(3)]
+            new = np.ones(rows.num_rows, dtype=bool)
+            new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+            at = np.append(np.flatnonzero(new), rows.num_rows)
+            done = len(at) - 1 if last else len(at) - 2
+            rest[:] = [] if last else [rows.slice(at[-2])]
+            if done:
+                yield from near(rows.slice(0, at[done]), np.diff(at[: done + 1]))
+
+        for batch in batches:
+            if batch.num_rows:
+                rest.append(batch)
+                yield from grouped(False)
+        if rest:
+            yield from grouped(True)
 
-    return pairs.union(dealt.groupBy("bucket", "a", "b").applyInArrow(W.tidy_group(compare), "u long, v long")).distinct()
+    order = ["bucket", "a", "b"]
+    return dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(W.tidy(compare), "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", plan: Plan = Plan()) -> DataFrame:
@@ -288,7 +316,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", pl
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("bucket")
     left = work.settled(placed.join(mixed, "bucket", "left_semi").select("bucket", "n", "c", "component"), "left")
     fine = work.settled(_fine(texts.join(left.select("c").distinct().hint("merge"), "c", "left_semi"), plan), "fine")
-    rest = work.settled(_across(left.join(fine, "c").join(classes.select("c", bands.alias("bands")), "c"), plan), "rest")
+    rest = work.settled(_across(left.join(fine, "c"), plan), "rest")
     if not rest.isEmpty():
         few = rest.select(F.col("u").alias("c")).union(rest.select("v")).distinct()
         links = links.union(work.settled(verified(rest, work.settled(texts.join(few.hint("merge"), "c", "left_semi"), "texts"), plan), "links"))

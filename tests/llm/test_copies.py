@@ -33,7 +33,7 @@ def _family(n, first=200):
 def test_near_duplicates(spark):
     rows = [(r.doc_id, r.text, r.source) for r in H.awkward(spark).collect()] + _family(12)
     table = H.docs(spark, rows).withColumn("id", F.lit("clash")).withColumn("component", F.lit(0))
-    got = odd_sketch.near_duplicates(table, plan=odd_sketch.Plan(joined=3, slice=4)).collect()
+    got = odd_sketch.near_duplicates(table, plan=odd_sketch.Plan(slice=4)).collect()
     want = H.classes([(k, H.shingles(t, 4)) for k, t, _ in dict((r[0], r) for r in rows if r[0] is not None).values()])
     assert len(got) == len(rows)
     for g in got:
