@@ -34,6 +34,8 @@ BLOCK_BYTES = 8_000_000
 BUCKET_KEYS = 3_000_000
 #: Tokens that a lane of the traversal reads; longer texts take several lanes that begin with the history before them.
 LANE = 512
+#: Bits of an n-gram's hash. Of 10^12 different n-grams one in a million shares its hash with another; each bit less saves a 45th of what is sent.
+KEY_BITS = 60
 _END = W.mix(np.array([0xE0F], dtype=np.uint64))
 
 
@@ -47,6 +49,30 @@ def unpack(raw: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
+def pack_numbers(values: np.ndarray) -> bytes:
+    """Numbers from 0 of which small ones are frequent: their bit lengths compressed, then the bits below the first of each length in turn."""
+    held = values.astype(np.int64) + 1
+    length = np.floor(np.log2(held)).astype(np.uint8)
+    head = zstandard.ZstdCompressor(level=3).compress(length.tobytes())
+    parts = [np.int64(len(head)).tobytes(), head]
+    for n in range(1, int(length.max(initial=0)) + 1):
+        low = held[length == n]
+        parts.append(np.packbits((low[:, None] >> np.arange(n)) & 1).tobytes())
+    return b"".join(parts)
+
+
+def unpack_numbers(raw: bytes) -> np.ndarray:
+    size = int(np.frombuffer(raw[:8], dtype=np.int64)[0])
+    length = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[8 : 8 + size]), dtype=np.uint8)
+    out, at = np.zeros(len(length), dtype=np.int64), 8 + size
+    for n in range(1, int(length.max(initial=0)) + 1):
+        place = np.flatnonzero(length == n)
+        bits = np.unpackbits(np.frombuffer(raw, dtype=np.uint8, count=-(-len(place) * n // 8), offset=at), count=len(place) * n)
+        at += -(-len(place) * n // 8)
+        out[place] = (1 << n) - 1 + bits.reshape(-1, n).astype(np.int64) @ (1 << np.arange(n))
+    return out
+
+
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of the rows of one block, an end token after each row, and the rows' bounds."""
     lowered = W.LOWER[data]
@@ -59,7 +85,7 @@ class Grams:
 
     def __init__(self, hashes: np.ndarray, bounds: np.ndarray, k: int) -> None:
         windows, whole = W.window_hashes(hashes, bounds, k)
-        self.keys, inverse = np.unique(windows[whole], return_inverse=True)
+        self.keys, inverse = np.unique(windows[whole] >> np.uint64(64 - KEY_BITS), return_inverse=True)
         self.at = np.full(len(hashes), -1, dtype=np.int64)
         self.at[whole] = inverse
 
@@ -70,7 +96,7 @@ class Grams:
 
 def cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Bounds of the buckets, equal parts of the hash range, among sorted keys."""
-    edges = np.array([(b << 64) // buckets for b in range(1, buckets)], dtype=np.uint64)
+    edges = np.array([(b << KEY_BITS) // buckets for b in range(1, buckets)], dtype=np.uint64)
     return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
 
 
@@ -86,7 +112,8 @@ def _blocks(docs: DataFrame, text: str, key: str) -> DataFrame:
             hashes = np.concatenate([h[2] for h in held])
             lengths = np.concatenate([np.diff(h[3]) for h in held])
             distinct, ids, often = np.unique(hashes, return_inverse=True, return_counts=True)
-            by = np.argsort(-often, kind="stable")  # frequent words get small numbers, which pack well
+            by = np.argsort(-often, kind="stable")  # frequent words get small numbers; of one bit length, in order of their hashes
+            by = by[np.lexsort((by, np.floor(np.log2(np.arange(1, len(by) + 1)))))]
             rank = np.empty(len(by), dtype=np.int64)
             rank[by] = np.arange(len(by))
             distinct, ids = distinct[by], rank[ids]
@@ -94,15 +121,16 @@ def _blocks(docs: DataFrame, text: str, key: str) -> DataFrame:
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, batch.schema) as stream:
                 stream.write_batch(batch)
-            name = f"{int(np.bitwise_xor.reduce(W.mix(distinct + np.uint64(len(ids))))):016x}-{int(np.bitwise_xor.reduce(W.mix(hashes[: 4096] + np.arange(min(4096, len(hashes)), dtype=np.uint64)))):016x}-{held[0][4]}"
-            parts = [sink.getvalue().to_pybytes(), pack(lengths.astype(np.int64)), pack(distinct), pack(ids.astype(np.int32))]
-            return pa.RecordBatch.from_arrays([pa.array([name]), *(pa.array([p], pa.binary()) for p in parts)], names=["block", "docs", "lengths", "words", "ids"])
+            name = np.concatenate([hashes[:4096] + np.arange(min(4096, len(hashes)), dtype=np.uint64), held[0][4]])
+            name = W.mix(np.bitwise_xor.reduce(W.mix(name), keepdims=True) + np.uint64(len(ids))).view(np.int64)
+            parts = [sink.getvalue().to_pybytes(), pack(lengths.astype(np.int64)), pack(np.diff(distinct, prepend=np.uint64(0))), pack_numbers(ids)]
+            return pa.RecordBatch.from_arrays([pa.array(name), *(pa.array([p], pa.binary()) for p in parts)], names=["block", "docs", "lengths", "words", "ids"])
 
         number = 0
         for batch in batches:
             for first, last, data, offsets in W.blocks(batch.column(2)):
                 hashes, bounds = tokens(data, offsets)
-                held.append((batch.column(0).slice(first, last - first), batch.column(1).slice(first, last - first), hashes, bounds, f"{batch.column(3)[first].as_py()}-{number}"))
+                held.append((batch.column(0).slice(first, last - first), batch.column(1).slice(first, last - first), hashes, bounds, np.array([batch.column(3)[first].as_py() << 32 | number], dtype=np.uint64)))
                 number += 1
                 size += len(data)
                 if size >= BLOCK_BYTES:
@@ -112,13 +140,14 @@ def _blocks(docs: DataFrame, text: str, key: str) -> DataFrame:
             yield out()
 
     share = F.coalesce(F.pmod(F.crc32(F.col(key).cast("string")), F.lit(10)) == 0, F.lit(False))
-    return docs.select(F.col(key), share.alias("held"), F.col(text), F.spark_partition_id().alias("part")).mapInArrow(W.tidy(cut), "block string, docs binary, lengths binary, words binary, ids binary")
+    return docs.select(F.col(key), share.alias("held"), F.col(text), F.spark_partition_id().alias("part")).mapInArrow(W.tidy(cut), "block long, docs binary, lengths binary, words binary, ids binary")
 
 
 def _opened(row: dict) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
     """Documents, token hashes and bounds of a block."""
     docs = pa.ipc.open_stream(row["docs"]).read_next_batch()
-    return docs, unpack(row["words"], np.uint64)[unpack(row["ids"], np.int32)], np.concatenate([[0], np.cumsum(unpack(row["lengths"], np.int64))])
+    distinct = np.cumsum(unpack(row["words"], np.uint64), dtype=np.uint64)
+    return docs, distinct[unpack_numbers(row["ids"])], np.concatenate([[0], np.cumsum(unpack(row["lengths"], np.int64))])
 
 
 def _asked(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
@@ -133,24 +162,24 @@ def _asked(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
                     grams = Grams(hashes, bounds, k)
                     counts, at = grams.counts(train), cuts(grams.keys, buckets)
                     some = [b for b in range(buckets) if at[b] < at[b + 1]]
-                    columns = [pa.array([row["block"]] * len(some)), pa.array([k] * len(some), pa.int32()), pa.array(some, pa.int32())]
+                    columns = [pa.array([row["block"]] * len(some), pa.int64()), pa.array([k] * len(some), pa.int32()), pa.array(some, pa.int32())]
                     columns += [pa.array([pack(np.diff(grams.keys[at[b] : at[b + 1]], prepend=np.uint64(0))) for b in some], pa.binary()), pa.array([pack(counts[at[b] : at[b + 1]]) for b in some], pa.binary())]
                     yield pa.RecordBatch.from_arrays(columns, names=["block", "k", "bucket", "keys", "counts"])
 
-    return blocks.mapInArrow(W.tidy(ask), "block string, k int, bucket int, keys binary, counts binary")
+    return blocks.mapInArrow(W.tidy(ask), "block long, k int, bucket int, keys binary, counts binary")
 
 
 def _answer(group: pa.Table) -> pa.Table:
-    """Training counts of all blocks, in the order of each block's keys; known, once, twice: distinct n-grams of the bucket by count, and total."""
+    """What other blocks add to each block's training counts, in the order of its keys; known, once, twice: distinct n-grams of the bucket by count, and total."""
     keys = [np.cumsum(unpack(raw.as_py(), np.uint64), dtype=np.uint64) for raw in group.column("keys")]
     counts = np.concatenate([unpack(raw.as_py(), np.uint32) for raw in group.column("counts")])
     distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(inverse, weights=counts, minlength=len(distinct)).astype(np.uint64)
     ends = np.cumsum([0, *map(len, keys)])
-    answers = [pack(total[inverse[a:b]].astype(np.uint64)) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    answers = [pack(total[inverse[a:b]] - counts[a:b].astype(np.uint64)) for a, b in zip(ends[:-1], ends[1:], strict=True)]
     size = group.num_rows
     first = lambda n: pa.array([int(n)] + [0] * (size - 1), pa.int64())
-    return pa.table({"block": group.column("block").cast(pa.string()), "k": group.column("k"), "bucket": group.column("bucket"), "counts": pa.array(answers, pa.binary()), "known": first((total > 0).sum()), "once": first((total == 1).sum()), "twice": first((total == 2).sum()), "total": first(total.sum())})
+    return pa.table({"block": group.column("block"), "k": group.column("k"), "bucket": group.column("bucket"), "counts": pa.array(answers, pa.binary()), "known": first((total > 0).sum()), "once": first((total == 1).sum()), "twice": first((total == 2).sum()), "total": first(total.sum())})
 
 
 class Automaton:
@@ -251,7 +280,7 @@ def scores(docs: DataFrame, text: str = "text", key: str = "doc_id", order: int
     blocks = settled(_blocks(docs, text, key), "lm-blocks")
     size = blocks.agg(F.sum(F.octet_length("ids") + F.octet_length("words"))).first()[0] or 0
     buckets = int(max(4, -(-size * order // BUCKET_KEYS)))
-    answers = settled(_asked(blocks, order, buckets).groupBy("k", "bucket").applyInArrow(W.tidy_group(_answer), "block string, k int, bucket int, counts binary, known long, once long, twice long, total long"), "lm-answers")
+    answers = settled(_asked(blocks, order, buckets).groupBy("k", "bucket").applyInArrow(W.tidy_group(_answer), "block long, k int, bucket int, counts binary, known long, once long, twice long, total long"), "lm-answers")
     of = answers.filter("k = 1").agg(F.sum("known"), F.sum("once"), F.sum("twice"), F.sum("total")).first()
     known, once, twice, total = (int(x or 0) for x in of)
     discount = once / (once + 2 * twice) if once and twice else 0.5
@@ -267,7 +296,9 @@ def scores(docs: DataFrame, text: str = "text", key: str = "doc_id", order: int
         for row in asked.to_pylist():
             held, hashes, bounds = _opened(row)
             grams = [Grams(hashes, bounds, k) for k in range(1, order + 1)]
-            counts = [np.concatenate([np.zeros(0, dtype=np.uint64), *(unpack(raw, np.uint64) for _, raw in sorted(got.get(k, []), key=lambda x: x[0]))]).astype(np.float64) for k in range(1, order + 1)]
+            train = ~np.repeat(held.column(1).to_numpy(zero_copy_only=False), np.diff(bounds))
+            others = [np.concatenate([np.zeros(0, dtype=np.uint64), *(unpack(raw, np.uint64) for _, raw in sorted(got.get(k, []), key=lambda x: x[0]))]) for k in range(1, order + 1)]
+            counts = [(g.counts(train) + more).astype(np.float64) for g, more in zip(grams, others, strict=True)]
             words = grams[0].at
             weights = Automaton(grams, counts, hashes, model).traverse(words, bounds)
             c = counts[0][words]

@@ -57,6 +57,10 @@ class Plan:
     def most_fine_bits(self) -> int:
         return _bits_at(self.percent / 100 - self.fine_slack, self.fine_samples, self.fine_bits)
 
+    def sure_fine_bits(self) -> int:
+        """Population count up to which a pair is a link but for an error as rare as one of the bounds above."""
+        return _bits_at(min(1.0, self.percent / 100 + self.fine_slack), self.fine_samples, self.fine_bits) - 1
+
 
 def _bits_at(similarity: float, samples: int, bits: int) -> int:
     """Expected population count at a similarity, rounded up."""
@@ -229,17 +233,47 @@ def _pairs(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return left, left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(more) - more, more)
 
 
+def _needed(group: np.ndarray, a: np.ndarray, b: np.ndarray, sure: int) -> np.ndarray:
+    """Which pairs of components (a, b) within groups must be checked.
+
+    Of the first `sure` pairs, those that join components not joined before; of the others, those
+    that the sure ones leave apart. So a group of near copies gives a link for each component that it
+    joins and not its square.
+    """
+    codes, ends = np.unique(np.stack([np.concatenate([group, group]), np.concatenate([a, b])]), axis=1, return_inverse=True)
+    lead = np.arange(codes.shape[1])
+    x, y = ends.ravel()[: len(group)], ends.ravel()[len(group) :]
+
+    def root(k: int) -> int:
+        while lead[k] != k:
+            lead[k] = lead[lead[k]]
+            k = lead[k]
+        return k
+
+    first = np.sort(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)])[:, :sure], axis=1, return_index=True)[1])
+    chosen = []
+    for k in first.tolist():
+        p, q = root(x[k]), root(y[k])
+        if p != q:
+            lead[max(p, q)] = min(p, q)
+            chosen.append(k)
+    roots = np.array([root(k) for k in range(len(lead))], dtype=np.int64)
+    rest = sure + np.flatnonzero(roots[x[sure:]] != roots[y[sure:]])
+    return np.concatenate([np.array(chosen, dtype=np.int64), rest])
+
+
 def _across(members: DataFrame, plan: Plan) -> DataFrame:
     """Pairs (u, v) of one bucket but different components that the larger sketches let pass.
 
-    members: bucket, n, c, component, odd. A large bucket is cut in slices, each pair of which is a
+    Of pairs that are links for certain only a forest leaves a group, see _needed. members: bucket, n,
+    c, component, odd. A large bucket is cut in slices, each pair of which is a
     group of its own, so a group has a bounded size; groups are read in order, many at a time.
     """
     slices = F.greatest(F.ceil(F.col("n") / plan.slice), F.lit(1))
     cut = members.withColumn("slices", slices).withColumn("i", F.pmod(F.xxhash64("c"), F.col("slices")))
     dealt = cut.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
     dealt = dealt.select("bucket", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "c", "component", "odd")
-    most = plan.most_fine_bits()
+    most, sure = plan.most_fine_bits(), plan.sure_fine_bits()
 
     def near(rows: pa.RecordBatch, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
         ids, comp = rows.column(3).to_numpy(), rows.column(4).to_numpy()
@@ -251,8 +285,12 @@ def _across(members: DataFrame, plan: Plan) -> DataFrame:
             u, v = u + at[low], v + at[low]
             other = comp[u] != comp[v]
             u, v = u[other], v[other]
-            hit = np.bitwise_count(odd[u] ^ odd[v]).sum(axis=1) <= most
-            u, v = ids[u[hit]], ids[v[hit]]
+            apart = np.bitwise_count(odd[u] ^ odd[v]).sum(axis=1)
+            by = np.argsort(apart, kind="stable")
+            by = by[apart[by] <= most]
+            u, v = u[by], v[by]
+            chosen = _needed(np.searchsorted(at, u, side="right"), comp[u], comp[v], int(np.searchsorted(apart[by], sure, side="right")))
+            u, v = ids[u[chosen]], ids[v[chosen]]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

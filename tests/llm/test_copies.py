@@ -45,6 +45,36 @@ def test_near_duplicates(spark):
     assert len({want[k] for k in range(200, 212)}) == 1
 
 
+def test_needed_pairs_keep_all_connections():
+    """Sure pairs as a forest, doubtful ones wherever the sure ones leave their ends apart."""
+    rng = np.random.default_rng(12)
+    for _ in range(200):
+        n, k = int(rng.integers(1, 40)), int(rng.integers(2, 9))
+        group, a, b = rng.integers(0, 3, n), rng.integers(0, k, n), rng.integers(0, k, n)
+        sure = int(rng.integers(0, n + 1))
+        kept = odd_sketch._needed(group, a, b, sure)
+
+        def joined(pairs):
+            lead = {}
+            find = lambda x: x if lead.setdefault(x, x) == x else find(lead[x])
+            for i in pairs:
+                p, q = find((group[i], a[i])), find((group[i], b[i]))
+                lead[max(p, q)] = min(p, q)
+            return find
+
+        before, after = joined(range(sure)), joined([i for i in kept if i < sure])
+        assert all(after((group[i], a[i])) == after((group[i], b[i])) for i in range(sure))
+        assert {i for i in kept if i >= sure} == {i for i in range(sure, n) if before((group[i], a[i])) != before((group[i], b[i]))}
+        assert sum(i < sure for i in kept) < 3 * k
+
+
+def test_a_dense_group_of_near_copies_gives_few_pairs(spark):
+    """Texts that all resemble each other but not the first of their bucket enough: one class, and not the square of pairs."""
+    rows = _family(12) + [(500 + k, " ".join(w if i % 50 != k % 50 else f"own{k}" for i, w in enumerate(H.prose(77, 200, 3000).split())), "a") for k in range(60)]
+    got = {r.doc_id: r.component_id for r in odd_sketch.near_duplicates(H.docs(spark, rows), plan=odd_sketch.Plan(slice=16)).collect()}
+    assert got == H.classes([(k, H.shingles(t, 4)) for k, t, _ in rows])
+
+
 def test_near_duplicates_of_nothing(spark):
     assert odd_sketch.near_duplicates(H.awkward(spark).limit(0)).count() == 0
 

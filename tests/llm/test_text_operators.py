@@ -82,6 +82,12 @@ def test_registered_model_has_trigrams(spark, tmp_path):
     assert got == pytest.approx(three) and sum(got.values()) > sum(two.values())
 
 
+def test_packed_numbers_come_back():
+    rng = np.random.default_rng(6)
+    for values in (np.zeros(0, dtype=np.int64), np.zeros(5, dtype=np.int64), np.array([0, 1, 2, 3, 2**30, 2**31 - 2]), rng.zipf(1.3, 5000) % 100_000):
+        assert np.array_equal(backoff_lm.unpack_numbers(backoff_lm.pack_numbers(values)), values)
+
+
 def test_backoff_lanes_join_seamlessly(spark, monkeypatch):
     table = H.docs(spark, [(k, H.prose(k, 1300, 50), "a") for k in range(1, 6)])
     whole = {r.doc_id: r.score for r in backoff_lm.scores(table, order=3).collect()}
