@@ -1,17 +1,19 @@
 """Removal of repeated byte strings with run-length compressed Burrows-Wheeler indexes.
 
 Every 100-byte window is dealt out by its anchor: the 40-byte string within it that has the
-smallest hash. A stretch of windows with one anchor travels as two hashes and a place, and
-equal stretches are settled by their hashes alone: all but the first are repeats. Where one
-anchor has several different stretches, as at the borders of copied passages, their bytes
-are brought together. There, stretches are split by order of place into earlier and later
-halves, again and again; the earlier ones are indexed (BWT in runs, suffix-array samples at
-both ends of each run), the later ones are streamed against the index for their matching
-statistics, and starts that match 100 bytes or more are repeats. All windows of equal
-content have one anchor, so the result is exact up to collisions of 128-bit hashes.
-
-An anchor with very many different stretches would bring all their bytes to one task. Its
-windows are dealt one by one instead, by hashes of their bytes, and the first of each stays.
+smallest hash. A stretch of windows with one anchor travels as two hashes and a place. Where
+an anchor stands in several places, as in copies, the bytes of its stretches are brought
+together. There, stretches are split by order of place into earlier and later halves, again
+and again; the earlier ones are indexed (BWT in runs, suffix-array samples at both ends of
+each run), the later ones are streamed against the index for their matching statistics, and
+starts that match 100 bytes or more are repeats. All windows of equal content have one
+anchor, so nothing is missed.
+
+An anchor with more than MANY_PLACES places, as in large groups of copies, has its equal
+stretches told by 128-bit hashes before that, in each block and then over all, so that only
+one of them is sent; only the different ones meet in the index. An anchor with very many
+different stretches would still bring all their bytes to one task: its windows are dealt one
+by one instead, by hashes of their bytes, and the first of each stays.
 """
 
 from __future__ import annotations
@@ -41,6 +43,8 @@ BLOCK_BYTES = 8_000_000
 GROUP_BYTES = 6_000_000
 #: Different stretches of one anchor up to which their bytes meet; the windows of more are dealt by their hashes.
 HOT_STRETCHES = 2_000
+#: Places of one anchor up to which the index finds all repeats; of more, equal stretches are first told by their hashes.
+MANY_PLACES = 8
 _PLACE_BITS = 22
 #: Shifts that spread a key over its low bits.
 _FOLDS = (32, 16, 8)
@@ -124,8 +128,16 @@ def _group(groups: int) -> Column:
     return F.pmod(x, F.lit(groups)).cast("int")
 
 
-def _cut(docs: DataFrame, groups: int) -> DataFrame:
-    """Kind 0: stretches by anchor; kind 1: stretches that the same block holds earlier, by document."""
+def _often(anchor: np.ndarray, counted: np.ndarray, most: int) -> np.ndarray:
+    """Which entries, in order of their anchors, have an anchor with more than `most` counted ones."""
+    if not len(anchor):
+        return np.zeros(0, dtype=bool)
+    number = np.cumsum(np.append(True, anchor[1:] != anchor[:-1])) - 1
+    return (np.bincount(number, weights=counted) > most)[number]
+
+
+def _cut(docs: DataFrame, groups: int, many_places: int) -> DataFrame:
+    """Kind 0: stretches by anchor; kind 1: of anchors with many places, stretches that the same block holds earlier, by document."""
     names = tuple(n for n, _ in ENTRY)
 
     def send(held: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
@@ -137,14 +149,15 @@ def _cut(docs: DataFrame, groups: int) -> DataFrame:
         repeat[1:] = (a[1:] == a[:-1]) & (p[1:] == p[:-1])
         twin = np.zeros(len(order), dtype=bool)
         twin[1:] = repeat[1:] & (d[1:] == d[:-1]) & (s[1:] == s[:-1]) & (r[1:] == r[:-1])  # the same row given twice: not earlier than itself
-        lead = ~repeat
+        many = _often(a, ~twin, many_places)
+        lead = ~repeat | ~twin & ~many
         rows = []
         chosen = np.sort(order[lead])
         sub = {n: e[n][chosen] for n in names}
         rows += _send(sub, (sub["anchor"] % np.uint64(groups)).astype(np.int64), 0, names)
-        head = np.maximum.accumulate(np.where(lead, np.arange(len(order)), 0))
+        head = np.maximum.accumulate(np.where(~repeat, np.arange(len(order)), 0))
         twin_of_first = repeat & (d == d[head]) & (s == s[head]) & (r == r[head])
-        marked = np.sort(order[repeat & ~twin & ~twin_of_first])
+        marked = np.sort(order[~lead & ~twin & ~twin_of_first])
         sub = {n: e[n][marked] for n in _MARKS}
         rows += _send(sub, _group_of(sub, groups), 1, _MARKS)
         return _batch(rows)
@@ -174,8 +187,8 @@ def _cut(docs: DataFrame, groups: int) -> DataFrame:
     return docs.mapInArrow(W.tidy(cut), _PACKED)
 
 
-def _settle_equal(groups: int, hot: int):
-    """For stretches of some anchors: kind 1, those with an earlier equal one; kind 2, places whose bytes must be compared; kind 3, the same of anchors with more than `hot`. Kind 1 of before passes."""
+def _settle_equal(groups: int, hot: int, many_places: int):
+    """For stretches of some anchors: kind 2, places whose bytes must be compared. Of anchors with many places, kind 1, those with an earlier equal one, and only the others compared; kind 3, the same of anchors with more than `hot` to compare. Kind 1 of before passes."""
     names = tuple(n for n, _ in ENTRY)
 
     def settle(group: pa.Table) -> pa.Table:
@@ -184,19 +197,20 @@ def _settle_equal(groups: int, hot: int):
         e = _received(group, names)
         order = np.lexsort((e["start"], e["row"], e["doc"], e["print"], e["anchor"]))
         e = {n: v[order] for n, v in e.items()}
-        new_anchor = np.ones(len(order), dtype=bool)
-        new_anchor[1:] = e["anchor"][1:] != e["anchor"][:-1]
-        lead = new_anchor.copy()
-        lead[1:] |= e["print"][1:] != e["print"][:-1]
+        lead = np.ones(len(order), dtype=bool)
+        lead[1:] = (e["anchor"][1:] != e["anchor"][:-1]) | (e["print"][1:] != e["print"][:-1])
+        twin = ~lead  # the same row given twice
+        twin[1:] &= (e["doc"][1:] == e["doc"][:-1]) & (e["start"][1:] == e["start"][:-1]) & (e["row"][1:] == e["row"][:-1])
+        many = _often(e["anchor"], ~twin, many_places)
         head = np.maximum.accumulate(np.where(lead, np.arange(len(order)), 0)) if len(order) else order
         same_place = (e["doc"] == e["doc"][head]) & (e["start"] == e["start"][head]) & (e["row"] == e["row"][head])
         rows = []
-        sub = {n: e[n][~lead & ~same_place] for n in _MARKS}
+        sub = {n: e[n][many & ~lead & ~same_place] for n in _MARKS}
         rows += _send(sub, _group_of(sub, groups), 1, _MARKS)
-        anchor_no = np.cumsum(new_anchor) - 1
-        different = np.bincount(anchor_no[lead], minlength=anchor_no[-1] + 1 if len(order) else 0)[anchor_no]
+        compared = np.where(many, lead, ~twin)
+        several, most = _often(e["anchor"], compared, 1), _often(e["anchor"], compared, max(1, hot))
         names2 = ("anchor", *_MARKS)
-        for kind, ask in ((2, lead & (different > 1) & (different <= hot)), (3, lead & (different > max(1, hot)))):
+        for kind, ask in ((2, compared & several & ~most), (3, compared & most)):
             sub = {n: e[n][ask] for n in names2}
             rows += _send(sub, _group_of(sub, groups), kind, names2)
         return pa.concat_tables([pa.Table.from_batches([_batch(rows)]), passed.cast(_batch([]).schema)])
@@ -232,6 +246,7 @@ class RunLengthIndex:
         self.head = bwt[self.start]
         self.first, self.last, self.stop = sa[self.start], sa[stop - 1], stop
         size = stop - self.start
+        self.run_of = np.repeat(np.arange(len(size)), size)
         by_head = np.argsort(self.head, kind="stable")
         self.by_head, runs = by_head, len(self.head)
         self.sorted_keys = self.head[by_head] * runs + by_head
@@ -245,14 +260,24 @@ class RunLengthIndex:
         n = len(self.text)
         rank = self.text + len(separators) - 1
         rank[separators] = np.arange(len(separators))
-        order, reach = np.argsort(rank, kind="stable"), 1
+        there = np.zeros(int(rank.max(initial=-1)) + 1, dtype=bool)
+        there[rank] = True
+        dense, kinds = (np.cumsum(there) - 1)[rank], int(there.sum()) + 1
+        reach = 1
+        while reach < 4 and kinds ** (reach + 1) < 1 << 62:  # as many symbols as one number holds
+            reach += 1
+        rank = np.zeros(n, dtype=np.int64)
+        for k in range(reach):
+            rank *= kinds
+            rank[: max(n - k, 0)] += dense[k:] + 1
+        order = np.argsort(rank)
         while True:
             held = rank[order]
             new = np.concatenate([[0], np.cumsum(held[1:] != held[:-1])]) if n else held
-            dense = np.empty(n, dtype=np.int64)
-            dense[order] = new
             if reach >= depth or not n or new[-1] == n - 1:
                 return order
+            dense = np.empty(n, dtype=np.int64)
+            dense[order] = new
             later = np.zeros(n, dtype=np.int64)
             later[: max(n - reach, 0)] = dense[reach:] + 1
             rank = dense * (n + 1) + later
@@ -276,7 +301,7 @@ class RunLengthIndex:
     def step(self, row: np.ndarray, place: np.ndarray, length: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Matches of suffixes at `row` (their place in the text, their length) extended to the left by one symbol each."""
         runs = len(self.head)
-        run = np.searchsorted(self.start, row, side="right") - 1
+        run = self.run_of[row]
         jump = np.flatnonzero(self.head[run] != symbol)
         if len(jump):
             at = np.searchsorted(self.sorted_keys, symbol[jump] * runs + run[jump])
@@ -534,8 +559,8 @@ def repeated_bytes(docs: DataFrame, text: str = "text", key: str = "doc_id", car
     whole = docs.select(F.col(key).alias("_doc"), F.col(text).alias("_text"), F.xxhash64(F.col(text)).alias("_row"), (F.struct(*(F.col(c) for c in carry)) if carry else F.lit(0)).alias("_carried"))
     slim = whole.drop("_carried")
     work = Work(docs.sparkSession, "repeats")
-    sent = _cut(slim.filter("_text IS NOT NULL"), groups)
-    first = work.settled(sent.groupBy("bucket").applyInArrow(W.tidy_group(_settle_equal(groups, HOT_STRETCHES)), _PACKED), "equal")
+    sent = _cut(slim.filter("_text IS NOT NULL"), groups, MANY_PLACES)
+    first = work.settled(sent.groupBy("bucket").applyInArrow(W.tidy_group(_settle_equal(groups, HOT_STRETCHES, MANY_PLACES)), _PACKED), "equal")
     wanted = slim.withColumn("_group", _group(groups)).groupBy("_group").cogroup(first.filter("kind >= 2").withColumnRenamed("bucket", "_group").groupBy("_group"))
     second = wanted.applyInArrow(W.tidy_pair(_fetch(groups)), _PACKED).groupBy("bucket").applyInArrow(W.tidy_group(_compare(groups)), _PACKED)
     marks = work.concluded(first.filter("kind = 1").union(second), "marks").withColumnRenamed("bucket", "_group")

@@ -1,6 +1,7 @@
 """Operators that compare texts with each other, against plain Python."""
 
 import hashlib
+import os
 
 import numpy as np
 import pytest
@@ -167,6 +168,37 @@ def test_repeated_bytes(spark):
     assert run_length_index.repeated_bytes(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("most", [0, 2, 1000])
+def test_anchors_with_many_places(spark, monkeypatch, most):
+    """Equal stretches told by hashes from the first, from the third or never: the same result."""
+    monkeypatch.setattr(run_length_index, "MANY_PLACES", most)
+    test_repeated_bytes(spark)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the driver's tables")
+def test_most_repeats_are_found_by_the_index(spark, monkeypatch):
+    """The share of marked windows that hashes alone decide."""
+    kept = {}
+
+    def windows(df):
+        return sum(int(run_length_index.unpack(r.columns[3], np.uint8).sum()) for r in df.filter("kind = 1").collect())
+
+    def watched(make):
+        def run(self, df, name):
+            out = make(self, df, name)
+            if name in ("equal", "marks"):
+                kept[name] = windows(out)
+            return out
+
+        return run
+
+    for name in ("settled", "concluded"):
+        monkeypatch.setattr(run_length_index.Work, name, watched(getattr(run_length_index.Work, name)))
+    run_length_index.repeated_bytes(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    print(f"{kept['equal'] / kept['marks']:.2f} of the marked windows by hashes")
+    assert 0 < kept["equal"] < 0.5 * kept["marks"]
+
+
 def test_windows_of_hot_anchors(spark, monkeypatch):
     monkeypatch.setattr(run_length_index, "HOT_STRETCHES", 3)
     test_repeated_bytes(spark)
