@@ -24,12 +24,12 @@ def simulate(spark: SparkSession, sf_dir: str, folder: str) -> None:
     dataset.write(dataset.Dataset(s.scan, dense.intensities(waves, N), s.probe, dense.aperture(s.probe), s.image, s.width), folder)
 
 
-def reconstruct(spark: SparkSession, folder: str, steps: int = 10) -> tuple[DataFrame, DataFrame]:
-    """(image, residuals) from an image of ones."""
+def reconstruct(spark: SparkSession, folder: str, steps: int = 10, refine_from: int | None = None) -> solvers.Solution:
+    """The solution from an image of ones; a refined probe keeps to the frequencies of the lens."""
     d = dataset.read(spark, folder)
     pixels = geometry.frame_pixels(d.scan, d.probe.shape[0], d.width).select("pix").distinct()
     ones = pixels.select("pix", F.lit(1.0).alias("re"), F.lit(0.0).alias("im"))
-    return solvers.alternating_projections(d.scan, d.data, d.probe, d.width, steps, kept(ones), d.truth, kept)
+    return solvers.alternating_projections(d.scan, d.data, d.probe, d.width, steps, kept(ones), d.truth, kept, refine_from=refine_from, lens=d.lens)
 
 
 def last_error(residuals: DataFrame) -> DataFrame:
@@ -42,6 +42,8 @@ if __name__ == "__main__":
     if sys.argv[1] == "simulate":
         simulate(session, sys.argv[2], sys.argv[3])
     else:
-        image, residuals = reconstruct(session, sys.argv[2], int(sys.argv[4]) if len(sys.argv) > 4 else 10)
-        image.write.parquet(f"{sys.argv[3]}/image")
-        residuals.write.parquet(f"{sys.argv[3]}/residuals")
+        found = reconstruct(session, sys.argv[2], int(sys.argv[4]) if len(sys.argv) > 4 else 10)
+        found.image.write.parquet(f"{sys.argv[3]}/image")
+        found.frames.write.parquet(f"{sys.argv[3]}/frames")
+        geometry.probe_table(session, found.probe).write.parquet(f"{sys.argv[3]}/probe")
+        found.residuals.write.parquet(f"{sys.argv[3]}/residuals")

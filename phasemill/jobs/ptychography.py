@@ -80,7 +80,7 @@ def _data(s: Setup) -> DataFrame:
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """df written to the folder in spark.checkpoint.dir, or to the warehouse where that is unset, and read again."""
+    """df written to the folder in spark.checkpoint.dir and read again; where that is unset, to the warehouse, which executors share too."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     path = f"{root.rstrip('/')}/step-{uuid.uuid4().hex}"
@@ -297,6 +297,29 @@ def power_iteration(s: Setup) -> DataFrame:
     return _rounded(gram.leading(kept(gram.preconditioned(h, s.cells, N)), s.scan, _STEPS, kept), "re", "im")
 
 
+@_query(
+    f"SELECT round(value, 6) + 0.0 AS value, round(sqrt(sum((w.re - value * v.re) ** 2 + (w.im - value * v.im) ** 2)), 6) + 0.0 AS residual FROM w JOIN v{_STEPS} v USING (fid), (SELECT sum(v.re * w.re + v.im * w.im) AS value FROM w JOIN v{_STEPS} v USING (fid)) GROUP BY value",
+    _PAIRS + "," + _FULL.format(_GRAM.format("cells", "cells"), "cells") + "," + _POWER + f", w AS (SELECT i AS fid, sum(h.re * v.re - h.im * v.im) AS re, sum(h.re * v.im + h.im * v.re) AS im FROM dhd h JOIN v{_STEPS} v ON v.fid = j GROUP BY i)",
+)
+def eigen_residual(s: Setup) -> DataFrame:
+    """How far the vector of power_iteration is from an eigenvector."""
+    h = kept(gram.preconditioned(gram.hermitian(gram.gram(s.cells, s.cells, gram.pairs(s.scan, N, s.width), N)), s.cells, N))
+    return _rounded(gram.residual(h, gram.eigenvector(h, s.scan, _STEPS, kept)), "value", "residual")
+
+
+_BORDERED = _PAIRS.replace("abs(dx) < 8 AND abs(dy) < 8", "abs(dx) < 6 AND abs(dy) < 6") + "," + _FULL.format(
+    _GRAM.format("cells", "cells").replace("GROUP BY i, j", "WHERE a.y BETWEEN greatest(0, -dy) + 1 AND least(8, 8 - dy) - 2 AND a.x BETWEEN greatest(0, -dx) + 1 AND least(8, 8 - dx) - 2 GROUP BY i, j"),
+    "cells WHERE y BETWEEN 1 AND 6 AND x BETWEEN 1 AND 6",
+)
+
+
+@_query(f"SELECT i, j, {_round('re', 'im')} FROM dhd", _BORDERED)
+def precondition_border(s: Setup) -> DataFrame:
+    """Pairs, Gram matrix and scaling without a border of one pixel."""
+    h = gram.hermitian(gram.gram(s.cells, s.cells, gram.pairs(s.scan, N, s.width, 1), N, 1))
+    return _rounded(gram.preconditioned(h, s.cells, N, 1), "re", "im")
+
+
 _LEFT_RIGHT = """
 lefts AS MATERIALIZED (SELECT fid, y, x, p.re * f.re + p.im * f.im AS re, p.re * f.im - p.im * f.re AS im FROM {0} f JOIN probe p USING (y, x)),
 nrm AS MATERIALIZED (SELECT pix, sum(re * re + im * im) AS n FROM mapid JOIN probe USING (y, x) GROUP BY pix),
@@ -321,14 +344,14 @@ def _iterated(steps: int) -> str:
     return out
 
 
-def _solved(s: Setup, steps: int, power_steps: int = 0) -> tuple[DataFrame, DataFrame]:
+def _solved(s: Setup, steps: int, **more) -> solvers.Solution:
     ones = s.image.select("pix", F.lit(1.0).alias("re"), F.lit(0.0).alias("im"))
-    return solvers.alternating_projections(s.scan, kept(_data(s)), s.probe, s.width, steps, ones, s.image, kept, power_steps)
+    return solvers.alternating_projections(s.scan, kept(_data(s)), s.probe, s.width, steps, ones, s.image, kept, **more)
 
 
 @_query(f"SELECT pix, {_round('re', 'im')} FROM i1", _DATA + "," + _iterated(1))
 def ap_step(s: Setup) -> DataFrame:
-    return _rounded(_solved(s, 1)[0], "re", "im")
+    return _rounded(_solved(s, 1).image, "re", "im")
 
 
 _IN_PHASE = _LEFT_RIGHT.format("b0") + "," + _PAIRS + "," + _FULL.format(_GRAM.format("lefts", "rights"), "b0") + "," + _POWER + f""",
@@ -339,7 +362,32 @@ j1 AS ({_PROJECTED.format("c0")})"""
 
 @_query(f"SELECT pix, {_round('re', 'im')} FROM j1", _DATA + "," + _iterated(1) + "," + _IN_PHASE)
 def ap_synchronized_step(s: Setup) -> DataFrame:
-    return _rounded(_solved(s, 1, _STEPS)[0], "re", "im")
+    return _rounded(_solved(s, 1, power_steps=_STEPS).image, "re", "im")
+
+
+_REFINED = _LENS + "," + _iterated(1) + """,
+s1 AS MATERIALIZED (SELECT m.y, m.x, avg(i.re * f.re + i.im * f.im) AS a, avg(i.re * f.im - i.im * f.re) AS b, avg(i.re * i.re + i.im * i.im) AS n FROM mapid m JOIN i1 i USING (pix) JOIN b0 f ON f.fid = m.fid AND f.y = m.y AND f.x = m.x GROUP BY m.y, m.x),
+q1 AS MATERIALIZED (SELECT 0 AS fid, y, x, (a + e * p.re) / (n + e) AS re, (b + e * p.im) / (n + e) AS im FROM s1 JOIN probe p USING (y, x), (SELECT max(n) * 0.01 AS e FROM s1)),""" + _dft("q1_hat", "q1") + """,
+q1_cut AS (SELECT fid, y, x, re * CAST(mask AS INT) AS re, im * CAST(mask AS INT) AS im FROM q1_hat JOIN lens USING (y, x)),""" + _dft("p1", "q1_cut", 1) + """,
+g1 AS MATERIALIZED (SELECT m.fid, m.y, m.x, p.re * i.re - p.im * i.im AS re, p.re * i.im + p.im * i.re AS im FROM mapid m JOIN i1 i USING (pix) JOIN p1 p ON p.y = m.y AND p.x = m.x),""" + _dft("g1_hat", "g1") + f""",
+g1_fit AS ({_PROX.format("g1_hat")}),""" + _dft("g1_back", "g1_fit", 1) + ", i2 AS MATERIALIZED (" + _PROJECTED.format("g1_back").replace("JOIN probe p", "JOIN (SELECT y, x, re, im FROM p1) p") + ")"
+
+
+@_query(f"SELECT pix, {_round('re', 'im')} FROM i2", _DATA + "," + _REFINED)
+def ap_refined(s: Setup) -> DataFrame:
+    """Two steps with the probe refined after the first, within the lens."""
+    return _rounded(_solved(s, 2, refine_from=0, lens=dense.aperture(s.probe), residuals_interval=0).image, "re", "im")
+
+
+@_query("SELECT y, x, round(re, 6) + 0.0 AS re, round(im, 6) + 0.0 AS im FROM p1", _DATA + "," + _REFINED)
+def ap_refined_probe(s: Setup) -> DataFrame:
+    found = _solved(s, 1, refine_from=0, lens=dense.aperture(s.probe))
+    return _rounded(geometry.probe_table(s.spark, found.probe), "re", "im")
+
+
+@_query("SELECT y, x, round(re, 6) + 0.0 AS re, round(im, 6) + 0.0 AS im FROM probe")
+def make_probe(s: Setup) -> DataFrame:
+    return _rounded(geometry.probe_table(s.spark, s.probe), "re", "im")
 
 
 _MSE = "SELECT sqrt(greatest(0, aa + bb - 2 * sqrt(re * re + im * im))) AS mse FROM (SELECT sum(b.re * a.re + b.im * a.im) AS re, sum(b.re * a.im - b.im * a.re) AS im, sum(a.re * a.re + a.im * a.im) AS aa, sum(b.re * b.re + b.im * b.im) AS bb FROM {0} a JOIN {1} b USING (pix))"
@@ -354,7 +402,7 @@ _NORMS = "(SELECT sqrt(sum(intensity)) AS frames_norm, sqrt(sum(intensity)) / 8
     _DATA + "," + _iterated(2),
 )
 def ap_residuals(s: Setup) -> DataFrame:
-    return _rounded(_solved(s, 2)[1], "r_truth", "r_data", "r_step")
+    return _rounded(_solved(s, 2).residuals, "r_truth", "r_data", "r_step")
 
 
 @_query(f"SELECT round(mse, 6) + 0.0 AS mse FROM ({_MSE.format('image', 'other')})", f"other AS ({_PROJECTED.format('cells')})")

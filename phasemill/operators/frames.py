@@ -34,26 +34,25 @@ def summed(at: DataFrame) -> DataFrame:
 
 def normalization(pixels: DataFrame, probe: np.ndarray) -> DataFrame:
     """(pix, n): sums of the probe's squared modulus."""
-    n = probe.shape[1]
-    power = F.array(*(F.lit(float(v)) for v in (np.abs(probe) ** 2).ravel()))
-    value = F.element_at(power, (F.col("y") * n + F.col("x") + 1).cast("int"))
-    return pixels.groupBy("pix").agg(F.sum(value).alias("n"))
+    return with_probe(pixels, probe).groupBy("pix").agg(F.sum(cplx.abs2(cplx.pair("p_"))).alias("n"))
 
 
-def projected(cells: DataFrame, scan: DataFrame, probe: np.ndarray, width: int) -> DataFrame:
-    """(pix, re, im): sum of conj(probe) * frame over sum of |probe|^2, both in one aggregation; null where nothing lies."""
+def projected(cells: DataFrame, scan: DataFrame, probe: np.ndarray, width: int, norm: DataFrame | None = None) -> DataFrame:
+    """(pix, re, im): sum of conj(probe) * frame over sum of |probe|^2, both in one aggregation, or over a given norm (pix, n); null where nothing lies."""
     lit = with_probe(placed(cells, scan, width), probe)
     p = cplx.pair("p_")
     re, im = cplx.conj_mul(p, cplx.pair())
     sums = lit.groupBy("pix").agg(F.sum(re).alias("a"), F.sum(im).alias("b"), F.sum(cplx.abs2(p)).alias("n"))
+    if norm is not None:
+        sums = sums.drop("n").join(norm.select("pix", "n"), "pix")
     return sums.select("pix", F.try_divide("a", "n").alias("re"), F.try_divide("b", "n").alias("im"))
 
 
 def with_probe(cells: DataFrame, probe: np.ndarray) -> DataFrame:
-    """cells with the probe's value at their place as p_re, p_im; a literal of n * n numbers, no join."""
-    n = probe.shape[1]
-    at = (F.col("y") * n + F.col("x") + 1).cast("int")
-    return cells.withColumns({f"p_{k}": F.element_at(F.array(*(F.lit(float(v)) for v in part.ravel())), at) for k, part in (("re", probe.real), ("im", probe.imag))})
+    """cells with the probe's value at their place as p_re, p_im; the probe's n * n rows are broadcast, whatever the scan."""
+    p = geometry.probe_table(cells.sparkSession, probe).select("y", "x", F.col("re").alias("p_re"), F.col("im").alias("p_im"))
+    names = [F.col(c) for c in cells.columns]
+    return cells.join(F.broadcast(p), ["y", "x"]).select(*names, "p_re", "p_im")
 
 
 def illuminated(cells: DataFrame, probe: np.ndarray) -> DataFrame:

@@ -7,6 +7,7 @@ pixels (y = row, x = column); translations are integers.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +40,7 @@ def frame_pixels(scan: DataFrame, n: int, width: int) -> DataFrame:
 def make_probe(n: int, r1: float = 0.03, r2: float = 0.06, fx: float = 0.0, fy: float = 0.0) -> np.ndarray:
     """Probe of an annulus of frequencies with a quadratic phase, largest modulus 1; n even.
 
-    n x n numbers whatever the scan, so it is made on the driver and travels as a literal.
+    n x n numbers whatever the scan, so it is made on the driver and joins as a small table.
     """
     if n % 2:
         raise ValueError("n must be even")
@@ -55,9 +56,8 @@ def make_probe(n: int, r1: float = 0.03, r2: float = 0.06, fx: float = 0.0, fy:
 
 def probe_table(spark: SparkSession, probe: np.ndarray) -> DataFrame:
     """(y, x, re, im) of a probe."""
-    n = probe.shape[1]
-    rows = [(i // n, i % n, float(v.real), float(v.imag)) for i, v in enumerate(probe.ravel())]
-    return spark.createDataFrame(rows, "y long, x long, re double, im double")
+    y, x = np.indices(probe.shape)
+    return spark.createDataFrame(pd.DataFrame({"y": y.ravel(), "x": x.ravel(), "re": probe.real.ravel(), "im": probe.imag.ravel()}), "y long, x long, re double, im double")
 
 
 def cropped(image: DataFrame, start: Column, size: Column) -> DataFrame:

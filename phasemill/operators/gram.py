@@ -55,6 +55,11 @@ def preconditioned(h: DataFrame, cells: DataFrame, n: int, border: int = 0) -> D
     """D h D with D = 1 / norm of each frame less its border; null where a frame is zero."""
     inner = cells.filter(F.col("y").between(border, n - border - 1) & F.col("x").between(border, n - border - 1))
     d = inner.groupBy("fid").agg(F.try_divide(F.lit(1.0), F.sqrt(F.sum(cplx.abs2(cplx.pair())))).alias("d"))
+    return scaled(h, d)
+
+
+def scaled(h: DataFrame, d: DataFrame) -> DataFrame:
+    """D h D with the diagonal D (fid, d)."""
     both = h.join(d.select(F.col("fid").alias("i"), F.col("d").alias("di")), "i").join(d.select(F.col("fid").alias("j"), F.col("d").alias("dj")), "j")
     return both.select("i", "j", (F.col("re") * F.col("di") * F.col("dj")).alias("re"), (F.col("im") * F.col("di") * F.col("dj")).alias("im"))
 
@@ -66,16 +71,34 @@ def multiplied(h: DataFrame, v: DataFrame) -> DataFrame:
     return h.join(w, "j").groupBy(F.col("i").alias("fid")).agg(F.sum(re).alias("re"), F.sum(im).alias("im"))
 
 
-def leading(h: DataFrame, frames: DataFrame, steps: int, keep=lambda df: df) -> DataFrame:
-    """(fid, re, im) of unit modulus: phases of the leading eigenvector after so many power steps from ones, turned so that their sum is real and positive.
+def residual(h: DataFrame, v: DataFrame) -> DataFrame:
+    """One row (value, residual) of a vector (fid, re, im): its Rayleigh quotient and |h v - value v| / |v|."""
+    w = multiplied(h, v).select("fid", F.col("re").alias("w_re"), F.col("im").alias("w_im"))
+    both = v.join(w, "fid", "left").fillna(0.0, ["w_re", "w_im"])
+    size = F.sum(cplx.abs2(cplx.pair()))
+    value = both.agg(F.try_divide(F.sum(cplx.conj_mul(cplx.pair(), cplx.pair("w_"))[0]), size).alias("value"), size.alias("size"))
+    off = [F.col(f"w_{c}") - F.col("value") * F.col(c) for c in ("re", "im")]
+    return both.crossJoin(F.broadcast(value)).agg(F.first("value").alias("value"), F.sqrt(F.try_divide(F.sum(off[0] * off[0] + off[1] * off[1]), F.first("size"))).alias("residual"))
+
 
-    keep: what to do with each step's vector so that plans stay short, such as writing it.
+def eigenvector(h: DataFrame, frames: DataFrame, steps: int, keep=lambda df: df, tol: float | None = None) -> DataFrame:
+    """(fid, re, im) of unit norm: the leading eigenvector of a Hermitian h by so many power steps from ones, or fewer where the residual is tol or less before.
+
+    keep: what to do with each step's product so that plans stay short, such as writing it.
     """
     v = frames.select("fid", F.lit(1.0).alias("re"), F.lit(0.0).alias("im"))
     for _ in range(steps):
-        w = multiplied(h, v)
-        size = w.agg(F.sqrt(F.sum(cplx.abs2(cplx.pair()))).alias("size"))
-        v = keep(w.crossJoin(F.broadcast(size)).select("fid", F.try_divide("re", "size").alias("re"), F.try_divide("im", "size").alias("im")))
+        if tol is not None and (residual(h, v).first()["residual"] or 0.0) <= tol:
+            break
+        w = keep(multiplied(h, v))
+        size = F.lit(w.agg(F.sqrt(F.sum(cplx.abs2(cplx.pair())))).first()[0])
+        v = w.select("fid", F.try_divide("re", size).alias("re"), F.try_divide("im", size).alias("im"))
+    return v
+
+
+def leading(h: DataFrame, frames: DataFrame, steps: int, keep=lambda df: df, tol: float | None = None) -> DataFrame:
+    """(fid, re, im) of unit modulus: phases of the leading eigenvector, turned so that their sum is real and positive. See eigenvector for steps, keep and tol."""
+    v = eigenvector(h, frames, steps, keep, tol)
     size = F.sqrt(cplx.abs2(cplx.pair()))
     unit = v.select("fid", F.try_divide("re", size).alias("re"), F.try_divide("im", size).alias("im"))
     total = unit.agg(F.sum("re").alias("t_re"), F.sum("im").alias("t_im"))
@@ -84,11 +107,11 @@ def leading(h: DataFrame, frames: DataFrame, steps: int, keep=lambda df: df) ->
     return unit.crossJoin(F.broadcast(total)).select("fid", F.try_divide(re, whole).alias("re"), F.try_divide(im, whole).alias("im"))
 
 
-def synchronized(cells: DataFrame, scan: DataFrame, probe, width: int, steps: int, keep=lambda df: df, border: int = 0) -> DataFrame:
+def synchronized(cells: DataFrame, scan: DataFrame, probe, width: int, steps: int, keep=lambda df: df, border: int = 0, tol: float | None = None, scale: DataFrame | None = None) -> DataFrame:
     """(fid, re, im): factors that bring the phases of frames into agreement.
 
     Left frames are conj(probe) * frame, right ones the same over the image's normalisation; the
-    Gram matrix of both is scaled by the norms of the frames themselves.
+    Gram matrix of both is scaled by the norms of the frames themselves, or by a given scale (fid, d).
     """
     from phasemill.operators import frames, geometry
 
@@ -100,4 +123,4 @@ def synchronized(cells: DataFrame, scan: DataFrame, probe, width: int, steps: in
     norm = frames.normalization(pixels, probe)
     right = keep(frames.placed(left, scan, width).join(norm, "pix").select("fid", "y", "x", F.try_divide("re", "n").alias("re"), F.try_divide("im", "n").alias("im")))
     h = hermitian(gram(left, right, pairs(scan, n, width, border), n, border))
-    return leading(keep(preconditioned(h, cells, n, border)), scan, steps, keep)
+    return leading(keep(preconditioned(h, cells, n, border) if scale is None else scaled(h, scale)), scan, steps, keep, tol)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -64,35 +66,67 @@ def refined_probe(image_cells: DataFrame, cells: DataFrame, probe: np.ndarray, s
     return held.select("y", "x", *(((F.col(c) + F.col("k") * F.col("eps") * F.col(f"p_{c}")) / (F.col("n") + F.col("eps"))).alias(c) for c in ("re", "im")))
 
 
-def alternating_projections(scan: DataFrame, data: DataFrame, probe: np.ndarray, width: int, steps: int, image: DataFrame, truth: DataFrame | None = None, keep: Callable[[DataFrame], DataFrame] = lambda df: df, power_steps: int = 0, refine_from: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(image, residuals) after so many steps from an image (pix, re, im).
+def lens_masked(probe: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The probe without the frequencies outside a mask; n * n numbers."""
+    return np.fft.ifft2(np.fft.fft2(probe) * lens)
+
+
+class Solution(NamedTuple):
+    """What a solver ends with: the image (pix, re, im), the residuals of its steps, the frames (fid, re, im), the probe and its normalization (pix, n)."""
+
+    image: DataFrame
+    residuals: DataFrame
+    frames: DataFrame
+    probe: np.ndarray
+    normalization: DataFrame
+
+
+NO_RESIDUALS = "iter int, r_truth double, r_data double, r_step double"
+
+
+def alternating_projections(
+    scan: DataFrame, data: DataFrame, probe: np.ndarray, width: int, steps: int, image: DataFrame, truth: DataFrame | None = None, keep: Callable[[DataFrame], DataFrame] = lambda df: df,
+    power_steps: int = 0, power_tol: float | None = None, refine_from: int | None = None, lens: np.ndarray | None = None, normalization: DataFrame | None = None, residuals_interval: int = 1,
+) -> Solution:
+    """The solution after so many steps from an image (pix, re, im).
 
     Each step gives the frames the measured moduli, sums them up to an image and cuts frames from it
-    anew. residuals (iter, r_truth, r_data, r_step) are relative to the norms of truth, of the moduli and
-    of the frames; r_truth is 0 without truth. keep writes a step's frames and image so that plans
-    stay short, for more than a few steps.
+    anew; with power_steps their phases are synchronised before, by an eigenvector to power_tol.
+    From step refine_from on the probe is refined, and freed of frequencies outside lens, and with it
+    its normalization, which is otherwise the given one. residuals (iter, r_truth, r_data, r_step), of
+    every residuals_interval-th step from the first (0: of none), are relative to the norms of truth,
+    of the moduli and of the frames; r_truth is 0 without truth. keep writes a step's frames and image
+    so that plans stay short, for more than a few steps.
     """
     n = probe.shape[0]
     size = norms(data, truth if truth is not None else image, n)
-    waves, rows = exit_waves(image, scan, probe, width), None
+    waves, rows = exit_waves(image, scan, probe, width), []
+    fitted = waves
     for i in range(steps):
-        before = prox.data_residual(waves, data, n)
+        recorded = residuals_interval and i % residuals_interval == 0
+        before = prox.data_residual(waves, data, n) if recorded else None
         fitted = keep(prox.project_data(waves, data, n))
         if power_steps:
             cells = keep(dense.long(fitted, n))
-            omega = gram.synchronized(cells, scan, probe, width, power_steps, keep)
+            omega = gram.synchronized(cells, scan, probe, width, power_steps, keep, tol=power_tol)
             fitted = keep(dense.packed(frames.stacked(cells, omega), n))
-        image = keep(frames.projected(dense.long(fitted, n), scan, probe, width))
+        image = keep(frames.projected(dense.long(fitted, n), scan, probe, width, normalization))
         if refine_from is not None and i >= refine_from:
             windows = frames.split(geometry.frame_pixels(scan, n, width), image)
             new = refined_probe(windows, dense.long(fitted, n), probe).orderBy("y", "x").collect()
             probe = np.array([r["re"] + 1j * r["im"] for r in new]).reshape(n, n)
+            probe = probe if lens is None else lens_masked(probe, lens)
+            normalization = None  # that of the new probe
         waves = keep(exit_waves(image, scan, probe, width))
+        if not recorded:
+            continue
         off = distance(truth, image) if truth is not None else before.select(F.lit(0.0).alias("mse"))
         row = before.crossJoin(off).crossJoin(step_norm(waves, fitted).withColumnRenamed("r", "s")).crossJoin(size)
-        row = row.select(F.lit(i).alias("iter"), (F.col("mse") / F.col("truth_norm")).alias("r_truth"), (F.col("r") / F.col("frames_norm")).alias("r_data"), (F.col("s") / F.col("frames_norm_r")).alias("r_step"))
-        rows = row if rows is None else rows.unionByName(row)
-    return image, rows
+        rows.append(row.select(F.lit(i).alias("iter"), (F.col("mse") / F.col("truth_norm")).alias("r_truth"), (F.col("r") / F.col("frames_norm")).alias("r_data"), (F.col("s") / F.col("frames_norm_r")).alias("r_step")))
+    residuals = reduce(DataFrame.unionByName, rows) if rows else scan.sparkSession.createDataFrame([], NO_RESIDUALS)
+    if normalization is None:
+        normalization = frames.normalization(geometry.frame_pixels(scan, n, width), probe)
+    return Solution(image, residuals, waves, probe, normalization)
 
 
 def shares(times: DataFrame, name: str, seconds: str) -> DataFrame:

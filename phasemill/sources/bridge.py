@@ -49,7 +49,7 @@ class Setup:
 
     @property
     def image(self) -> DataFrame:
-        """(pix, y, x, re, im): row y from vector y modulo their number, column x from element x modulo 64."""
+        """(pix, y, x, re, im): row y from vector y, of which there must be as many as the image is wide, column x from element x modulo 64."""
         rows = self.vectors.select(F.col("vec_id").alias("y"), "embedding").filter(F.col("vec_id") < self.width)
         cells = rows.select("y", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(self.width - 1).cast("long"))).alias("x"), "embedding")
         g = F.element_at("embedding", (F.col("x") % 64 + 1).cast("int")).cast("double")

@@ -13,7 +13,7 @@ def test_simulate_and_reconstruct(spark, tmp_path):
     d = dataset.read(spark, folder)
     assert d.scan.count() == d.data.count() == 500 and d.probe.shape == d.lens.shape == (8, 8)
     assert np.isclose(abs(d.probe).max(), 1) and 0 < d.lens.sum() < 64
-    image, residuals = imaging.reconstruct(spark, folder, 3)
+    image, residuals, *_ = imaging.reconstruct(spark, folder, 3)
     rows = residuals.orderBy("iter").collect()
     assert rows[-1].r_data < rows[0].r_data
     assert imaging.last_error(residuals).first()["nmse"] == rows[-1].r_truth

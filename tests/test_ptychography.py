@@ -162,18 +162,58 @@ def test_alternating_projections_lower_the_residuals(spark):
     scan, width, image, *_, probe = _small(spark, 4)
     data = P.kept(dense.intensities(solvers.exit_waves(image, scan, probe, width), N))
     ones = image.select("pix", F.lit(1.0).alias("re"), F.lit(0.0).alias("im"))
-    _, rows = solvers.alternating_projections(scan, data, probe, width, 4, ones, image, P.kept)
+    rows = solvers.alternating_projections(scan, data, probe, width, 4, ones, image, P.kept).residuals
     got = [(r.r_data, r.r_step) for r in rows.orderBy("iter").collect()]
     assert len(got) == 4 and got[-1][0] < got[0][0] and got[-1][1] < got[0][1]
 
 
 def test_refinement_within_the_solver_keeps_the_scale(spark):
-    scan, width, image, *_, probe = _small(spark, 4)
+    scan, width, image, _, at, probe = _small(spark, 4)
     data = P.kept(dense.intensities(solvers.exit_waves(image, scan, probe, width), N))
     ones = image.select("pix", F.lit(1.0).alias("re"), F.lit(0.0).alias("im"))
-    _, rows = solvers.alternating_projections(scan, data, probe, width, 4, ones, image, P.kept, refine_from=1)
-    got = [r.r_data for r in rows.orderBy("iter").collect()]
-    assert got[-1] < got[0]
+    found = solvers.alternating_projections(scan, data, probe, width, 4, ones, image, P.kept, refine_from=1, residuals_interval=3)
+    got = {r.iter: r.r_data for r in found.residuals.collect()}
+    assert sorted(got) == [0, 3] and got[3] < got[0]
+    assert found.probe.shape == probe.shape and not np.allclose(found.probe, probe)
+    norm = _image(found.normalization.select("pix", F.col("n").alias("re"), F.lit(0.0).alias("im")), width).real
+    want = np.zeros((width, width))
+    for ty, tx in at:
+        want[np.ix_((ty + np.arange(N)) % width, (tx + np.arange(N)) % width)] += abs(found.probe) ** 2
+    assert np.allclose(norm, want)
+    waves = _array(dense.long(found.frames, N), 16)
+    assert np.allclose(waves, found.probe * _windows(_image(found.image, width), at))
+
+
+def test_eigenvector_to_a_tolerance(spark):
+    """The leading eigenvector of a Gram matrix, against NumPy."""
+    scan, width, image, _, at, probe = _small(spark, 4)
+    cells = P.kept(dense.long(solvers.exit_waves(image, scan, probe, width), N))
+    h = P.kept(gram.preconditioned(gram.hermitian(gram.gram(cells, cells, gram.pairs(scan, N, width), N)), cells, N))
+    v = P.kept(gram.eigenvector(h, scan, 200, P.kept, tol=1e-5))
+    found = gram.residual(h, v).first()
+    full = np.zeros((16, 16), dtype=complex)
+    for r in h.collect():
+        full[r.i, r.j] = r.re + 1j * r.im
+    values, vectors = np.linalg.eigh(full)
+    got = np.zeros(16, dtype=complex)
+    for r in v.collect():
+        got[r.fid] = r.re + 1j * r.im
+    assert found.residual <= 1e-5 and np.isclose(found.value, values[-1])
+    assert np.isclose(abs(np.vdot(vectors[:, -1], got)), 1, atol=1e-6) and np.isclose(np.linalg.norm(full @ got - found.value * got), found.residual, atol=1e-8)
+
+
+def test_plans_of_a_probe_of_full_size(spark):
+    """128 x 128, the usual size: the probe travels as a table and not within the plan."""
+    import time
+
+    probe = geometry.make_probe(128)
+    scan = geometry.translations(spark.range(4).withColumnRenamed("id", "fid"), 5, 2)
+    cells = geometry.frame_pixels(scan, 128, 140).select("fid", "y", "x", F.lit(1.0).alias("re"), F.lit(0.0).alias("im"))
+    began = time.time()
+    plan = frames.projected(cells, scan, probe, 140)
+    plan.schema
+    assert time.time() - began < 3
+    assert plan.count() > 128 * 128
 
 
 def test_refined_probe(spark):
