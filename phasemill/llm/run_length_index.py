@@ -44,7 +44,7 @@ GROUP_BYTES = 6_000_000
 #: Different stretches of one anchor up to which their bytes meet; the windows of more are dealt by their hashes.
 HOT_STRETCHES = 2_000
 #: Places of one anchor up to which the index finds all repeats; of more, equal stretches are first told by their hashes.
-MANY_PLACES = 8
+MANY_PLACES = 2
 _PLACE_BITS = 22
 #: Shifts that spread a key over its low bits.
 _FOLDS = (32, 16, 8)
