@@ -49,6 +49,8 @@ class Plan:
     fine_slack: float = 0.065
     #: members of a slice of a bucket
     slice: int = 512
+    #: for short texts: whole sets meet within a bucket's slices, instead of larger sketches and then texts
+    short: bool = False
 
     def most_bits(self) -> int:
         """Population count of an XOR up to which a pair is checked exactly."""
@@ -212,16 +214,34 @@ def joined_sets(column: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def _fine(texts: DataFrame, plan: Plan) -> DataFrame:
-    """c and larger odd sketch of texts (c, text)."""
+    """c, odd (the larger sketch) and keys (none) of texts (c, text); of short texts the small sketch and the whole set."""
+    samples, bits = (plan.samples, plan.bits) if plan.short else (plan.fine_samples, plan.fine_bits)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, data, offsets in W.blocks(batch.column(1)):
                 keys, bounds = W.shingle_sets(data, offsets, plan.shingle)
-                odd = odd_sketches(*minima(keys, bounds, plan.fine_samples), last - first, plan.fine_bits)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), _lists(odd)], names=["c", "odd"])
+                odd = odd_sketches(*minima(keys, bounds, samples), last - first, bits)
+                ends, held = (bounds, keys) if plan.short else (np.zeros(last - first + 1), keys[:0])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), _lists(odd), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(held.view(np.int64)))], names=["c", "odd", "keys"])
 
-    return texts.select("c", "text").mapInArrow(W.tidy(sketch), "c long, odd array<long>")
+    return texts.select("c", "text").mapInArrow(W.tidy(sketch), "c long, odd array<long>, keys array<long>")
+
+
+def linked(keys: np.ndarray, bounds: np.ndarray, u: np.ndarray, v: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of rows have 100 * shared >= percent * all keys; a row's keys are distinct."""
+    number = np.unique(keys, return_inverse=True)[1].astype(np.int64)
+    width, sizes = int(number.max(initial=0)) + 1, np.diff(bounds)
+    there = np.sort(W.row_of(bounds) * width + number)
+    shared = np.zeros(len(u), dtype=np.int64)
+    for low in range(0, len(u), 50_000):
+        a, b = u[low : low + 50_000], v[low : low + 50_000]
+        n = sizes[a]
+        place = np.repeat(bounds[a] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        asked = np.repeat(b, n) * width + number[place]
+        found = there[np.minimum(np.searchsorted(there, asked), len(there) - 1)] == asked
+        shared[low : low + 50_000] = np.bincount(np.repeat(np.arange(len(a)), n), weights=found, minlength=len(a))
+    return 100 * shared >= percent * (sizes[u] + sizes[v] - shared)
 
 
 def _pairs(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -266,18 +286,19 @@ def _across(members: DataFrame, plan: Plan) -> DataFrame:
     """Pairs (u, v) of one bucket but different components that the larger sketches let pass.
 
     Of pairs that are links for certain only a forest leaves a group, see _needed. members: bucket, n,
-    c, component, odd. A large bucket is cut in slices, each pair of which is a
+    c, component, odd, keys. Pairs of short texts are links already. A large bucket is cut in slices, each pair of which is a
     group of its own, so a group has a bounded size; groups are read in order, many at a time.
     """
     slices = F.greatest(F.ceil(F.col("n") / plan.slice), F.lit(1))
     cut = members.withColumn("slices", slices).withColumn("i", F.pmod(F.xxhash64("c"), F.col("slices")))
     dealt = cut.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
-    dealt = dealt.select("bucket", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "c", "component", "odd")
-    most, sure = plan.most_fine_bits(), plan.sure_fine_bits()
+    dealt = dealt.select("bucket", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "c", "component", "odd", "keys")
+    most, sure = (plan.most_bits(), 0) if plan.short else (plan.most_fine_bits(), plan.sure_fine_bits())
 
     def near(rows: pa.RecordBatch, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
         ids, comp = rows.column(3).to_numpy(), rows.column(4).to_numpy()
         odd = rows.column(5).flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
+        keys, bounds = rows.column(6).flatten().to_numpy(), np.concatenate([[0], np.cumsum(rows.column(6).value_lengths().to_numpy().astype(np.int64))])
         at = np.concatenate([[0], np.cumsum(sizes)])
         share = np.searchsorted(np.cumsum(sizes * sizes), np.arange(0, int((sizes * sizes).sum()), 200_000), side="left")
         for low, high in zip(cuts := np.unique(np.append(share, len(sizes))), cuts[1:]):  # so many pairs at a time
@@ -288,8 +309,11 @@ def _across(members: DataFrame, plan: Plan) -> DataFrame:
             apart = np.bitwise_count(odd[u] ^ odd[v]).sum(axis=1)
             by = np.argsort(apart, kind="stable")
             by = by[apart[by] <= most]
+            if plan.short:
+                by = by[linked(keys, bounds, u[by], v[by], plan.percent)]
+            certain = len(by) if plan.short else int(np.searchsorted(apart[by], sure, side="right"))
             u, v = u[by], v[by]
-            chosen = _needed(np.searchsorted(at, u, side="right"), comp[u], comp[v], int(np.searchsorted(apart[by], sure, side="right")))
+            chosen = _needed(np.searchsorted(at, u, side="right"), comp[u], comp[v], certain)
             u, v = ids[u[chosen]], ids[v[chosen]]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
 
@@ -355,7 +379,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", pl
     left = work.settled(placed.join(mixed, "bucket", "left_semi").select("bucket", "n", "c", "component"), "left")
     fine = work.settled(_fine(texts.join(left.select("c").distinct().hint("merge"), "c", "left_semi"), plan), "fine")
     rest = work.settled(_across(left.join(fine, "c"), plan), "rest")
-    if not rest.isEmpty():
+    if plan.short:
+        links = links.union(rest)
+    elif not rest.isEmpty():
         few = rest.select(F.col("u").alias("c")).union(rest.select("v")).distinct()
         links = links.union(work.settled(verified(rest, work.settled(texts.join(few.hint("merge"), "c", "left_semi"), "texts"), plan), "links"))
     rows = work.settled(full.select("r", "id", "p", "q", "n_shingles").join(classes.select("p", "q", "n_shingles", "c"), ["p", "q", "n_shingles"]).select("id", "n_shingles", "c"), "rows")

@@ -59,7 +59,7 @@ def repeated_paragraphs(docs: DataFrame, text: str = "text", key: str = "doc_id"
     text have no paragraphs. Rows given twice are one; different texts of one key share their line
     numbers.
     """
-    plan = Plan(shingle=shingle, percent=percent, bands=tuned(percent, rows, miss), rows=rows, samples=64, bits=256, slack=0.3, fine_samples=1024, fine_bits=2048, fine_slack=0.09)
+    plan = Plan(shingle=shingle, percent=percent, bands=tuned(percent, rows, miss), rows=rows, samples=64, bits=256, slack=0.3, short=True)
     found = near_duplicates(paragraphs(docs, text, key, least_words), "text", "id", plan)
     return found.select(F.col("id.doc").alias("doc"), F.col("id.line").alias("line"), F.col("component_id.doc").alias("first_doc"), F.col("component_id.line").alias("first_line"), "kept").distinct()
 
@@ -119,7 +119,7 @@ def repeated_passages(docs: DataFrame, text: str = "text", key: str = "doc_id",
     one shingle. A block may be linked with a line that holds the same words unwrapped. A block and
     its own lines are judged apart.
     """
-    plan = Plan(shingle=shingle, percent=percent, bands=tuned(percent, rows, miss), rows=rows, samples=64, bits=256, slack=0.3, fine_samples=1024, fine_bits=2048, fine_slack=0.09)
+    plan = Plan(shingle=shingle, percent=percent, bands=tuned(percent, rows, miss), rows=rows, samples=64, bits=256, slack=0.3, short=True)
     found = near_duplicates(passages(docs, text, key, short), "text", "id", plan)
     first = [F.col(f"component_id.{c}").alias(f"first_{c}") for c in ("doc", "line", "last")]
     return found.select("id.doc", "id.line", "id.last", *first, "kept").distinct()

@@ -72,8 +72,19 @@ def test_needed_pairs_keep_all_connections():
 def test_a_dense_group_of_near_copies_gives_few_pairs(spark):
     """Texts that all resemble each other but not the first of their bucket enough: one class, and not the square of pairs."""
     rows = _family(12) + [(500 + k, " ".join(w if i % 50 != k % 50 else f"own{k}" for i, w in enumerate(H.prose(77, 200, 3000).split())), "a") for k in range(60)]
-    got = {r.doc_id: r.component_id for r in odd_sketch.near_duplicates(H.docs(spark, rows), plan=odd_sketch.Plan(slice=16)).collect()}
-    assert got == H.classes([(k, H.shingles(t, 4)) for k, t, _ in rows])
+    for short in (False, True):
+        got = {r.doc_id: r.component_id for r in odd_sketch.near_duplicates(H.docs(spark, rows), plan=odd_sketch.Plan(slice=16, short=short)).collect()}
+        assert got == H.classes([(k, H.shingles(t, 4)) for k, t, _ in rows])
+
+
+def test_linked_pairs():
+    rng = np.random.default_rng(2)
+    sets = [set(rng.integers(0, 1 << 60, 30).tolist()) for _ in range(5)]
+    sets += [set(list(s)[: int(rng.integers(20, 31))]) for s in sets] + [set()]
+    keys, bounds = np.array([k for s in sets for k in sorted(s)]), np.cumsum([0, *map(len, sets)])
+    u, v = np.triu_indices(10, 1)
+    want = [100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) for a, b in zip(u, v)]
+    assert any(want) and odd_sketch.linked(keys, bounds, u, v, 80).tolist() == want
 
 
 def test_near_duplicates_of_nothing(spark):
