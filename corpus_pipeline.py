@@ -28,7 +28,8 @@ def _tuned(spark: SparkSession) -> None:
 
 def _numbered(docs: DataFrame) -> DataFrame:
     """(_row, doc_id, text, _whole): written rows with a number each; _whole holds all columns, whatever their names."""
-    return settled(docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_whole")), "rows")
+    rows = settled(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_whole")), "rows")
+    return rows.select("_row", F.col("_whole.doc_id").alias("doc_id"), F.col("_whole.text").alias("text"), "_whole")
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
