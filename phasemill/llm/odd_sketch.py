@@ -7,14 +7,14 @@ which turns most candidates away; the rest is checked on whole sets. The (band,
 are sorted once over the whole table, and rows alone in their bucket, nearly all of them, go
 there: only what collides is joined with anything. Within a bucket every class is first
 compared with the bucket's smallest one only, so a large group of copies costs one candidate
-per member; what a bucket then still holds in several components is compared across them by
-larger odd sketches, in slices of a bounded size, so that only pairs close to the limit or
-above leave a task.
+per member; what a bucket then still holds in several components is compared across them, by
+larger odd sketches and then on whole sets, in slices of a bounded size, so that no more than
+a link for each component joined leaves a task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -49,7 +49,9 @@ class Plan:
     fine_slack: float = 0.065
     #: members of a slice of a bucket
     slice: int = 512
-    #: for short texts: whole sets meet within a bucket's slices, instead of larger sketches and then texts
+    #: shingles of a slice, on average of its members
+    slice_shingles: int = 524_288
+    #: for short texts: the small sketches serve within a bucket's slices too
     short: bool = False
 
     def most_bits(self) -> int:
@@ -59,10 +61,6 @@ class Plan:
     def most_fine_bits(self) -> int:
         return _bits_at(self.percent / 100 - self.fine_slack, self.fine_samples, self.fine_bits)
 
-    def sure_fine_bits(self) -> int:
-        """Population count up to which a pair is a link but for an error as rare as one of the bounds above."""
-        return _bits_at(min(1.0, self.percent / 100 + self.fine_slack), self.fine_samples, self.fine_bits) - 1
-
 
 def _bits_at(similarity: float, samples: int, bits: int) -> int:
     """Expected population count at a similarity, rounded up."""
@@ -214,7 +212,7 @@ def joined_sets(column: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def _fine(texts: DataFrame, plan: Plan) -> DataFrame:
-    """c, odd (the larger sketch) and keys (none) of texts (c, text); of short texts the small sketch and the whole set."""
+    """c, odd (the larger sketch, of short texts the small one), keys (the whole set) and size of texts (c, text)."""
     samples, bits = (plan.samples, plan.bits) if plan.short else (plan.fine_samples, plan.fine_bits)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,10 +220,10 @@ def _fine(texts: DataFrame, plan: Plan) -> DataFrame:
             for first, last, data, offsets in W.blocks(batch.column(1)):
                 keys, bounds = W.shingle_sets(data, offsets, plan.shingle)
                 odd = odd_sketches(*minima(keys, bounds, samples), last - first, bits)
-                ends, held = (bounds, keys) if plan.short else (np.zeros(last - first + 1), keys[:0])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), _lists(odd), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(held.view(np.int64)))], names=["c", "odd", "keys"])
+                held = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(keys.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), _lists(odd), held, pa.array(np.diff(bounds))], names=["c", "odd", "keys", "size"])
 
-    return texts.select("c", "text").mapInArrow(W.tidy(sketch), "c long, odd array<long>, keys array<long>")
+    return texts.select("c", "text").mapInArrow(W.tidy(sketch), "c long, odd array<long>, keys array<long>, size long")
 
 
 def linked(keys: np.ndarray, bounds: np.ndarray, u: np.ndarray, v: np.ndarray, percent: int) -> np.ndarray:
@@ -234,13 +232,15 @@ def linked(keys: np.ndarray, bounds: np.ndarray, u: np.ndarray, v: np.ndarray, p
     width, sizes = int(number.max(initial=0)) + 1, np.diff(bounds)
     there = np.sort(W.row_of(bounds) * width + number)
     shared = np.zeros(len(u), dtype=np.int64)
-    for low in range(0, len(u), 50_000):
-        a, b = u[low : low + 50_000], v[low : low + 50_000]
+    share = np.searchsorted(np.cumsum(sizes[u]), np.arange(0, int(sizes[u].sum()), 1_000_000), side="left")
+    cuts = np.unique(np.append(share, len(u)))  # about so many keys at a time
+    for low, high in zip(cuts, cuts[1:]):
+        a, b = u[low:high], v[low:high]
         n = sizes[a]
         place = np.repeat(bounds[a] - np.cumsum(n) + n, n) + np.arange(n.sum())
         asked = np.repeat(b, n) * width + number[place]
         found = there[np.minimum(np.searchsorted(there, asked), len(there) - 1)] == asked
-        shared[low : low + 50_000] = np.bincount(np.repeat(np.arange(len(a)), n), weights=found, minlength=len(a))
+        shared[low:high] = np.bincount(np.repeat(np.arange(len(a)), n), weights=found, minlength=len(a))
     return 100 * shared >= percent * (sizes[u] + sizes[v] - shared)
 
 
@@ -282,18 +282,46 @@ def _needed(group: np.ndarray, a: np.ndarray, b: np.ndarray, sure: int) -> np.nd
     return np.concatenate([np.array(chosen, dtype=np.int64), rest])
 
 
+def joining(a: np.ndarray, b: np.ndarray, check: Callable[[np.ndarray], np.ndarray], turns: int = 3) -> np.ndarray:
+    """Links among pairs of components (a, b), likely ones first, that join all the components that the links of all pairs join.
+
+    check says which of the asked pairs are links. Only pairs that would join something not joined
+    yet are asked, in turns; after the last turn all that are left apart are asked at once.
+    """
+    labels, ends = np.unique(np.stack([a, b]), return_inverse=True)
+    x, y = ends.reshape(2, -1)
+    label, rest, found = np.arange(len(labels)), np.arange(len(a)), [np.zeros(0, dtype=np.int64)]
+    while len(rest := rest[label[x[rest]] != label[y[rest]]]):
+        same = np.zeros(len(rest), dtype=np.int64)
+        asked = _needed(same, label[x[rest]], label[y[rest]], len(rest)) if turns > 0 else np.arange(len(rest))
+        links = rest[asked][check(rest[asked])]
+        if len(links):
+            links = links[_needed(same[: len(links)], label[x[links]], label[y[links]], len(links))]
+            found.append(links)
+            p, q, was = label[x[links]], label[y[links]], None
+            step = np.arange(len(labels))
+            while was is None or (was != step).any():
+                was = step.copy()
+                np.minimum.at(step, p, was[q])
+                np.minimum.at(step, q, was[p])
+                step = step[step]
+            label = step[label]
+        rest, turns = np.delete(rest, asked), turns - 1
+    return np.concatenate(found)
+
+
 def _across(members: DataFrame, plan: Plan) -> DataFrame:
-    """Pairs (u, v) of one bucket but different components that the larger sketches let pass.
+    """Links (u, v) of one bucket but different components: of each group a forest, see joining.
 
-    Of pairs that are links for certain only a forest leaves a group, see _needed. members: bucket, n,
-    c, component, odd, keys. Pairs of short texts are links already. A large bucket is cut in slices, each pair of which is a
-    group of its own, so a group has a bounded size; groups are read in order, many at a time.
+    members: bucket, n, load, c, component, odd, keys. A bucket of many members (n) or shingles (load)
+    is cut in slices, each pair of which is a group of its own, so a group has a bounded size; groups
+    are read in order, many at a time.
     """
-    slices = F.greatest(F.ceil(F.col("n") / plan.slice), F.lit(1))
+    slices = F.greatest(F.ceil(F.col("n") / plan.slice), F.ceil(F.col("load") / plan.slice_shingles), F.lit(1))
     cut = members.withColumn("slices", slices).withColumn("i", F.pmod(F.xxhash64("c"), F.col("slices")))
     dealt = cut.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
     dealt = dealt.select("bucket", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "c", "component", "odd", "keys")
-    most, sure = (plan.most_bits(), 0) if plan.short else (plan.most_fine_bits(), plan.sure_fine_bits())
+    most = plan.most_bits() if plan.short else plan.most_fine_bits()
 
     def near(rows: pa.RecordBatch, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
         ids, comp = rows.column(3).to_numpy(), rows.column(4).to_numpy()
@@ -306,14 +334,19 @@ def _across(members: DataFrame, plan: Plan) -> DataFrame:
             u, v = u + at[low], v + at[low]
             other = comp[u] != comp[v]
             u, v = u[other], v[other]
-            apart = np.bitwise_count(odd[u] ^ odd[v]).sum(axis=1)
+            apart = [np.bitwise_count(odd[u[k : k + 50_000]] ^ odd[v[k : k + 50_000]]).sum(axis=1) for k in range(0, len(u), 50_000)]
+            apart = np.concatenate([np.zeros(0, dtype=np.uint64), *apart])
             by = np.argsort(apart, kind="stable")
             by = by[apart[by] <= most]
-            if plan.short:
-                by = by[linked(keys, bounds, u[by], v[by], plan.percent)]
-            certain = len(by) if plan.short else int(np.searchsorted(apart[by], sure, side="right"))
             u, v = u[by], v[by]
-            chosen = _needed(np.searchsorted(at, u, side="right"), comp[u], comp[v], certain)
+
+            def check(k: np.ndarray, u: np.ndarray = u, v: np.ndarray = v) -> np.ndarray:
+                used, ends = np.unique(np.stack([u[k], v[k]]), return_inverse=True)
+                n = np.diff(bounds)[used]
+                own = np.repeat(bounds[used] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                return linked(keys[own], np.concatenate([[0], np.cumsum(n)]), *ends.reshape(2, -1), plan.percent)
+
+            chosen = joining(comp[u], comp[v], check)
             u, v = ids[u[chosen]], ids[v[chosen]]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
 
@@ -375,15 +408,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", pl
     links = work.settled(verified(work.settled(close.select("u", "v"), "pairs"), texts, plan), "links")
     first = components(links, work)
     placed = members.join(first.withColumnRenamed("id", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("bucket")
-    left = work.settled(placed.join(mixed, "bucket", "left_semi").select("bucket", "n", "c", "component"), "left")
+    # the lead has been compared with all of its bucket
+    others = placed.filter("c <> lead")
+    mixed = others.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("bucket")
+    left = work.settled(others.join(mixed, "bucket", "left_semi").select("bucket", "n", "c", "component"), "left")
     fine = work.settled(_fine(texts.join(left.select("c").distinct().hint("merge"), "c", "left_semi"), plan), "fine")
-    rest = work.settled(_across(left.join(fine, "c"), plan), "rest")
-    if plan.short:
-        links = links.union(rest)
-    elif not rest.isEmpty():
-        few = rest.select(F.col("u").alias("c")).union(rest.select("v")).distinct()
-        links = links.union(work.settled(verified(rest, work.settled(texts.join(few.hint("merge"), "c", "left_semi"), "texts"), plan), "links"))
+    loads = left.join(fine.select("c", "size"), "c").groupBy("bucket").agg(F.sum("size").alias("load"))
+    links = links.union(work.settled(_across(left.join(loads, "bucket").join(fine.drop("size"), "c"), plan), "across"))
     rows = work.settled(full.select("r", "id", "p", "q", "n_shingles").join(classes.select("p", "q", "n_shingles", "c"), ["p", "q", "n_shingles"]).select("id", "n_shingles", "c"), "rows")
     # classes that share a key are one node too
     several = rows.groupBy("id").agg(F.min("c").alias("u"), F.max("c").alias("high")).filter("u < high").select("id", "u")

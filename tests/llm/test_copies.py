@@ -69,6 +69,28 @@ def test_needed_pairs_keep_all_connections():
         assert sum(i < sure for i in kept) < 3 * k
 
 
+def test_joining_links_keep_all_connections():
+    """As the links of all pairs join components, so do those chosen, with one less than components joined."""
+    rng = np.random.default_rng(13)
+    for turns in (0, 1, 3):
+        for _ in range(200):
+            n, k = int(rng.integers(0, 60)), int(rng.integers(2, 12))
+            a, b, link = rng.integers(0, k, n), rng.integers(0, k, n), rng.random(n) < rng.random()
+            asked = []
+            chosen = odd_sketch.joining(a, b, lambda i: asked.extend(i.tolist()) or link[i], turns)
+
+            def roots(pairs):
+                low = list(range(k))
+                for _ in range(k):
+                    for i in pairs:
+                        low[a[i]] = low[b[i]] = min(low[a[i]], low[b[i]])
+                return low
+
+            assert link[chosen].all() and len(set(asked)) == len(asked)
+            assert roots(chosen) == roots(np.flatnonzero(link))
+            assert len(chosen) == k - len(set(roots(chosen)))
+
+
 def test_a_dense_group_of_near_copies_gives_few_pairs(spark):
     """Texts that all resemble each other but not the first of their bucket enough: one class, and not the square of pairs."""
     rows = _family(12) + [(500 + k, " ".join(w if i % 50 != k % 50 else f"own{k}" for i, w in enumerate(H.prose(77, 200, 3000).split())), "a") for k in range(60)]
