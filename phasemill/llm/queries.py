@@ -17,6 +17,7 @@ from phasemill.llm.pfair import mixed
 from phasemill.llm.positional_index import contamination, proximity
 from phasemill.llm.repetition import repetition_coverage
 from phasemill.llm.run_length_index import repeated_bytes
+from phasemill.llm.url_rules import RULES_SCHEMA, judged
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +78,14 @@ def op10_additive_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+#: Rules of op11: host, path, verdict.
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op11_url_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, RULES_SCHEMA))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_blocks": op1_line_blocks,
     "op2_paragraph_bands": op2_paragraph_bands,
@@ -90,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_proximity": op8_proximity,
     "op9_run_length_index": op9_run_length_index,
     "op10_additive_model": op10_additive_model,
+    "op11_url_expressions": op11_url_expressions,
 }
 
 #: Words of one text as DuckDB sees them: runs of bytes that are letters, digits or not ASCII.
@@ -171,10 +181,21 @@ SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(r, 0)
 FROM d JOIN kept USING (doc_id) LEFT JOIN cnt USING (doc_id)
 """
 
+OP11_SQL = f"""
+WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS host FROM u),
+p AS (SELECT row_number() OVER () AS k, page_id, translate(host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(host) + 1), '^[^?#]*') AS path FROM h),
+r(rule_host, rule_path, rule_verdict) AS (VALUES {", ".join(map(str, URL_RULES))}),
+f AS (SELECT k, rule_host || rule_path AS rule, rule_verdict, row_number() OVER (PARTITION BY k ORDER BY length(rule_host || rule_path) DESC) AS n
+  FROM p JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path))
+SELECT page_id, host, path, rule, coalesce(rule_verdict, 'allow') AS verdict FROM p LEFT JOIN (SELECT * FROM f WHERE n = 1) USING (k)
+"""
+
 ORACLES: dict[str, str] = {
     "op2_long_paragraphs": OP2_LONG_SQL,
     "op2_paragraph_bands": OP2_SQL,
     "op7_odd_sketch": OP7_SQL,
     "op8_positional_index": OP8_SQL,
     "op9_run_length_index": OP9_SQL,
+    "op11_url_expressions": OP11_SQL,
 }

@@ -18,7 +18,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", list(Q.ORACLES))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "labels", "pages"):
+    for t in ("documents", "benchmark", "labels", "pages", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got, want = Q.QUERIES[name](spark, SF).toPandas(), con.execute(Q.ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
@@ -27,7 +27,7 @@ def test_query_matches_sql(spark, name):
 
 
 def test_every_operator_has_a_query():
-    assert {int(n[2:].split("_")[0]) for n in Q.QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in Q.QUERIES} == set(range(1, 14))
 
 
 def _corpus():
