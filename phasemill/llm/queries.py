@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phasemill.llm.backoff_lm import scores
+from phasemill.llm.burst_trie import grafted_trie, with_digests
 from phasemill.llm.deobfuscate import toxicity
 from phasemill.llm.gam import quality
 from phasemill.llm.html_blocks import extracted
@@ -86,6 +87,11 @@ def op11_url_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, RULES_SCHEMA))
 
 
+def op12_burst_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = with_digests(grafted_trie(table(spark, sf_dir, "conversations")))
+    return found.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", F.col("saved").alias("saved_tokens"), "ends_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_blocks": op1_line_blocks,
     "op2_paragraph_bands": op2_paragraph_bands,
@@ -100,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_run_length_index": op9_run_length_index,
     "op10_additive_model": op10_additive_model,
     "op11_url_expressions": op11_url_expressions,
+    "op12_burst_trie": op12_burst_trie,
 }
 
 #: Words of one text as DuckDB sees them: runs of bytes that are letters, digits or not ASCII.
@@ -191,6 +198,22 @@ f AS (SELECT k, rule_host || rule_path AS rule, rule_verdict, row_number() OVER
 SELECT page_id, host, path, rule, coalesce(rule_verdict, 'allow') AS verdict FROM p LEFT JOIN (SELECT * FROM f WHERE n = 1) USING (k)
 """
 
+#: crc32 byte by byte and bit by bit; a node is the list of its turns.
+OP12_SQL = """
+WITH t AS (SELECT conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS s FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+crc AS (SELECT conv_id, s, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(CAST(conv_id AS VARCHAR)) + 1), lambda i: CAST(ascii(substr(CAST(conv_id AS VARCHAR), i, 1)) AS BIGINT))),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), [CAST(0 AS BIGINT), 0, 0, 0, 0, 0, 0, 0]), lambda c, z: xor(c >> 1, 3988292384 * (c & 1)))), 4294967295) % 9 AS h FROM t),
+q AS MATERIALIZED (SELECT a.conv_id AS c, list_concat(coalesce(b.s, [])[1 : a.h], a.s[a.h + 1 :]) AS s FROM crc a LEFT JOIN t b ON b.conv_id = a.conv_id - a.conv_id % 5),
+p AS MATERIALIZED (SELECT c, unnest(range(0, len(s) + 1)) AS d, s FROM q),
+m AS MATERIALIZED (SELECT c, d, s[1 : d] AS k, CASE WHEN d > 0 THEN s[1 : d - 1] END AS up, len(s) = d AS ended, CASE WHEN d > 0 THEN octet_length(encode(s[d].t)) ELSE 0 END AS b FROM p),
+n AS MATERIALIZED (SELECT k, d, any_value(up) AS up, min(c) AS conv_id, count(*) AS n_convs, any_value(b) AS b, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE ended) AS ends FROM m GROUP BY k, d),
+kids AS MATERIALIZED (SELECT up AS k, count(*) AS n_children FROM n WHERE d > 0 GROUP BY up),
+w AS MATERIALIZED (SELECT n.k, n.d, CASE WHEN kids.k IS NULL THEN 1 ELSE 0 END AS leaf, (n_convs - 1) * b AS saved FROM n LEFT JOIN kids ON kids.k = n.k),
+sums AS (SELECT a AS k, sum(leaf) AS n_leaves, sum(saved) AS saved FROM (SELECT unnest(list_transform(range(0, d + 1), lambda i: k[1 : i])) AS a, leaf, saved FROM w) GROUP BY a)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, n.n_convs, CAST(coalesce(n_children, 0) AS BIGINT) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(sums.saved AS BIGINT) AS saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
+FROM n JOIN sums ON sums.k = n.k LEFT JOIN n u ON u.k = n.up LEFT JOIN kids ON kids.k = n.k
+"""
+
 ORACLES: dict[str, str] = {
     "op2_long_paragraphs": OP2_LONG_SQL,
     "op2_paragraph_bands": OP2_SQL,
@@ -198,4 +221,5 @@ ORACLES: dict[str, str] = {
     "op8_positional_index": OP8_SQL,
     "op9_run_length_index": OP9_SQL,
     "op11_url_expressions": OP11_SQL,
+    "op12_burst_trie": OP12_SQL,
 }
