@@ -11,6 +11,7 @@ from phasemill.llm.backoff_lm import scores
 from phasemill.llm.burst_trie import grafted_trie, with_digests
 from phasemill.llm.deobfuscate import toxicity
 from phasemill.llm.gam import quality
+from phasemill.llm.hard_negatives import hard_negatives
 from phasemill.llm.html_blocks import extracted
 from phasemill.llm.odd_sketch import near_duplicates
 from phasemill.llm.paragraph_dedup import repeated_paragraphs, repeated_passages
@@ -92,6 +93,11 @@ def op12_burst_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", F.col("saved").alias("saved_tokens"), "ends_sha256")
 
 
+def op13_residue_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turned = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), label=turned)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_blocks": op1_line_blocks,
     "op2_paragraph_bands": op2_paragraph_bands,
@@ -107,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_additive_model": op10_additive_model,
     "op11_url_expressions": op11_url_expressions,
     "op12_burst_trie": op12_burst_trie,
+    "op13_residue_scores": op13_residue_scores,
 }
 
 #: Words of one text as DuckDB sees them: runs of bytes that are letters, digits or not ASCII.
@@ -214,6 +221,16 @@ SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, n.n
 FROM n JOIN sums ON sums.k = n.k LEFT JOIN n u ON u.k = n.up LEFT JOIN kids ON kids.k = n.k
 """
 
+OP13_SQL = """
+WITH e AS MATERIALIZED (SELECT row_number() OVER () AS n, vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (SELECT a.n, a.id AS anchor_id, b.n AS m, b.id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score FROM e a JOIN e b ON a.n <> b.n WHERE a.id % 50 = 0),
+p AS (SELECT n, anchor_id, m, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY n ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s ON s.n = p.n AND NOT same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+QUALIFY row_number() OVER w <= 3 WINDOW w AS (PARTITION BY p.n, p.m ORDER BY s.score DESC, s.id)
+"""
+
 ORACLES: dict[str, str] = {
     "op2_long_paragraphs": OP2_LONG_SQL,
     "op2_paragraph_bands": OP2_SQL,
@@ -222,4 +239,5 @@ ORACLES: dict[str, str] = {
     "op9_run_length_index": OP9_SQL,
     "op11_url_expressions": OP11_SQL,
     "op12_burst_trie": OP12_SQL,
+    "op13_residue_scores": OP13_SQL,
 }
