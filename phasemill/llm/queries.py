@@ -228,7 +228,7 @@ s AS MATERIALIZED (SELECT a.n, a.id AS anchor_id, b.n AS m, b.id, a.label = b.la
 p AS (SELECT n, anchor_id, m, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY n ORDER BY score DESC, id) <= 5)
 SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.id AS negative_id, positive_score, s.score AS negative_score
 FROM p JOIN s ON s.n = p.n AND NOT same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
-QUALIFY row_number() OVER w <= 3 WINDOW w AS (PARTITION BY p.n, p.m ORDER BY s.score DESC, s.id)
+WINDOW w AS (PARTITION BY p.n, p.m ORDER BY s.score DESC, s.id) QUALIFY row_number() OVER w <= 3
 """
 
 ORACLES: dict[str, str] = {
