@@ -161,10 +161,10 @@ BEGINNINGS = (4, 5, 6, 7, 8)
 
 def _spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Hashes of whole words and of their beginnings, and the rows of each."""
-    hashes, where = [W.span_hashes(data, starts, ends)], [rows]
+    hashes, where = [W.rolling_hashes(data, starts, ends)], [rows]
     for n in BEGINNINGS:
         long = np.flatnonzero(ends - starts >= n)
-        hashes.append(W.span_hashes(data, starts[long], starts[long] + n) ^ np.uint64(n))
+        hashes.append(W.rolling_hashes(data, starts[long], starts[long] + n) ^ np.uint64(n))
         where.append(rows[long])
     return hashes, where
 

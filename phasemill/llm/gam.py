@@ -43,7 +43,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     rows_n = len(n)
     some, length = np.maximum(n, 1), np.maximum(np.diff(offsets), 1)
     count = lambda flags: np.bincount(rows, weights=flags, minlength=rows_n)
-    hashes = W.span_hashes(data, starts, ends)
+    hashes = W.rolling_hashes(data, starts, ends)
     salt = W.mix(np.arange(1, rows_n + 1, dtype=np.uint64))
     total = count(size)
     mean = total / some
@@ -74,7 +74,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         repeats.append(np.bincount(rows[at], weights=more, minlength=rows_n) / np.maximum(np.bincount(rows[at], minlength=rows_n), 1))
     l_starts, l_ends, l_bounds = W.segment(data, offsets, _LINE)
     l_rows, lines = W.row_of(l_bounds), np.diff(l_bounds)
-    dup = W.later(W.span_hashes(data, l_starts, l_ends) ^ salt[l_rows])
+    dup = W.later(W.rolling_hashes(data, l_starts, l_ends) ^ salt[l_rows])
     stopped = np.isin(data[l_ends - 1], np.frombuffer(b'.!?:"', dtype=np.uint8)) if len(l_ends) else np.zeros(0)
     some_lines = np.maximum(lines, 1)
     return np.stack([

@@ -10,7 +10,7 @@ starts that match 100 bytes or more are repeats. All windows of equal content ha
 anchor, so nothing is missed.
 
 An anchor with more than MANY_PLACES places, as in large groups of copies, has its equal
-stretches told by 128-bit hashes before that, in each block and then over all, so that only
+stretches told by 64-bit hashes of their bytes before that, in each block and then over all, so that only
 one of them is sent; only the different ones meet in the index. An anchor with very many
 different stretches would still bring all their bytes to one task: its windows are dealt one
 by one instead, by hashes of their bytes, and the first of each stays.
@@ -58,7 +58,7 @@ def stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     if n < WINDOW:
         return (np.zeros(0, dtype=np.int64),) * 2 + (np.zeros(0, dtype=np.uint64),) * 2
     at = np.arange(n - ANCHOR + 1)
-    keys = W.span_hashes(data, at, at + ANCHOR)
+    keys = W.rolling_hashes(data, at, at + ANCHOR)
     low = (keys & ~np.uint64((1 << _PLACE_BITS) - 1)) | at.astype(np.uint64)
     width, reach = WINDOW - ANCHOR + 1, 1
     while reach * 2 <= width:  # minima of 2, 4, ... 32 places
@@ -396,7 +396,7 @@ def trimmed(raw: np.ndarray, ends: np.ndarray, size: np.ndarray, anchor: np.ndar
     begin = ends - size
     at = np.arange(max(0, len(raw) - ANCHOR + 1))
     owner = np.searchsorted(ends, at, side="right")
-    hit = np.flatnonzero((W.span_hashes(raw, at, at + ANCHOR) == anchor[owner]) & (at + ANCHOR <= ends[owner]))
+    hit = np.flatnonzero((W.rolling_hashes(raw, at, at + ANCHOR) == anchor[owner]) & (at + ANCHOR <= ends[owner]))
     place = np.full(len(ends), -1, dtype=np.int64)
     place[owner[hit][::-1]] = at[hit][::-1]  # the first in each
     reach = np.arange(WINDOW - ANCHOR)

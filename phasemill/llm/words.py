@@ -126,7 +126,40 @@ def segment(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of the bytes of each span; spans are in order and may touch but a later one never starts before an earlier."""
+    """A 64-bit hash of the bytes of each span; spans may touch, overlap and be of any length.
+
+    A span's pieces of eight bytes are scrambled one by one, each with a constant of its place, and
+    summed, so that no pattern of bytes cancels out as it may in a polynomial modulo 2^64.
+    """
+    sizes = ends - starts
+    last = np.cumsum((sizes + 7) // 8)  # the piece after each span's last
+    total = np.zeros(len(starts), dtype=np.uint64)
+    pieces = int(last[-1]) if len(last) else 0
+    for low in range(0, pieces, _SPAN // 8):
+        high = min(low + _SPAN // 8, pieces)
+        first, stop = (int(x) for x in np.searchsorted(last, [low, high - 1], side="right"))
+        cuts = np.minimum(last[first : stop + 1], high) - np.maximum(np.append(last[first - 1] if first else 0, last[first:stop]), low)
+        held = np.flatnonzero(cuts)
+        of = np.repeat(np.arange(first, stop + 1), cuts)
+        place = np.arange(low, high) - (last[of] - (sizes[of] + 7) // 8)
+        at = starts[of] + 8 * place
+        left = np.minimum(ends[of] - at, 8)
+        begin = int(at.min())
+        window = np.zeros(int((at + left).max()) - begin + 8, dtype=np.uint8)
+        window[:-8] = data[begin : begin + len(window) - 8]
+        piece = np.ndarray((len(window) - 7,), dtype="<u8", buffer=window, strides=(1,))[at - begin]
+        piece = piece & (np.uint64(0xFFFFFFFFFFFFFFFF) >> ((8 - left) * 8).astype(np.uint64))
+        scrambled = mix(piece ^ mix((place + 1).astype(np.uint64)))
+        total[first + held] += np.add.reduceat(scrambled, np.cumsum(cuts)[held] - cuts[held])
+    return mix(total + sizes.astype(np.uint64) * _BASE)
+
+
+def rolling_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A cheap hash of spans that overlap much: a polynomial modulo 2^64, of which patterned bytes may collide.
+
+    Only for what a collision does no harm to, such as choosing anchors or hashed features. Spans are
+    in order and may touch but a later one never starts before an earlier.
+    """
     out = np.zeros(len(starts), dtype=np.uint64)
     at = 0
     while at < len(starts):
