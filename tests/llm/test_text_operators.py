@@ -7,6 +7,7 @@ import os
 import re
 import zlib
 from collections import Counter
+from itertools import islice
 
 import numpy as np
 import pytest
@@ -273,7 +274,7 @@ def test_mixing(spark):
 
 def _slots(blocks, shares):
     """(slot, source, block, release, deadline) of all blocks, from the phases' periods."""
-    return [(p.begin + m * p.length + t, i, p.done[i] + m * p.shares[i] + k, p.begin + m * p.length + r, p.begin + m * p.length + d) for p in pfair.phases(blocks, shares) for m in range(-(-p.slots // p.length)) for t, i, k, r, d in p.period if m * p.length + t < p.slots]
+    return [(p.begin + m * p.length + t, i, p.done[i] + m * p.shares[i] + k, p.begin + m * p.length + r, p.begin + m * p.length + d) for p in pfair.phases(blocks, shares) for m in range(-(-p.slots // p.length)) for t, i, k, r, d in islice(pfair.slots_of(p.shares), p.made) if m * p.length + t < p.slots]
 
 
 def _earliest_deadlines(blocks, shares):
@@ -314,7 +315,7 @@ def test_schedule_stays_within_one_block():
 
 def test_the_plan_does_not_grow_with_the_blocks():
     few, many = (pfair.phases([n, 3 * n, n // 2], [5000, 3000, 2000]) for n in (10**6, 10**12))
-    assert [len(p.period) for p in few] == [len(p.period) for p in many] == [10_000, 5_000, 3_000]
+    assert [p.made for p in few] == [p.made for p in many] == [10_000, 5_000, 3_000]
     assert sum(p.slots for p in many) == 45 * 10**11
 
 
@@ -333,9 +334,17 @@ def test_mixing_matches_the_schedule(spark):
     shares = [max(1, round(w / sum(shares) * 50)) for w in shares]
     at = {(names[i], b): (slot, r, d) for slot, i, b, r, d in _earliest_deadlines([-(-size[s] // 300) for s in names], shares)}
     assert all(at[r.source, r.block] == (r.slot, r.release, r.deadline) for r in got)
-    pooled = pfair.mixed(table, block_bytes=300, period=50, tasks=4).collect()
-    assert H.counts((r.doc_id, r.source) for r in pooled) == H.counts((k, s) for k, _, s in rows)
-    assert len({(r.slot, r.offset) for r in pooled}) == 400 and len({r.slot for r in pooled if r.source in names[4:]}) < len({r.slot for r in pooled})
+
+
+def test_a_thousand_sources(spark):
+    """Each is a task of its own: no source departs from its share by a block, and rows are where the plain schedule has them."""
+    rng = np.random.default_rng(9)
+    blocks, shares = rng.integers(1, 6, 1000).tolist(), rng.integers(1, 30, 1000).tolist()
+    assert sorted(_slots(blocks, shares)) == _earliest_deadlines(blocks, shares)
+    rows = [(k, "x" * 299, f"s{k % 1000}") for k in range(3000)]  # blocks of 300 bytes, one row each
+    got = pfair.mixed(H.docs(spark, rows), block_bytes=300).collect()
+    assert sorted(r.slot for r in got) == list(range(3000)) and all(r.release <= r.slot < r.deadline for r in got)
+    assert all(abs(r.slot / 1000 - r.block) < 1 for r in got)
 
 
 def _auc(score, label):
@@ -391,7 +400,7 @@ def test_restored_words():
     data = np.frombuffer(b"He is an i d i o t. Plain words, x", dtype=np.uint8)
     got = deobfuscate.read(data, np.array([0, len(data)]), letters, {})
     plain = np.frombuffer(b"idiot", dtype=np.uint8)
-    assert deobfuscate.W.span_hashes(plain, np.array([0]), np.array([5]))[0] in got.hashes
+    assert deobfuscate.W.rolling_hashes(plain, np.array([0]), np.array([5]))[0] in got.hashes
 
 
 def test_toxicity_on_held_out_rows(spark):
