@@ -9,8 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Folders of applications on one machine that name none.
+_OWN: dict[str, str] = {}
+
+
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where that is unset, a new folder that is set as such, on one machine only.
+    """spark.checkpoint.dir of the session; where that is unset, a new folder of this application, on one machine only.
 
     On a cluster an unset folder raises ValueError: executors would not see each other's files.
     """
@@ -19,8 +23,8 @@ def folder(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        at = _OWN.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="spark-")
+        _OWN[spark.sparkContext.applicationId] = at
     return at.rstrip("/")
 
 
