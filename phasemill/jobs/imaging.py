@@ -11,10 +11,10 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phasemill.jobs.ptychography import kept
 from phasemill.operators import dense, geometry, solvers
 from phasemill.sources import dataset
 from phasemill.sources.bridge import N, setup
+from phasemill.sources.store import kept
 
 
 def simulate(spark: SparkSession, sf_dir: str, folder: str) -> None:
@@ -29,7 +29,7 @@ def reconstruct(spark: SparkSession, folder: str, steps: int = 10, refine_from:
     d = dataset.read(spark, folder)
     pixels = geometry.frame_pixels(d.scan, d.probe.shape[0], d.width).select("pix").distinct()
     ones = pixels.select("pix", F.lit(1.0).alias("re"), F.lit(0.0).alias("im"))
-    return solvers.alternating_projections(d.scan, d.data, d.probe, d.width, steps, kept(ones), d.truth, kept, refine_from=refine_from, lens=d.lens)
+    return solvers.alternating_projections(d.scan, d.data, d.probe, d.width, steps, kept(ones), d.truth, refine_from=refine_from, lens=d.lens)
 
 
 def last_error(residuals: DataFrame) -> DataFrame:

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phasemill.functions import cplx
-from phasemill.operators import dense, frames, geometry, gram, prox, solvers
+from phasemill.operators import dense, frames, geometry, gram, krylov, prox, solvers, tiles
 from phasemill.sources.bridge import N, Setup, setup
+from phasemill.sources.store import kept
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -75,17 +74,33 @@ def _waves(s: Setup) -> DataFrame:
     return solvers.exit_waves(s.image, s.scan, s.probe, s.width)
 
 
-def _data(s: Setup) -> DataFrame:
-    return dense.intensities(_waves(s), N)
+def _projected(s: Setup, f: DataFrame) -> DataFrame:
+    """The image that frames in arrays add up to."""
+    return tiles.pixels(tiles.divided(tiles.scattered(f, s.plan, s.tiling, s.probe)), s.tiling, "re", "im")
+
 
+def _gram(s: Setup, border: int = 0) -> DataFrame:
+    """The Gram matrix of the frames with themselves."""
+    plan = kept(s.plan)
+    rows = plan.join(s.frames, "fid")
+    return gram.hermitian(gram.tiled_gram(gram.both_sides(rows), gram.chunk_pairs(plan, s.tiling), s.tiling, border))
 
-def kept(df: DataFrame) -> DataFrame:
-    """df written to the folder in spark.checkpoint.dir and read again; where that is unset, to the warehouse, which executors share too."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{root.rstrip('/')}/step-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+def _preconditioned(s: Setup, border: int = 0) -> DataFrame:
+    return gram.scaled(_gram(s, border), gram.inverse_norms(s.frames, N, border))
+
+
+def _spun(s: Setup) -> tuple[gram.Synchronizer, DataFrame]:
+    """A synchronizer of the scan, and the exit waves turned by the planted phases, with their chunks."""
+    sync = gram.Synchronizer.of_scan(s.scan, s.probe, s.width, kept, steps=_STEPS)
+    w = s.omega.select("fid", F.col("re").alias("w_re"), F.col("im").alias("w_im"))
+    turn = lambda a, b, sign: F.zip_with(a, b, lambda x, y: x * F.col("w_re") + sign * (y * F.col("w_im")))
+    waves = dense.illuminate(tiles.gathered(sync.plan, tiles.tiled(s.image, s.tiling), s.tiling), s.probe).join(w, "fid").select("fid", turn("re", "im", -1).alias("re"), turn("im", "re", 1).alias("im"))
+    return sync, kept(sync.plan.join(waves, "fid"))
+
+
+def _data(s: Setup) -> DataFrame:
+    return dense.intensities(_waves(s), N)
 
 
 @_query("SELECT fid, tx, ty FROM scan")
@@ -136,22 +151,24 @@ def ifftshift(s: Setup) -> DataFrame:
 
 @_query(f"SELECT fid, m.y, m.x, {_round('re', 'im')} FROM mapid m JOIN image USING (pix)")
 def split(s: Setup) -> DataFrame:
-    return _rounded(frames.split(s.pixels, s.image), "re", "im")
+    return _long(tiles.gathered(s.plan, tiles.tiled(s.image, s.tiling), s.tiling))
 
 
 @_query("SELECT pix, round(sum(re), 6) + 0.0 AS re, round(sum(im), 6) + 0.0 AS im FROM cells JOIN mapid USING (fid, y, x) GROUP BY pix")
 def overlap(s: Setup) -> DataFrame:
-    return _rounded(frames.summed(frames.placed(s.cells, s.scan, s.width)), "re", "im")
+    return _rounded(tiles.pixels(tiles.covered(tiles.scattered(s.frames, s.plan, s.tiling)), s.tiling, "re", "im"), "re", "im")
 
 
 @_query("SELECT pix, round(sum(re), 6) + 0.0 AS re, round(sum(im), 6) + 0.0 AS im FROM cells JOIN mapid USING (fid, y, x) GROUP BY pix")
 def overlap_matvec(s: Setup) -> DataFrame:
-    return _rounded(frames.overlap(s.pixels, s.cells), "re", "im")
+    """By the sparse matrix of the scan, made once."""
+    matrix = kept(tiles.sparse_rows(s.plan, s.tiling))
+    return _rounded(tiles.pixels(tiles.covered(tiles.multiplied(matrix, s.frames, s.plan, s.tiling)), s.tiling, "re", "im"), "re", "im")
 
 
 @_query("SELECT pix, round(sum(re * re + im * im), 6) + 0.0 AS n FROM mapid JOIN probe USING (y, x) GROUP BY pix")
 def normalization(s: Setup) -> DataFrame:
-    return _rounded(frames.normalization(s.pixels, s.probe), "n")
+    return _rounded(tiles.pixels(tiles.covered(tiles.normalization(s.plan, s.tiling, s.probe)), s.tiling, "n"), "n")
 
 
 _PROJECTED = "SELECT pix, sum(p.re * f.re + p.im * f.im) / sum(p.re * p.re + p.im * p.im) AS re, sum(p.re * f.im - p.im * f.re) / sum(p.re * p.re + p.im * p.im) AS im FROM {0} f JOIN mapid USING (fid, y, x) JOIN probe p USING (y, x) GROUP BY pix"
@@ -159,7 +176,7 @@ _PROJECTED = "SELECT pix, sum(p.re * f.re + p.im * f.im) / sum(p.re * p.re + p.i
 
 @_query(f"SELECT pix, {_round('re', 'im')} FROM ({_PROJECTED.format('cells')})")
 def overlap_projection(s: Setup) -> DataFrame:
-    return _rounded(frames.projected(s.cells, s.scan, s.probe, s.width), "re", "im")
+    return _rounded(_projected(s, s.frames), "re", "im")
 
 
 @_query("SELECT fid, y, x, round(p.re * f.re - p.im * f.im, 6) + 0.0 AS re, round(p.re * f.im + p.im * f.re, 6) + 0.0 AS im FROM cells f JOIN probe p USING (y, x)")
@@ -240,6 +257,19 @@ def prox_data_reciprocal(s: Setup) -> DataFrame:
     return _long(prox.prox_data_reciprocal(s.frames, _data(s), N))
 
 
+_FITTED = _DATA + "," + _dft("f", "cells") + f", fit AS ({_PROX.format('f')})," + _dft("back", "fit", 1)
+
+
+@_query(f"SELECT fid, y, x, {_round('re', 'im')} FROM back", _FITTED)
+def project_data_reciprocal(s: Setup) -> DataFrame:
+    return _long(prox.project_data_reciprocal(s.frames, _data(s), N))
+
+
+@_query("SELECT round(sqrt(sum((f.re - sqrt(intensity + 0.01)) ** 2 + f.im ** 2)), 6) + 0.0 AS r FROM f JOIN data USING (fid, y, x)", _DATA + "," + _dft("f", "cells"))
+def reciprocal_residual(s: Setup) -> DataFrame:
+    return _rounded(prox.reciprocal_residual(s.frames, _data(s), N), "r")
+
+
 @_query(f"SELECT fid, y, x, {_round('re', 'im')} FROM back", _DATA + "," + _dft("f", "cells") + f", fit AS ({_PROX.format('f')})," + _dft("back", "fit", 1))
 def project_data(s: Setup) -> DataFrame:
     return _long(prox.project_data(s.frames, _data(s), N))
@@ -270,13 +300,12 @@ def gram_pairs(s: Setup) -> DataFrame:
 
 @_query(f"SELECT i, j, {_round('re', 'im')} FROM h", _PAIRS + "," + _FULL.format(_GRAM.format("cells", "cells"), "cells"))
 def gram_matrix(s: Setup) -> DataFrame:
-    return _rounded(gram.hermitian(gram.gram(s.cells, s.cells, gram.pairs(s.scan, N, s.width), N)), "re", "im")
+    return _rounded(_gram(s), "re", "im")
 
 
 @_query(f"SELECT i, j, {_round('re', 'im')} FROM dhd", _PAIRS + "," + _FULL.format(_GRAM.format("cells", "cells"), "cells"))
 def precondition(s: Setup) -> DataFrame:
-    h = gram.hermitian(gram.gram(s.cells, s.cells, gram.pairs(s.scan, N, s.width), N))
-    return _rounded(gram.preconditioned(h, s.cells, N), "re", "im")
+    return _rounded(_preconditioned(s), "re", "im")
 
 
 _STEPS = 3
@@ -293,8 +322,7 @@ _TURNED = "SELECT fid, round((t.re * u.re + t.im * u.im) / sqrt(t.re * t.re + t.
 
 @_query(_TURNED, _PAIRS + "," + _FULL.format(_GRAM.format("cells", "cells"), "cells") + "," + _POWER)
 def power_iteration(s: Setup) -> DataFrame:
-    h = gram.hermitian(gram.gram(s.cells, s.cells, gram.pairs(s.scan, N, s.width), N))
-    return _rounded(gram.leading(kept(gram.preconditioned(h, s.cells, N)), s.scan, _STEPS, kept), "re", "im")
+    return _rounded(gram.leading(kept(_preconditioned(s)), s.scan, _STEPS, kept), "re", "im")
 
 
 @_query(
@@ -303,7 +331,7 @@ def power_iteration(s: Setup) -> DataFrame:
 )
 def eigen_residual(s: Setup) -> DataFrame:
     """How far the vector of power_iteration is from an eigenvector."""
-    h = kept(gram.preconditioned(gram.hermitian(gram.gram(s.cells, s.cells, gram.pairs(s.scan, N, s.width), N)), s.cells, N))
+    h = kept(_preconditioned(s))
     return _rounded(gram.residual(h, gram.eigenvector(h, s.scan, _STEPS, kept)), "value", "residual")
 
 
@@ -316,8 +344,7 @@ _BORDERED = _PAIRS.replace("abs(dx) < 8 AND abs(dy) < 8", "abs(dx) < 6 AND abs(d
 @_query(f"SELECT i, j, {_round('re', 'im')} FROM dhd", _BORDERED)
 def precondition_border(s: Setup) -> DataFrame:
     """Pairs, Gram matrix and scaling without a border of one pixel."""
-    h = gram.hermitian(gram.gram(s.cells, s.cells, gram.pairs(s.scan, N, s.width, 1), N, 1))
-    return _rounded(gram.preconditioned(h, s.cells, N, 1), "re", "im")
+    return _rounded(_preconditioned(s, 1), "re", "im")
 
 
 _LEFT_RIGHT = """
@@ -330,8 +357,32 @@ spun AS MATERIALIZED (SELECT fid, y, x, o.re * f.re - o.im * f.im AS re, o.re *
 
 @_query(_TURNED, _SYNC + "," + _PAIRS + "," + _FULL.format(_GRAM.format("lefts", "rights"), "spun") + "," + _POWER)
 def synchronize(s: Setup) -> DataFrame:
-    spun = kept(frames.stacked(dense.long(_waves(s), N), s.omega))
-    return _rounded(gram.synchronized(spun, s.scan, s.probe, s.width, _STEPS, kept), "re", "im")
+    sync, rows = _spun(s)
+    return _rounded(sync.phases(rows), "re", "im")
+
+
+_PLANTED = """v0 AS MATERIALIZED (SELECT fid, o.re * size / s AS re, -o.im * size / s AS im FROM omega o JOIN (SELECT fid, sqrt(sum(re * re + im * im)) AS size FROM spun GROUP BY fid) USING (fid), (SELECT sqrt(sum(re * re + im * im)) AS s FROM spun)),
+w AS (SELECT i AS fid, sum(h.re * v.re - h.im * v.im) AS re, sum(h.re * v.im + h.im * v.re) AS im FROM dhd h JOIN v0 v ON v.fid = j GROUP BY i)"""
+
+
+@_query(
+    "SELECT round(value, 6) + 0.0 AS value, round(sqrt(sum((w.re - value * v.re) ** 2 + (w.im - value * v.im) ** 2)), 6) + 0.0 AS residual FROM w JOIN v0 v USING (fid), (SELECT sum(v.re * w.re + v.im * w.im) AS value FROM w JOIN v0 v USING (fid)) GROUP BY value",
+    _SYNC + "," + _PAIRS + "," + _FULL.format(_GRAM.format("lefts", "rights"), "spun") + "," + _PLANTED,
+)
+def sync_eigenpair(s: Setup) -> DataFrame:
+    """The leading eigenpair to 1e-9; the SQL has the value and residual of the vector that planted phases make."""
+    sync, rows = _spun(s)
+    h = sync.matrix(rows)
+    ones = s.scan.select("fid", F.lit(1.0).alias("re"), F.lit(0.0).alias("im"))
+    return _rounded(gram.residual(h, krylov.leading_pair(h, ones, kept).vector), "value", "residual")
+
+
+@_query("SELECT fid, round((t.re * o.re - t.im * o.im) / sqrt(t.re * t.re + t.im * t.im), 5) + 0.0 AS re, round(-(t.re * o.im + t.im * o.re) / sqrt(t.re * t.re + t.im * t.im), 5) + 0.0 AS im FROM omega o, (SELECT sum(re) AS re, -sum(im) AS im FROM omega) t")
+def synchronize_converged(s: Setup) -> DataFrame:
+    """Phases to convergence: the planted ones, undone."""
+    sync, rows = _spun(s)
+    sync.tol, sync.steps = 1e-11, 0
+    return sync.phases(rows).withColumns({c: F.round(c, 5) + F.lit(0.0) for c in ("re", "im")})
 
 
 def _iterated(steps: int) -> str:
@@ -346,7 +397,7 @@ def _iterated(steps: int) -> str:
 
 def _solved(s: Setup, steps: int, **more) -> solvers.Solution:
     ones = s.image.select("pix", F.lit(1.0).alias("re"), F.lit(0.0).alias("im"))
-    return solvers.alternating_projections(s.scan, kept(_data(s)), s.probe, s.width, steps, ones, s.image, kept, **more)
+    return solvers.alternating_projections(s.scan, kept(_data(s)), s.probe, s.width, steps, ones, s.image, **more)
 
 
 @_query(f"SELECT pix, {_round('re', 'im')} FROM i1", _DATA + "," + _iterated(1))
@@ -407,12 +458,12 @@ def ap_residuals(s: Setup) -> DataFrame:
 
 @_query(f"SELECT round(mse, 6) + 0.0 AS mse FROM ({_MSE.format('image', 'other')})", f"other AS ({_PROJECTED.format('cells')})")
 def mse_calc(s: Setup) -> DataFrame:
-    return _rounded(solvers.distance(s.image, frames.projected(s.cells, s.scan, s.probe, s.width)), "mse")
+    return _rounded(solvers.distance(s.image, _projected(s, s.frames)), "mse")
 
 
 @_query("SELECT pix, round(sqrt(a.re * a.re + a.im * a.im) - sqrt(b.re * b.re + b.im * b.im), 6) + 0.0 AS d FROM image a JOIN other b USING (pix)", f"other AS ({_PROJECTED.format('cells')})")
 def difference_image(s: Setup) -> DataFrame:
-    return _rounded(solvers.difference(s.image, frames.projected(s.cells, s.scan, s.probe, s.width)), "d")
+    return _rounded(solvers.difference(s.image, _projected(s, s.frames)), "d")
 
 
 @_query("SELECT round(sqrt(sum((a.re - b.re) ** 2 + (a.im - b.im) ** 2)), 6) + 0.0 AS r FROM waves a JOIN cells b USING (fid, y, x)", _WAVES)
@@ -430,17 +481,27 @@ def norms(s: Setup) -> DataFrame:
     "s AS MATERIALIZED (SELECT m.y, m.x, avg(i.re * f.re + i.im * f.im) AS a, avg(i.re * f.im - i.im * f.re) AS b, avg(i.re * i.re + i.im * i.im) AS n FROM mapid m JOIN image i USING (pix) JOIN cells f ON f.fid = m.fid AND f.y = m.y AND f.x = m.x GROUP BY m.y, m.x)",
 )
 def refine_illumination(s: Setup) -> DataFrame:
-    return _rounded(solvers.refined_probe(frames.split(s.pixels, s.image), s.cells, s.probe), "re", "im")
+    plan = kept(s.plan)
+    found = solvers.refined_probe(plan.join(s.frames, "fid"), tiles.tiled(s.image, s.tiling), tiles.chunks(plan, s.tiling), s.tiling, s.probe)
+    return _rounded(geometry.probe_table(s.spark, found), "re", "im")
 
 
 @_query(f"SELECT round(mse / truth_norm, 6) + 0.0 AS nmse FROM ({_MSE.format('image', 'other')}), (SELECT sqrt(sum(re * re + im * im)) AS truth_norm FROM image)", _WAVES + f", other AS ({_PROJECTED.format('waves')})")
 def split_overlap_identity(s: Setup) -> DataFrame:
     """Frames cut from the image and summed up again give the image."""
-    back = frames.projected(dense.long(_waves(s), N), s.scan, s.probe, s.width)
+    back = _projected(s, _waves(s))
     size = s.image.agg(F.sqrt(F.sum(cplx.abs2(cplx.pair()))).alias("size"))
     return solvers.distance(s.image, back).crossJoin(size).select((F.round(F.col("mse") / F.col("size"), 6) + F.lit(0.0)).alias("nmse"))
 
 
+def operator_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of the seconds that tasks of a solver run of three steps spend in each kind of work, measured inside them; another run has other figures."""
+    return solvers.shares(_solved(setup(spark, sf_dir), 3).times, "operator", "seconds")
+
+
+QUERIES["operator_times"] = operator_times
+
+
 def timer_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", F.abs("value").alias("value"))
     return _rounded(solvers.shares(events, "event_type", "value"), "share")

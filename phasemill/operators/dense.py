@@ -16,12 +16,14 @@ from pyspark.sql import functions as F
 SCHEMA = "fid long, re array<double>, im array<double>"
 
 
-def _stack(column: pa.Array, n: int) -> np.ndarray:
-    values = column.flatten()
-    return values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), n, n)
+def stack(column: pa.Array | pa.ChunkedArray, n: int) -> np.ndarray:
+    """Arrays of n * n numbers as frames."""
+    values = column.combine_chunks().flatten().to_numpy() if isinstance(column, pa.ChunkedArray) else column.flatten().to_numpy(zero_copy_only=False)
+    return values.astype(np.float64).reshape(len(column), n, n)
 
 
-def _lists(values: np.ndarray) -> pa.Array:
+def lists(values: np.ndarray) -> pa.Array:
+    """Frames as arrays of numbers."""
     flat = np.ascontiguousarray(values.reshape(len(values), -1), dtype=np.float64)
     ends = np.arange(len(values) + 1, dtype=np.int32) * flat.shape[1]
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.ravel()))
@@ -32,9 +34,9 @@ def on_frames(frames: DataFrame, n: int, change: Callable[..., np.ndarray], *oth
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            f = _stack(batch.column(1), n) + 1j * _stack(batch.column(2), n)
-            out = change(f, *(_stack(batch.column(3 + k), n) for k in range(len(others))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(out.real), _lists(out.imag)], names=["fid", "re", "im"])
+            f = stack(batch.column(1), n) + 1j * stack(batch.column(2), n)
+            out = change(f, *(stack(batch.column(3 + k), n) for k in range(len(others))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists(out.real), lists(out.imag)], names=["fid", "re", "im"])
 
     return frames.select("fid", "re", "im", *others).mapInArrow(run, SCHEMA)
 
@@ -76,8 +78,8 @@ def intensities(frames: DataFrame, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            f = np.fft.fft2(_stack(batch.column(1), n) + 1j * _stack(batch.column(2), n))
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(np.abs(f) ** 2)], names=["fid", "intensity"])
+            f = np.fft.fft2(stack(batch.column(1), n) + 1j * stack(batch.column(2), n))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists(np.abs(f) ** 2)], names=["fid", "intensity"])
 
     return frames.select("fid", "re", "im").mapInArrow(run, "fid long, intensity array<double>")
 

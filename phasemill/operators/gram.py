@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phasemill.functions import cplx
+from phasemill.operators import dense, krylov, tiles
+from phasemill.operators.tiles import Tiling
 
 
 def wrapped(d: Column, width: int) -> Column:
@@ -45,6 +52,98 @@ def gram(left: DataFrame, right: DataFrame, of: DataFrame, n: int, border: int =
     return cells.join(r_, ["j", "ry", "rx"]).groupBy("i", "j").agg(F.sum(re).alias("re"), F.sum(im).alias("im"))
 
 
+def chunk_pairs(plan: DataFrame, tiling: Tiling) -> DataFrame:
+    """(r, c, part, pair, other): each chunk's place in the pairs of chunks of one tile or of neighbours; other: it is the second of two."""
+    here = plan.select("r", "c", "part").distinct()
+    steps = F.array(*(F.lit(s) for s in (-1, 0, 1)))
+    turn = lambda c, s: F.pmod(F.col(c) + F.col(s), F.lit(tiling.count)).alias(f"q{c}")
+    near = here.withColumn("sr", F.explode(steps)).withColumn("sc", F.explode(steps)).select("r", "c", "part", turn("r", "sr"), turn("c", "sc")).distinct()
+    there = here.select(F.col("r").alias("qr"), F.col("c").alias("qc"), F.col("part").alias("qpart"))
+    first, second = F.struct("r", "c", "part"), F.struct(F.col("qr").alias("r"), F.col("qc").alias("c"), F.col("qpart").alias("part"))
+    met = near.join(there, ["qr", "qc"]).select(first.alias("p"), second.alias("q")).filter("p <= q")
+    sides = met.select("p", "q", F.explode(F.when(F.col("p") == F.col("q"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))).alias("other"))
+    own, facing = F.when(F.col("other"), F.col("q")).otherwise(F.col("p")), F.when(F.col("other"), F.col("p")).otherwise(F.col("q"))
+    return sides.select(own.alias("own"), F.struct("p", "q").alias("pair"), "other", facing["r"].alias("fr"), facing["c"].alias("fc")).select("own.*", "pair", "other", "fr", "fc")
+
+
+def tiled_gram(frames: DataFrame, of: DataFrame, tiling: Tiling, border: int = 0) -> DataFrame:
+    """(i, j, re, im), i <= j: the rows of `gram`, from frames as arrays.
+
+    frames: a plan's columns with l_re, l_im and r_re, r_im; of: chunk_pairs of the plan. A frame goes
+    to the pairs of its chunk with those within reach, and one task sums all pairs of frames of a pair
+    of chunks; pairs of one displacement are summed at once.
+    """
+    n, width, reach = tiling.n, tiling.width, tiling.n - 2 * border
+
+    def near(t: str, own: str, facing: str) -> Column:
+        """Whether frames of the facing tile may overlap this one, along an axis."""
+        begin = F.floor(F.col(facing) * width / tiling.count)
+        end = F.floor((F.col(facing) + 1) * width / tiling.count)
+        return (F.col(own) == F.col(facing)) | (F.pmod(begin - F.col(t), F.lit(width)) < n) | (F.pmod(F.col(t) - end + 1, F.lit(width)) < n)
+
+    dealt = frames.join(of, ["r", "c", "part"]).filter(near("ty", "r", "fr") & near("tx", "c", "fc")).select("pair", "other", "fid", "tx", "ty", "l_re", "l_im", "r_re", "r_im")
+
+    def work(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("fid")
+        fid, other, tx, ty = (rows.column(c).to_numpy() for c in ("fid", "other", "tx", "ty"))
+        pair = rows.column("pair")[0].as_py()
+        a = np.flatnonzero(~other)
+        b = a if pair["p"] == pair["q"] else np.flatnonzero(other)
+        # frames are in order of fid, so the first of two is the one with the smaller place
+        low, high = np.minimum(a[:, None], b[None, :]), np.maximum(a[:, None], b[None, :])
+        dx, dy = (turned(t[high] - t[low], width) for t in (tx, ty))
+        met = (np.abs(dx) < reach) & (np.abs(dy) < reach)
+        if a is b:
+            met &= a[:, None] <= b[None, :]
+        i, j, dx, dy = low[met], high[met], dx[met], dy[met]
+        left = dense.stack(rows.column("l_re"), n) - 1j * dense.stack(rows.column("l_im"), n)
+        right = dense.stack(rows.column("r_re"), n) + 1j * dense.stack(rows.column("r_im"), n)
+        out = np.zeros(len(i), dtype=np.complex128)
+        order = np.lexsort((dx, dy))
+        cuts = np.flatnonzero(np.r_[True, np.diff(dx[order]) != 0] | np.r_[True, np.diff(dy[order]) != 0]) if len(order) else []
+        for some in np.split(order, cuts[1:]) if len(order) else []:
+            x, y = int(dx[some[0]]), int(dy[some[0]])
+            ys, xs = (slice(max(0, -d) + border, min(n, n - d) - border) for d in (y, x))
+            to = slice(ys.start + y, ys.stop + y), slice(xs.start + x, xs.stop + x)
+            for part in np.array_split(some, max(1, len(some) * n * n // 2_000_000)):
+                out[part] = np.einsum("kyx,kyx->k", left[i[part], ys, xs], right[j[part], to[0], to[1]])
+        return pa.table({"i": fid[i], "j": fid[j], "re": out.real, "im": out.imag})
+
+    return dealt.groupBy("pair").applyInArrow(work, "i long, j long, re double, im double")
+
+
+def turned(d: np.ndarray, width: int) -> np.ndarray:
+    """wrapped, of numbers."""
+    return -(d + width * ((d < -width / 2).astype(np.int64) - (d > width / 2)))
+
+
+def both_sides(rows: DataFrame) -> DataFrame:
+    """Frames of a plan (re, im) as left and right ones alike."""
+    return rows.select("fid", "tx", "ty", "r", "c", "part", *(F.col(k).alias(f"{s}_{k}") for s in "lr" for k in ("re", "im")))
+
+
+def lit_sides(rows: DataFrame, norm: DataFrame, of: DataFrame, tiling: Tiling, probe: np.ndarray) -> DataFrame:
+    """Left frames conj(probe) * frame and right ones the same over the normalization (tiles of n); of: tiles.chunks of the plan."""
+
+    def work(rows: pa.Table, at: tiles.Place, n: np.ndarray) -> pa.Table:
+        f = np.conj(probe) * (dense.stack(rows.column("re"), tiling.n) + 1j * dense.stack(rows.column("im"), tiling.n))
+        under = at.windows(n)
+        g = np.divide(f, under, out=np.zeros_like(f), where=under > 0)
+        named = {"l_re": f.real, "l_im": f.imag, "r_re": g.real, "r_im": g.imag}
+        return pa.table({**{c: rows.column(c) for c in ("fid", "tx", "ty", "r", "c", "part")}, **{k: dense.lists(v) for k, v in named.items()}})
+
+    arrays = ", ".join(f"{s}_{k} array<double>" for s in "lr" for k in ("re", "im"))
+    return tiles.on_chunks(rows.select("fid", "tx", "ty", "r", "c", "part", "re", "im"), norm, of, tiling, work, "fid long, tx long, ty long, r int, c int, part int, " + arrays, ("n",))
+
+
+def inverse_norms(rows: DataFrame, n: int, border: int = 0) -> DataFrame:
+    """(fid, d): one over the norm of each frame (re, im; arrays) less its border; null where it is zero."""
+    inner = F.array(*(F.lit(y * n + x + 1) for y in range(border, n - border) for x in range(border, n - border))) if border else None
+    of = lambda c: F.transform(inner, lambda i: F.element_at(c, i)) if border else F.col(c)
+    square = sum((F.aggregate(of(c), F.lit(0.0), lambda s, x: s + x * x) for c in ("re", "im")), F.lit(0.0))
+    return rows.select("fid", F.try_divide(F.lit(1.0), F.sqrt(square)).alias("d"))
+
+
 def hermitian(upper: DataFrame) -> DataFrame:
     """Both triangles."""
     mirror = upper.filter("i < j").select(F.col("j").alias("i"), F.col("i").alias("j"), "re", (-F.col("im")).alias("im"))
@@ -96,9 +195,8 @@ def eigenvector(h: DataFrame, frames: DataFrame, steps: int, keep=lambda df: df,
     return v
 
 
-def leading(h: DataFrame, frames: DataFrame, steps: int, keep=lambda df: df, tol: float | None = None) -> DataFrame:
-    """(fid, re, im) of unit modulus: phases of the leading eigenvector, turned so that their sum is real and positive. See eigenvector for steps, keep and tol."""
-    v = eigenvector(h, frames, steps, keep, tol)
+def in_phase(v: DataFrame) -> DataFrame:
+    """(fid, re, im) of unit modulus: the phases of a vector, turned so that their sum is real and positive; null where it is zero."""
     size = F.sqrt(cplx.abs2(cplx.pair()))
     unit = v.select("fid", F.try_divide("re", size).alias("re"), F.try_divide("im", size).alias("im"))
     total = unit.agg(F.sum("re").alias("t_re"), F.sum("im").alias("t_im"))
@@ -107,20 +205,48 @@ def leading(h: DataFrame, frames: DataFrame, steps: int, keep=lambda df: df, tol
     return unit.crossJoin(F.broadcast(total)).select("fid", F.try_divide(re, whole).alias("re"), F.try_divide(im, whole).alias("im"))
 
 
-def synchronized(cells: DataFrame, scan: DataFrame, probe, width: int, steps: int, keep=lambda df: df, border: int = 0, tol: float | None = None, scale: DataFrame | None = None) -> DataFrame:
-    """(fid, re, im): factors that bring the phases of frames into agreement.
+def leading(h: DataFrame, frames: DataFrame, steps: int, keep=lambda df: df, tol: float | None = None) -> DataFrame:
+    """(fid, re, im) of unit modulus: phases of the leading eigenvector by power steps. See eigenvector for steps, keep and tol, in_phase for the turn."""
+    return in_phase(eigenvector(h, frames, steps, keep, tol))
+
 
-    Left frames are conj(probe) * frame, right ones the same over the image's normalisation; the
-    Gram matrix of both is scaled by the norms of the frames themselves, or by a given scale (fid, d).
+@dataclass
+class Synchronizer:
+    """What synchronising the frames of one scan takes again and again, made once: plan, chunks, pairs of chunks, normalization.
+
+    The eigenvector comes from `steps` power steps, or, with a tolerance, from a Krylov projection
+    that starts from the vector of the call before.
     """
-    from phasemill.operators import frames, geometry
-
-    n = probe.shape[0]
-    pixels = geometry.frame_pixels(scan, n, width)
-    lit = frames.with_probe(cells, probe)
-    re, im = cplx.conj_mul(cplx.pair("p_"), cplx.pair())
-    left = keep(lit.select("fid", "y", "x", re.alias("re"), im.alias("im")))
-    norm = frames.normalization(pixels, probe)
-    right = keep(frames.placed(left, scan, width).join(norm, "pix").select("fid", "y", "x", F.try_divide("re", "n").alias("re"), F.try_divide("im", "n").alias("im")))
-    h = hermitian(gram(left, right, pairs(scan, n, width, border), n, border))
-    return leading(keep(preconditioned(h, cells, n, border) if scale is None else scaled(h, scale)), scan, steps, keep, tol)
+
+    plan: DataFrame
+    of: DataFrame
+    pairs: DataFrame
+    norm: DataFrame
+    tiling: Tiling
+    probe: np.ndarray
+    keep: Callable[[DataFrame], DataFrame]
+    steps: int = 0
+    tol: float | None = None
+    border: int = 0
+    last: krylov.Pair | None = None
+
+    @classmethod
+    def of_scan(cls, scan: DataFrame, probe: np.ndarray, width: int, keep: Callable[[DataFrame], DataFrame], **more) -> Synchronizer:
+        tiling = Tiling(width, probe.shape[0])
+        plan = keep(tiles.planned(scan, tiling))
+        return cls(plan, keep(tiles.chunks(plan, tiling)), keep(chunk_pairs(plan, tiling)), keep(tiles.normalization(plan, tiling, probe)), tiling, probe, keep, **more)
+
+    def matrix(self, rows: DataFrame, scale: DataFrame | None = None) -> DataFrame:
+        """The scaled Gram matrix of frames (a plan's columns, re, im; arrays), written; scale (fid, d) in place of the frames' norms."""
+        sides = lit_sides(rows, self.norm, self.of, self.tiling, self.probe)
+        h = hermitian(tiled_gram(sides, self.pairs, self.tiling, self.border))
+        return self.keep(scaled(h, inverse_norms(rows, self.tiling.n, self.border) if scale is None else scale))
+
+    def phases(self, rows: DataFrame, scale: DataFrame | None = None) -> DataFrame:
+        """(fid, re, im): factors that bring the phases of frames into agreement."""
+        h = self.matrix(rows, scale)
+        if self.tol is None:
+            return leading(h, self.plan, self.steps, self.keep)
+        ones = self.plan.select("fid", F.lit(1.0).alias("re"), F.lit(0.0).alias("im"))
+        self.last = krylov.leading_pair(h, ones if self.last is None else self.last.vector, self.keep, self.tol, self.steps or 100)
+        return in_phase(self.last.vector)

@@ -27,12 +27,13 @@ RANK = 1e-13
 
 
 class Pair(NamedTuple):
-    """vector (fid, re, im) of unit norm, its value, |h v - value v|, and the products with h that it took."""
+    """vector (fid, re, im) of unit norm, its value, |h v - value v|, the products with h that it took, and the written table that holds the vector."""
 
     vector: DataFrame
     value: float
     residual: float
     products: int
+    source: DataFrame
 
 
 def with_own(h: DataFrame, frames: DataFrame) -> DataFrame:
@@ -131,7 +132,7 @@ def leading_pair(h: DataFrame, start: DataFrame, keep: Callable[[DataFrame], Dat
     h = keep(with_own(h, start))
     total = start.agg(F.sum(cplx.abs2(cplx.pair())).alias("s")).first()["s"] or 0.0
     if not total:
-        return Pair(start.select("fid", "re", "im"), 0.0, 0.0, 0)
+        return Pair(start.select("fid", "re", "im"), 0.0, 0.0, 0, start)
     unit = start.select("fid", *(F.array(F.col(c) / total**0.5).alias(c) for c in ("re", "im")))
     reach = h.groupBy("i").agg(F.sum(F.sqrt(cplx.abs2(cplx.pair()))).alias("r")).agg(F.max("r")).first()[0] or 1.0
     low, high, done = -reach, reach, 1
@@ -159,4 +160,4 @@ def leading_pair(h: DataFrame, start: DataFrame, keep: Callable[[DataFrame], Dat
         margin = 0.05 * (largest - smallest) + 1e-12 * reach
         low, high = smallest - margin, largest + margin
     vector = state.select("fid", F.get("re", F.lit(0)).alias("re"), F.get("im", F.lit(0)).alias("im"))
-    return Pair(vector, value, residual, done)
+    return Pair(vector, value, residual, done, state)

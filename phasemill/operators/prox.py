@@ -32,6 +32,18 @@ def prox_data_reciprocal(spectra: DataFrame, data: DataFrame, n: int, eps: float
     return dense.on_frames(spectra.join(r, "fid"), n, lambda f, i: prox_reciprocal(f, i, eps), "r")
 
 
+def project_data_reciprocal(frames: DataFrame, data: DataFrame, n: int, eps: float = EPS) -> DataFrame:
+    """Transform, prox with r = 1 / (intensity + eps) and transform back, in one pass over the frames."""
+    r = data.select("fid", F.transform("intensity", lambda x: 1 / (x + eps)).alias("r"))
+    return dense.on_frames(frames.join(r, "fid"), n, lambda f, r: np.fft.ifft2(prox_reciprocal(np.fft.fft2(f), r, eps)), "r")
+
+
+def reciprocal_residual(frames: DataFrame, data: DataFrame, n: int, eps: float = EPS) -> DataFrame:
+    """One row r: the norm of transform - 1 / sqrt(r) over all frames, r = 1 / (intensity + eps); the transform itself, not its modulus."""
+    gap = dense.on_frames(frames.join(data, "fid"), n, lambda f, i: np.fft.fft2(f) - np.sqrt(i + eps), "intensity")
+    return gap.agg(F.sqrt(F.sum(sum((F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x) for c in ("re", "im")), F.lit(0.0)))).alias("r"))
+
+
 def project_data(frames: DataFrame, data: DataFrame, n: int, eps: float = EPS) -> DataFrame:
     """Transform, prox and transform back, in one pass over the frames."""
     return dense.on_frames(frames.join(data, "fid"), n, lambda f, i: np.fft.ifft2(prox(np.fft.fft2(f), i, eps)), "intensity")

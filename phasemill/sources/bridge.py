@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phasemill.functions import cplx
-from phasemill.operators import geometry
+from phasemill.operators import geometry, tiles
+from phasemill.operators.tiles import Tiling
 
 N = 8
 STEP = 5
@@ -35,6 +36,20 @@ class Setup:
     def pixels(self) -> DataFrame:
         return geometry.frame_pixels(self.scan, N, self.width)
 
+    @property
+    def tiling(self) -> Tiling:
+        return Tiling(self.width, N)
+
+    @property
+    def plan(self) -> DataFrame:
+        """The chunk of each frame."""
+        return tiles.planned(self.scan, self.tiling)
+
+    @property
+    def placed(self) -> DataFrame:
+        """Frames as arrays with their chunks."""
+        return self.plan.join(self.frames, "fid")
+
     @property
     def frames(self) -> DataFrame:
         """(fid, re, im) as arrays."""
