@@ -94,10 +94,11 @@ class Grams:
         return np.bincount(self.at[chosen & (self.at >= 0)], minlength=len(self.keys)).astype(np.uint32)
 
 
-def cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Bounds of the buckets, equal parts of the hash range, among sorted keys."""
-    edges = np.array([(b << KEY_BITS) // buckets for b in range(1, buckets)], dtype=np.uint64)
-    return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
+def cuts(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets, equal parts of the hash range, that sorted keys fall in, and the bounds of each among the keys."""
+    of = ((keys >> np.uint64(KEY_BITS - 31)) * np.uint64(buckets)) >> np.uint64(31)
+    at = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.zeros(0, dtype=np.int64)
+    return of[at].astype(np.int64), np.append(at, len(keys))
 
 
 def _blocks(docs: DataFrame, text: str, key: str) -> DataFrame:
@@ -160,10 +161,10 @@ def _asked(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
                 train = ~np.repeat(docs.column(1).to_numpy(zero_copy_only=False), np.diff(bounds))
                 for k in range(1, order + 1):
                     grams = Grams(hashes, bounds, k)
-                    counts, at = grams.counts(train), cuts(grams.keys, buckets)
-                    some = [b for b in range(buckets) if at[b] < at[b + 1]]
+                    counts, (some, at) = grams.counts(train), cuts(grams.keys, buckets)
+                    parts = list(zip(at[:-1], at[1:], strict=True))
                     columns = [pa.array([row["block"]] * len(some), pa.int64()), pa.array([k] * len(some), pa.int32()), pa.array(some, pa.int32())]
-                    columns += [pa.array([pack(np.diff(grams.keys[at[b] : at[b + 1]], prepend=np.uint64(0))) for b in some], pa.binary()), pa.array([pack(counts[at[b] : at[b + 1]]) for b in some], pa.binary())]
+                    columns += [pa.array([pack(np.diff(grams.keys[a:b], prepend=np.uint64(0))) for a, b in parts], pa.binary()), pa.array([pack(counts[a:b]) for a, b in parts], pa.binary())]
                     yield pa.RecordBatch.from_arrays(columns, names=["block", "k", "bucket", "keys", "counts"])
 
     return blocks.mapInArrow(W.tidy(ask), "block long, k int, bucket int, keys binary, counts binary")

@@ -17,7 +17,7 @@ from phasemill.llm.odd_sketch import near_duplicates
 from phasemill.llm.paragraph_dedup import repeated_paragraphs, repeated_passages
 from phasemill.llm.pfair import mixed
 from phasemill.llm.positional_index import contamination, proximity
-from phasemill.llm.repetition import repetition_coverage
+from phasemill.llm.repetition import RepetitionRules, repetition_coverage
 from phasemill.llm.run_length_index import repeated_bytes
 from phasemill.llm.url_rules import RULES_SCHEMA, judged
 
@@ -51,7 +51,8 @@ def op4_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repetition_coverage(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    shares = [F.element_at("window_shares", i + 1).alias(f"share_{n}") for i, n in enumerate(RepetitionRules().windows)]
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "dup_line_share", *shares)
 
 
 def op6_pfair(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,6 +167,24 @@ SELECT p.doc_id, CAST(p.line AS BIGINT) AS line, CAST(p.last AS BIGINT) AS last_
 FROM p JOIN c USING (id) JOIN p q ON q.id = c.r WHERE p.id <> c.r
 """
 
+#: Repeated windows and lines counted as they stand; the verdict from the same limits.
+OP5_SQL = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT k, n, i, array_to_string(w[i : i + n - 1], ' ') AS s FROM (SELECT k, w, n, unnest(range(1, CAST(len(w) - n + 2 AS BIGINT))) AS i FROM d, (VALUES (3), (5), (7), (10)) t(n) WHERE len(w) >= n)),
+more AS (SELECT k, n, i FROM win QUALIFY count(*) OVER (PARTITION BY k, n, s) > 1),
+hit AS (SELECT DISTINCT k, n, p FROM (SELECT k, n, unnest(range(i, i + n)) AS p FROM more)),
+c AS (SELECT k, count(*) FILTER (WHERE n = 3) AS n3, sum(length(w[p])) FILTER (WHERE n = 5) AS c5, sum(length(w[p])) FILTER (WHERE n = 7) AS c7, sum(length(w[p])) FILTER (WHERE n = 10) AS c10 FROM hit JOIN d USING (k) GROUP BY k),
+l AS (SELECT k, x[i] AS line, row_number() OVER (PARTITION BY k, x[i] ORDER BY i) AS nth FROM (SELECT k, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT k, string_split(text, chr(10)) AS x FROM d)) WHERE regexp_matches(x[i], '[^\x20\x09-\x0D]')),
+ls AS (SELECT k, count(*) AS n_lines, count(*) FILTER (WHERE nth > 1) AS n_dup, coalesce(sum(length(line)) FILTER (WHERE nth > 1), 0) AS dup, sum(length(line)) AS chars FROM l GROUP BY k),
+m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+  coalesce(n_dup, 0) AS n_dup_lines, coalesce(n3, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, CAST(coalesce(dup, 0) AS DOUBLE) / greatest(coalesce(chars, 0), 1) AS dup_line_share, coalesce(c5, 0) AS c5, coalesce(c7, 0) AS c7, coalesce(c10, 0) AS c10
+  FROM d LEFT JOIN c USING (k) LEFT JOIN ls USING (k)),
+r AS (SELECT *, CAST(c5 AS DOUBLE) / greatest(word_chars, 1) AS share_5, CAST(c7 AS DOUBLE) / greatest(word_chars, 1) AS share_7, CAST(c10 AS DOUBLE) / greatest(word_chars, 1) AS share_10, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_lines, dup_line_share, share_5, share_7, share_10,
+  NOT base_failed AND dup_line_share <= CAST(0.2 AS DOUBLE) AND n_dup_lines <= 0.5 * n_lines AND n_symbols <= CAST(0.3 AS DOUBLE) * n_words AND share_5 <= CAST(0.3 AS DOUBLE) AND share_7 <= CAST(0.25 AS DOUBLE) AND share_10 <= CAST(0.2 AS DOUBLE) AS kept
+FROM r
+"""
+
 OP7_SQL = f"""
 WITH RECURSIVE d AS (SELECT doc_id, {_SPACED} AS w FROM documents),
 s AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
@@ -234,6 +253,7 @@ WINDOW w AS (PARTITION BY p.n, p.m ORDER BY s.score DESC, s.id) QUALIFY row_numb
 ORACLES: dict[str, str] = {
     "op2_long_paragraphs": OP2_LONG_SQL,
     "op2_paragraph_bands": OP2_SQL,
+    "op5_repetition_coverage": OP5_SQL,
     "op7_odd_sketch": OP7_SQL,
     "op8_positional_index": OP8_SQL,
     "op9_run_length_index": OP9_SQL,
