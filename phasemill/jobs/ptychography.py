@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +10,9 @@ from pyspark.sql import functions as F
 
 from phasemill.functions import cplx
 from phasemill.operators import dense, frames, geometry, gram, krylov, prox, solvers, tiles
+from phasemill.sources import frame_files
 from phasemill.sources.bridge import N, Setup, setup
-from phasemill.sources.store import kept
+from phasemill.sources.store import folder, kept
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -103,6 +105,15 @@ def _data(s: Setup) -> DataFrame:
     return dense.intensities(_waves(s), N)
 
 
+@_query(f"SELECT fid, y, x, {_round('re', 'im')} FROM cells WHERE fid >= 7")
+def frames_written_and_read(s: Setup) -> DataFrame:
+    """All frames to files of fid ranges, and those from 7 on back."""
+    frame_files.register(s.spark)
+    path = f"{folder(s.spark)}/frames-{uuid.uuid4().hex}"
+    s.frames.repartitionByRange("fid").write.format("frames").mode("append").save(path)
+    return _long(s.spark.read.format("frames").load(path).filter("fid >= 7"))
+
+
 @_query("SELECT fid, tx, ty FROM scan")
 def make_translations(s: Setup) -> DataFrame:
     return s.scan
