@@ -313,20 +313,27 @@ def joining(a: np.ndarray, b: np.ndarray, check: Callable[[np.ndarray], np.ndarr
 def _across(members: DataFrame, plan: Plan) -> DataFrame:
     """Links (u, v) of one bucket but different components: of each group a forest, see joining.
 
-    members: bucket, n, load, c, component, odd, keys. A bucket of many members (n) or shingles (load)
-    is cut in slices, each pair of which is a group of its own, so a group has a bounded size; groups
-    are read in order, many at a time.
+    members: bucket, n, load, top (n, component, load of the bucket's largest component), c, component,
+    odd, keys. Members of the largest component meet only those of others, and each goes to as many
+    tasks as the others have slices; the others meet among themselves too. Slices are of so many
+    members (n) or shingles (load), so a group has a bounded size; groups are read in order, many at
+    a time.
     """
-    slices = F.greatest(F.ceil(F.col("n") / plan.slice), F.ceil(F.col("load") / plan.slice_shingles), F.lit(1))
-    cut = members.withColumn("slices", slices).withColumn("i", F.pmod(F.xxhash64("c"), F.col("slices")))
-    dealt = cut.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
-    dealt = dealt.select("bucket", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "c", "component", "odd", "keys")
+    slices = lambda n, load: F.greatest(F.ceil(n / plan.slice), F.ceil(load / plan.slice_shingles), F.lit(1)).cast("int")
+    big = F.col("component") == F.col("top.component")
+    cut = members.withColumns({"large": slices(F.col("top.n"), F.col("top.load")), "small": slices(F.col("n") - F.col("top.n"), F.col("load") - F.col("top.load"))})
+    cut = cut.withColumn("own", F.pmod(F.xxhash64("c"), F.when(big, F.col("large")).otherwise(F.col("small"))).cast("int"))
+    group = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"))
+    each = lambda n, of: F.transform(F.sequence(F.lit(0), F.col(n) - 1), of)
+    others = F.concat(each("small", lambda j: group(0, F.least("own", j), F.greatest("own", j))), each("large", lambda i: group(1, i, F.col("own"))))
+    dealt = cut.withColumn("group", F.explode(F.when(big, each("small", lambda j: group(1, F.col("own"), j))).otherwise(others)))
+    dealt = dealt.select("bucket", "group.kind", "group.a", "group.b", "c", "component", "odd", "keys")
     most = plan.most_bits() if plan.short else plan.most_fine_bits()
 
     def near(rows: pa.RecordBatch, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
-        ids, comp = rows.column(3).to_numpy(), rows.column(4).to_numpy()
-        odd = rows.column(5).flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
-        keys, bounds = rows.column(6).flatten().to_numpy(), np.concatenate([[0], np.cumsum(rows.column(6).value_lengths().to_numpy().astype(np.int64))])
+        ids, comp = rows.column(4).to_numpy(), rows.column(5).to_numpy()
+        odd = rows.column(6).flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
+        keys, bounds = rows.column(7).flatten().to_numpy(), np.concatenate([[0], np.cumsum(rows.column(7).value_lengths().to_numpy().astype(np.int64))])
         at = np.concatenate([[0], np.cumsum(sizes)])
         share = np.searchsorted(np.cumsum(sizes * sizes), np.arange(0, int((sizes * sizes).sum()), 200_000), side="left")
         for low, high in zip(cuts := np.unique(np.append(share, len(sizes))), cuts[1:]):  # so many pairs at a time
@@ -356,7 +363,7 @@ def _across(members: DataFrame, plan: Plan) -> DataFrame:
         def grouped(last: bool) -> Iterator[pa.RecordBatch]:
             """Whole groups of what is held; the last may go on in the next batch."""
             rows = pa.Table.from_batches(rest).combine_chunks().to_batches()[0]
-            keys = [rows.column(k).to_numpy() for k in range(3)]
+            keys = [rows.column(k).to_numpy() for k in range(4)]
             new = np.ones(rows.num_rows, dtype=bool)
             new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
             at = np.append(np.flatnonzero(new), rows.num_rows)
@@ -372,7 +379,7 @@ def _across(members: DataFrame, plan: Plan) -> DataFrame:
         if rest:
             yield from grouped(True)
 
-    order = ["bucket", "a", "b"]
+    order = ["bucket", "kind", "a", "b"]
     return dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(W.tidy(compare), "u long, v long").distinct()
 
 
@@ -411,9 +418,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", pl
     # the lead has been compared with all of its bucket
     others = placed.filter("c <> lead")
     mixed = others.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("bucket")
-    left = work.settled(others.join(mixed, "bucket", "left_semi").select("bucket", "n", "c", "component"), "left")
+    left = work.settled(others.join(mixed, "bucket", "left_semi").select("bucket", "c", "component"), "left")
     fine = work.settled(_fine(texts.join(left.select("c").distinct().hint("merge"), "c", "left_semi"), plan), "fine")
-    loads = left.join(fine.select("c", "size"), "c").groupBy("bucket").agg(F.sum("size").alias("load"))
+    sizes = left.join(fine.select("c", "size"), "c").groupBy("bucket", "component").agg(F.count("*").alias("n"), F.sum("size").alias("load"))
+    loads = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component", "load")).alias("top"), F.sum("n").alias("n"), F.sum("load").alias("load"))
     links = links.union(work.settled(_across(left.join(loads, "bucket").join(fine.drop("size"), "c"), plan), "across"))
     rows = work.settled(full.select("r", "id", "p", "q", "n_shingles").join(classes.select("p", "q", "n_shingles", "c"), ["p", "q", "n_shingles"]).select("id", "n_shingles", "c"), "rows")
     # classes that share a key are one node too
