@@ -281,10 +281,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
 
     The character model counts all texts. Features are chosen and weighed on about `sample`
     labelled rows at most whose crc32(key as text) mod 3 is not 1: the `width` words and word
-    beginnings that tell the labels apart best, of those with a log-likelihood gain of `least_gain`. Null and empty texts get the score of a text without
-    any of them; rows with a null key are scored too. Rows whose label is null or not 0 or 1 are not
+    beginnings that tell the labels apart best, of those with a log-likelihood gain of `least_gain`.
+    Null and empty texts get the score of a text without any of them, texts of any length are read
+    whole; rows with a null key are scored too. Rows whose label is null or not 0 or 1 are not
     learned from; with labels of one kind only, or none, every score is the smoothed share of label
-    1. Rows that repeat are scored alike. No rows give no rows.
+    1. Rows that repeat are scored alike, and a label or a document given twice weighs twice in the
+    fit. Columns that aren't carried are not read. No rows give no rows.
     """
     spark = docs.sparkSession
     counted = letter_counts(docs, text).toPandas()

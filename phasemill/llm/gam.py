@@ -233,9 +233,11 @@ def quality(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "
     """One row per row of docs: key, held_out, score (0 to 1), predicted (score >= threshold).
 
     Fitted on about `sample` labelled rows at most whose crc32(key as text) mod 3 is not 1. Null and
-    empty texts have all features 0 and get a score like others; rows with a null key are scored too.
+    empty texts have all features 0 and get a score like others, texts of any length are read whole;
+    rows with a null key are scored too, and rows that repeat alike. Other columns are not read.
     Rows whose label is null or not 0 or 1 are not learned from; with labels of one kind only, or
-    none, every score is the smoothed share of label 1. No rows give no rows.
+    none, every score is the smoothed share of label 1. A label or a document given twice weighs
+    twice in the fit. No rows give no rows.
     """
     found = settled(extracted(docs, text, key), "features")
     marked = labels.select(F.col(key), F.col(label).cast("double").alias("_label")).filter("_label IN (0, 1)").filter(~held_out(key))

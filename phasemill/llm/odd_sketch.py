@@ -391,7 +391,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", pl
     that a row's key reaches, kept: that is its own. A null or empty text, or one of white space,
     has no shingles and is linked with nothing, so it stays. Rows that share a key are one node with
     the links of all of them. A row with a null key takes part in nothing: component_id null, kept.
-    Other columns are not read. No rows give no rows.
+    Texts of any length are read whole, one at a time where they are longer than a block. Other columns are not read. No rows give no rows.
     """
     work = Work(docs.sparkSession, "near")
     signed = work.settled(signatures(docs, text, key, plan).withColumn("r", F.monotonically_increasing_id()), "signatures")

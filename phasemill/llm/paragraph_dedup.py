@@ -57,7 +57,7 @@ def repeated_paragraphs(docs: DataFrame, text: str = "text", key: str = "doc_id"
 
     Links: paragraphs with 100 * shared >= percent * all distinct shingles. Rows with a null key or
     text have no paragraphs. Rows given twice are one; different texts of one key share their line
-    numbers.
+    numbers. Lines and texts of any length are read whole; other columns are not read.
     """
     plan = Plan(shingle=shingle, percent=percent, bands=tuned(percent, rows, miss), rows=rows, samples=64, bits=256, slack=0.3, short=True)
     found = near_duplicates(paragraphs(docs, text, key, least_words), "text", "id", plan)

@@ -296,8 +296,8 @@ def _each_slice(benchmark: DataFrame, item: str, item_text: str, look: Callable[
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per row of docs: key, n_words, spans (runs of hit words), items (sorted), n_hit, contaminated.
 
-    contaminated: a hit, and 20 hit words or more in 400, that is 20 * n_hit >= n_words. Null and
-    empty texts have no words. An empty benchmark hits nothing. Rows have numbers in the index, by
+    contaminated: a hit, and hit words are a twentieth of all or more, 20 * n_hit >= n_words. Null
+    and empty texts have no words, texts of any length are read whole. An empty benchmark hits nothing. Rows have numbers in the index, by
     which the matches of all slices of the benchmark are put together, so rows that share a key or
     have none are judged one by one. Other columns are not read. No rows give no rows.
     """

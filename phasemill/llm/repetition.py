@@ -94,8 +94,9 @@ def repetition_coverage(docs: DataFrame, text: str = "text", key: str = "doc_id"
 
     Null or empty text: no words, all counts 0, base_failed, not kept. A line counts as repeated
     if an earlier line of the same text has the same bytes and it holds a word; the first of them
-    does not count. Rows with the same key are judged one by one, a null key is kept as it is, and
-    other columns are not read. No rows give no rows.
+    does not count. Texts of any length are read whole, one at a time where they are longer than a
+    block. Rows with the same key are judged one by one, a null key is kept as it is, and other
+    columns are not read. No rows give no rows.
     """
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
