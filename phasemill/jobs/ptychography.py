@@ -447,9 +447,10 @@ def ap_refined_probe(s: Setup) -> DataFrame:
     return _rounded(geometry.probe_table(s.spark, found.probe), "re", "im")
 
 
-@_query("SELECT y, x, round(re, 6) + 0.0 AS re, round(im, 6) + 0.0 AS im FROM probe")
+@_query("SELECT fid, round(sum(p.re * f.re + p.im * f.im) / s, 6) + 0.0 AS re, round(sum(p.re * f.im - p.im * f.re) / s, 6) + 0.0 AS im FROM cells f JOIN probe p USING (y, x), (SELECT sum(re * re + im * im) AS s FROM probe) GROUP BY fid, s")
 def make_probe(s: Setup) -> DataFrame:
-    return _rounded(geometry.probe_table(s.spark, s.probe), "re", "im")
+    """How much of the probe each frame holds, by the probe's own pixels."""
+    return _rounded(dense.along(s.frames, s.probe), "re", "im")
 
 
 _MSE = "SELECT sqrt(greatest(0, aa + bb - 2 * sqrt(re * re + im * im))) AS mse FROM (SELECT sum(b.re * a.re + b.im * a.im) AS re, sum(b.re * a.im - b.im * a.re) AS im, sum(a.re * a.re + a.im * a.im) AS aa, sum(b.re * b.re + b.im * b.im) AS bb FROM {0} a JOIN {1} b USING (pix))"

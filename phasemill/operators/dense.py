@@ -62,6 +62,19 @@ def illuminate(frames: DataFrame, probe: np.ndarray, conjugate: bool = False) ->
     return on_frames(frames, probe.shape[0], lambda f: f * p)
 
 
+def along(frames: DataFrame, probe: np.ndarray) -> DataFrame:
+    """(fid, re, im): the factor by which the probe comes closest to each frame, its inner product with the frame over its own square."""
+    n, square = probe.shape[0], float((np.abs(probe) ** 2).sum())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            f = stack(batch.column(1), n) + 1j * stack(batch.column(2), n)
+            c = np.einsum("yx,kyx->k", np.conj(probe), f) / square
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(c.real), pa.array(c.imag)], names=["fid", "re", "im"])
+
+    return frames.select("fid", "re", "im").mapInArrow(run, "fid long, re double, im double")
+
+
 def filtered(frames: DataFrame, mask: np.ndarray) -> DataFrame:
     """Each frame with the frequencies outside the mask removed."""
     return on_frames(frames, mask.shape[0], lambda f: np.fft.ifft2(np.fft.fft2(f) * mask))

@@ -77,6 +77,18 @@ def _image(df, width):
     return out.reshape(width, width)
 
 
+@pytest.mark.parametrize("n", [4, 5])
+def test_shifts_of_even_and_odd_frames(spark, n):
+    """The inverse shift is another one where n is odd."""
+    f = np.arange(n * n, dtype=float).reshape(n, n)
+    rows = spark.createDataFrame([(0, y, x, float(f[y, x]), 0.0) for y in range(n) for x in range(n)], "fid long, y long, x long, re double, im double")
+    for inverse, want in ((False, np.fft.fftshift(f)), (True, np.fft.ifftshift(f))):
+        got = {(r.y, r.x): r.re for r in geometry.shifted(rows, n, inverse).collect()}
+        assert all(got[y, x] == want[y, x] for y in range(n) for x in range(n))
+    back = geometry.shifted(geometry.shifted(rows, n), n, inverse=True)
+    assert sorted(map(tuple, back.select(rows.columns).collect())) == sorted(map(tuple, rows.collect()))
+
+
 def test_round_trip_and_parseval(s):
     f = s.frames.limit(20)
     back = {r.fid: np.array(r.re) + 1j * np.array(r.im) for r in dense.back_propagate(dense.propagate(f, N), N).collect()}
