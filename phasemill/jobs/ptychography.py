@@ -388,12 +388,12 @@ def sync_eigenpair(s: Setup) -> DataFrame:
     return _rounded(gram.residual(h, krylov.leading_pair(h, ones, kept).vector), "value", "residual")
 
 
-@_query("SELECT fid, round((t.re * o.re - t.im * o.im) / sqrt(t.re * t.re + t.im * t.im), 5) + 0.0 AS re, round(-(t.re * o.im + t.im * o.re) / sqrt(t.re * t.re + t.im * t.im), 5) + 0.0 AS im FROM omega o, (SELECT sum(re) AS re, -sum(im) AS im FROM omega) t")
+@_query("SELECT fid, round((t.re * o.re - t.im * o.im) / sqrt(t.re * t.re + t.im * t.im), 3) + 0.0 AS re, round(-(t.re * o.im + t.im * o.re) / sqrt(t.re * t.re + t.im * t.im), 3) + 0.0 AS im FROM omega o, (SELECT sum(re) AS re, -sum(im) AS im FROM omega) t")
 def synchronize_converged(s: Setup) -> DataFrame:
     """Phases to convergence: the planted ones, undone."""
     sync, rows = _spun(s)
-    sync.tol, sync.steps = 1e-11, 0
-    return sync.phases(rows).withColumns({c: F.round(c, 5) + F.lit(0.0) for c in ("re", "im")})
+    sync.tol, sync.steps = 1e-12, 20
+    return sync.phases(rows).withColumns({c: F.round(c, 3) + F.lit(0.0) for c in ("re", "im")})
 
 
 def _iterated(steps: int) -> str:
@@ -427,6 +427,13 @@ def ap_synchronized_step(s: Setup) -> DataFrame:
     return _rounded(_solved(s, 1, power_steps=_STEPS).image, "re", "im")
 
 
+@_query("SELECT pix, round(re, 3) + 0.0 AS re, round(im, 3) + 0.0 AS im FROM image WHERE pix IN (SELECT pix FROM mapid)")
+def ap_synchronized_steps(s: Setup) -> DataFrame:
+    """Two steps with phases synchronised to convergence, from the true image, which they leave as it is where frames lie; the second starts from the first one's eigenvector."""
+    found = solvers.alternating_projections(s.scan, kept(_data(s)), s.probe, s.width, 2, s.image, power_steps=20, power_tol=1e-12, residuals_interval=0)
+    return found.image.withColumns({c: F.round(c, 3) + F.lit(0.0) for c in ("re", "im")})
+
+
 _REFINED = _LENS + "," + _iterated(1) + """,
 s1 AS MATERIALIZED (SELECT m.y, m.x, avg(i.re * f.re + i.im * f.im) AS a, avg(i.re * f.im - i.im * f.re) AS b, avg(i.re * i.re + i.im * i.im) AS n FROM mapid m JOIN i1 i USING (pix) JOIN b0 f ON f.fid = m.fid AND f.y = m.y AND f.x = m.x GROUP BY m.y, m.x),
 q1 AS MATERIALIZED (SELECT 0 AS fid, y, x, (a + e * p.re) / (n + e) AS re, (b + e * p.im) / (n + e) AS im FROM s1 JOIN probe p USING (y, x), (SELECT max(n) * 0.01 AS e FROM s1)),""" + _dft("q1_hat", "q1") + """,

@@ -215,7 +215,7 @@ def alternating_projections(
 
     Each step gives the frames the measured moduli, sums them up to an image and cuts frames from it
     anew; with power_steps or power_tol their phases are synchronised before, by an eigenvector from
-    so many power steps or to power_tol. From step refine_from on the probe is refined, and freed of
+    so many power steps or, with power_tol, to that residual in so many cycles at most (0: 100). From step refine_from on the probe is refined, and freed of
     frequencies outside lens, and with it its normalization, which is otherwise the given one.
     residuals (iter, r_truth, r_data, r_step), of every residuals_interval-th step from the first (0:
     of none), are relative to the norms of truth, of the moduli and of the frames; r_truth is 0
