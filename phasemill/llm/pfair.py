@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 65_536
 #: Slots of a period of all sources, and at least so many a source: weights are rounded to whole shares of it.
 PERIOD, SLOTS_EACH = 10_000, 16
-#: Bytes of a source that one task sums up.
+#: Bytes of a source that one task sums up, at most.
 SUM_BYTES = 64_000_000
 
 
@@ -142,7 +142,7 @@ def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, tempering
     of = [(names[i], n, p.done[i], p.begin, p.shares[i], p.length) for n, p in enumerate(plan) for i in p.shares]
     spans = spark.createDataFrame(pd.DataFrame(of, columns=["_name", "phase", "done", "begin", "share", "length"]), "_name string, phase int, done long, begin long, share long, length long")
     slots = _slots(spark, plan, names)
-    parts = int(max(1, -(-total // SUM_BYTES)))
+    parts = max(1, -(-total // SUM_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))  # a source may be most of the rows
     # parts of the hash range keep the order, so each part can be summed up alone
     cut = sized.withColumn("_part", F.floor((F.shiftrightunsigned(F.col("_at").bitwiseXOR(F.lit(-(1 << 63))), 33) * parts) / F.lit(float(1 << 31))).cast("long"))
     before = cut.groupBy("_name", "_part").agg(F.sum("_size").alias("size")).select("_name", "_part", (F.sum("size").over(Window.partitionBy("_name").orderBy("_part")) - F.col("size")).alias("_before"))
