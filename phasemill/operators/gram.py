@@ -138,8 +138,8 @@ def lit_sides(rows: DataFrame, norm: DataFrame, of: DataFrame, tiling: Tiling, p
 
 def inverse_norms(rows: DataFrame, n: int, border: int = 0) -> DataFrame:
     """(fid, d): one over the norm of each frame (re, im; arrays) less its border; null where it is zero."""
-    inner = F.array(*(F.lit(y * n + x + 1) for y in range(border, n - border) for x in range(border, n - border))) if border else None
-    of = lambda c: F.transform(inner, lambda i: F.element_at(c, i)) if border else F.col(c)
+    inside = lambda _, i: i.between(border * n, (n - border) * n - 1) & (i % n).between(border, n - border - 1)
+    of = lambda c: F.filter(c, inside) if border else F.col(c)
     square = sum((F.aggregate(of(c), F.lit(0.0), lambda s, x: s + x * x) for c in ("re", "im")), F.lit(0.0))
     return rows.select("fid", F.try_divide(F.lit(1.0), F.sqrt(square)).alias("d"))
 
