@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phasemill.functions import cplx
-from phasemill.operators import dense, krylov, tiles
+from phasemill.operators import agreement, dense, krylov, tiles
 from phasemill.operators.tiles import Tiling
 
 
@@ -215,7 +215,8 @@ class Synchronizer:
     """What synchronising the frames of one scan takes again and again, made once: plan, chunks, pairs of chunks, normalization.
 
     The eigenvector comes from `steps` power steps, or, with a tolerance, from a Krylov projection
-    that starts from the vector of the call before.
+    that starts from the vector of the call before, and at first from the frames' norms with phases
+    that agree from cell to cell.
     """
 
     plan: DataFrame
@@ -244,9 +245,19 @@ class Synchronizer:
 
     def phases(self, rows: DataFrame, scale: DataFrame | None = None) -> DataFrame:
         """(fid, re, im): factors that bring the phases of frames into agreement."""
-        h = self.matrix(rows, scale)
         if self.tol is None:
-            return leading(h, self.plan, self.steps, self.keep)
-        ones = self.plan.select("fid", F.lit(1.0).alias("re"), F.lit(0.0).alias("im"))
-        self.last = krylov.leading_pair(h, ones if self.last is None else self.last.vector, self.keep, self.tol, self.steps or 100)
-        return in_phase(self.last.vector)
+            return leading(self.matrix(rows, scale), self.plan, self.steps, self.keep)
+        return in_phase(self.pair(rows, scale).vector)
+
+    def pair(self, rows: DataFrame, scale: DataFrame | None = None) -> krylov.Pair:
+        """The leading eigenpair of the matrix, to the tolerance."""
+        h = self.matrix(rows, scale)
+        start = self.last.vector if self.last is not None else self.start(h, rows, scale)
+        self.last = krylov.leading_pair(h, start, self.keep, self.tol, self.steps or 100)
+        return self.last
+
+    def start(self, h: DataFrame, rows: DataFrame, scale: DataFrame | None = None) -> DataFrame:
+        """(fid, re, im): what D, the scale, leaves of a vector of phases, with phases that agree from cell to cell."""
+        d = inverse_norms(rows, self.tiling.n, self.border) if scale is None else scale
+        sizes = self.plan.select("fid").join(d.select("fid", "d"), "fid", "left").select("fid", F.coalesce(F.try_divide(F.lit(1.0), F.col("d")), F.lit(0.0)).alias("re"), F.lit(0.0).alias("im"))
+        return agreement.aligned(h, sizes, agreement.cells(self.plan, self.tiling.width), self.keep)

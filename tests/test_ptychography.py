@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from phasemill.jobs import ptychography as P
-from phasemill.operators import dense, frames, geometry, gram, krylov, prox, solvers, tiles
+from phasemill.operators import agreement, dense, frames, geometry, gram, krylov, prox, solvers, tiles
 from phasemill.sources import store
 from phasemill.sources.bridge import N, setup
 from phasemill.streaming import accumulate
@@ -40,6 +40,17 @@ def test_query_matches_sql(spark, db, name):
     assert _rows(got) == _rows(want)
 
 
+@pytest.mark.parametrize("name", ["synchronize_converged"])
+def test_converged_query_takes_few_products(spark, db, name, monkeypatch):
+    """From ones it takes 129 products on these 500 frames, and more on more frames."""
+    found, solve = [], krylov.leading_pair
+    monkeypatch.setattr(krylov, "leading_pair", lambda *a, **k: found.append(solve(*a, **k)) or found[-1])
+    got, want = P.QUERIES[name](spark, SF).toPandas(), db.execute(P.ORACLES[name]).df()
+    assert sorted(got.columns) == sorted(want.columns) and len(got) == len(want)
+    assert _rows(got) == _rows(want)
+    assert found and all(p.products < 30 and p.residual < 1e-9 for p in found)
+
+
 def _array(cells, k):
     out = np.zeros((k, N, N), dtype=complex)
     for r in cells.collect():
@@ -181,6 +192,45 @@ def test_synchronization_finds_planted_phases(spark):
     assert sync.matrix(rows, scale).count() == sync.matrix(rows).count()
 
 
+@pytest.mark.parametrize(("side", "group", "limit"), [(12, 6, 256), (5, 200, 9)])
+def test_phases_agree_from_the_bottom_up(spark, monkeypatch, side, group, limit):
+    """Planted phases over several levels, and cells that are cut in parts, at the first product."""
+    monkeypatch.setattr(agreement, "GROUP", group)
+    monkeypatch.setattr(agreement, "LIMIT", limit)
+    scan, width, image, truth, at, probe = _small(spark, 4, side)
+    waves = _array(dense.long(solvers.exit_waves(image, scan, probe, width), N), side**2)
+    angles = np.random.default_rng(2).random(side**2) * 2 * np.pi
+    sync = gram.Synchronizer.of_scan(scan, probe, width, P.kept, tol=1e-12)
+    rows = P.kept(sync.plan.join(_frames(spark, waves * np.exp(1j * angles)[:, None, None]), "fid"))
+    got = {r.fid: r.re + 1j * r.im for r in sync.phases(rows).collect()}
+    product = np.array([got[k] * np.exp(1j * angles[k]) for k in range(side**2)])
+    assert np.allclose(product / product[0], 1, atol=1e-8)
+    assert sync.last.residual <= 1e-12 and np.isclose(sync.last.value, 1)
+    if limit == 256:
+        assert sync.last.products == 1
+
+
+def test_frames_that_disagree_still_converge(spark, monkeypatch):
+    """Noisy frames, one of them zero, against NumPy: the start is near, the Krylov projection does the rest."""
+    monkeypatch.setattr(agreement, "GROUP", 6)
+    scan, width, image, truth, at, probe = _small(spark, 4, 6)
+    rng = np.random.default_rng(3)
+    waves = _array(dense.long(solvers.exit_waves(image, scan, probe, width), N), 36)
+    waves = waves * np.exp(2j * np.pi * rng.random(36))[:, None, None] + 0.05 * (rng.normal(size=waves.shape) + 1j * rng.normal(size=waves.shape))
+    waves[11] = 0
+    sync = gram.Synchronizer.of_scan(scan, probe, width, P.kept, tol=1e-9)
+    rows = P.kept(sync.plan.join(_frames(spark, waves), "fid"))
+    pair = sync.pair(rows)
+    full = np.zeros((36, 36), dtype=complex)
+    for r in sync.matrix(rows).filter("re IS NOT NULL").collect():
+        full[r.i, r.j] = r.re + 1j * r.im
+    values, vectors = np.linalg.eigh(full)
+    got = np.zeros(36, dtype=complex)
+    for r in pair.vector.collect():
+        got[r.fid] = (r.re or 0) + 1j * (r.im or 0)
+    assert pair.residual <= 1e-9 and np.isclose(pair.value, values[-1]) and np.isclose(abs(np.vdot(vectors[:, -1], got)), 1)
+
+
 def test_true_frames_are_a_fixed_point(spark):
     scan, width, image, *_, probe = _small(spark, 4)
     waves = solvers.exit_waves(image, scan, probe, width)
