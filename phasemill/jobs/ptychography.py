@@ -383,9 +383,9 @@ w AS (SELECT i AS fid, sum(h.re * v.re - h.im * v.im) AS re, sum(h.re * v.im + h
 def sync_eigenpair(s: Setup) -> DataFrame:
     """The leading eigenpair to 1e-9; the SQL has the value and residual of the vector that planted phases make."""
     sync, rows = _spun(s)
+    sync.tol, sync.steps = 1e-9, 100
     h = sync.matrix(rows)
-    ones = s.scan.select("fid", F.lit(1.0).alias("re"), F.lit(0.0).alias("im"))
-    return _rounded(gram.residual(h, krylov.leading_pair(h, ones, kept).vector), "value", "residual")
+    return _rounded(gram.residual(h, krylov.leading_pair(h, sync.start(h, rows), kept, sync.tol, sync.steps).vector), "value", "residual")
 
 
 @_query("SELECT fid, round((t.re * o.re - t.im * o.im) / sqrt(t.re * t.re + t.im * t.im), 3) + 0.0 AS re, round(-(t.re * o.im + t.im * o.re) / sqrt(t.re * t.re + t.im * t.im), 3) + 0.0 AS im FROM omega o, (SELECT sum(re) AS re, -sum(im) AS im FROM omega) t")

@@ -40,7 +40,7 @@ def test_query_matches_sql(spark, db, name):
     assert _rows(got) == _rows(want)
 
 
-@pytest.mark.parametrize("name", ["synchronize_converged", "ap_synchronized_steps"])
+@pytest.mark.parametrize("name", ["sync_eigenpair", "synchronize_converged", "ap_synchronized_steps"])
 def test_converged_query_takes_few_products(spark, db, name, monkeypatch):
     """From ones it takes 129 products on these 500 frames, and more on more frames."""
     found, solve = [], krylov.leading_pair
