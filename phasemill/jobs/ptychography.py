@@ -85,7 +85,7 @@ def _gram(s: Setup, border: int = 0) -> DataFrame:
     """The Gram matrix of the frames with themselves."""
     plan = kept(s.plan)
     rows = plan.join(s.frames, "fid")
-    return gram.hermitian(gram.tiled_gram(gram.both_sides(rows), gram.chunk_pairs(plan, s.tiling), s.tiling, border))
+    return gram.tiled_gram(gram.both_sides(rows), gram.chunk_pairs(plan, s.tiling), s.tiling, border, both=True)
 
 
 def _preconditioned(s: Setup, border: int = 0) -> DataFrame:
@@ -430,7 +430,7 @@ def ap_synchronized_step(s: Setup) -> DataFrame:
 @_query("SELECT pix, round(re, 3) + 0.0 AS re, round(im, 3) + 0.0 AS im FROM image WHERE pix IN (SELECT pix FROM mapid)")
 def ap_synchronized_steps(s: Setup) -> DataFrame:
     """Two steps with phases synchronised to convergence, from the true image, which they leave as it is where frames lie; the second starts from the first one's eigenvector."""
-    found = solvers.alternating_projections(s.scan, kept(_data(s)), s.probe, s.width, 2, s.image, power_steps=20, power_tol=1e-12, residuals_interval=0)
+    found = solvers.alternating_projections(s.scan, _data(s), s.probe, s.width, 2, s.image, power_steps=20, power_tol=1e-12, residuals_interval=0, write_frames=False)
     return found.image.withColumns({c: F.round(c, 3) + F.lit(0.0) for c in ("re", "im")})
 
 

@@ -4,7 +4,7 @@ Products with a Hermitian matrix carry phases only from frame to frame, so an ei
 start without them takes as many more products as the scan is wide. Here each cell solves its own
 small problem in a task, a cell is one node of the next level, and the matrix among nodes is what
 the cells' vectors leave of the one below. Levels shrink by GROUP; nothing but the last one, of
-LIMIT nodes or so, is in one task as a whole.
+LIMIT nodes at most, is in one task as a whole.
 """
 
 from __future__ import annotations
@@ -60,23 +60,28 @@ def aligned(h: DataFrame, start: DataFrame, at: DataFrame, keep: Callable[[DataF
     """
     size = F.sqrt(cplx.abs2(cplx.pair()))
     nodes, matrix, levels = start.select(F.col("fid").alias("node"), F.coalesce(size, F.lit(0.0)).alias("size")).join(at.withColumnRenamed("fid", "node"), "node"), h, []
+    found_in = "node long, p_re double, p_im double"
+    phases = [F.coalesce("p_re", F.lit(1.0)).alias("p_re"), F.coalesce("p_im", F.lit(0.0)).alias("p_im")]
     while True:
         label = keep(labelled(nodes))
-        side = lambda s: label.select(F.col("node").alias(s), F.col("group").alias(f"g{s}"), F.col("share").alias(f"s{s}"))  # noqa: B023, E731
-        edges = keep(matrix.select("i", "j", "re", "im").join(side("i"), "i").join(side("j"), "j"))
-        local = edges.filter("gi = gj").select("gi", "i", "j", "re", "im").groupBy("gi").applyInArrow(_leading, "node long, p_re double, p_im double")
-        level = keep(label.join(local, "node", "left").select("node", "group", F.coalesce("p_re", F.lit(1.0)).alias("p_re"), F.coalesce("p_im", F.lit(0.0)).alias("p_im")))
+        own = lambda s: label.select(F.col("node").alias(s), F.col("group").alias(f"g{s}"))  # noqa: B023, E731
+        within = matrix.select("i", "j", "re", "im").join(own("i"), "i").join(own("j"), "j").filter("gi = gj").select("gi", "i", "j", "re", "im")
+        level = keep(label.join(within.groupBy("gi").applyInArrow(_leading, found_in), "node", "left").select("node", "group", "share", *phases))
         levels.append(level)
         groups = label.groupBy("group").agg(F.first("whole").alias("size"), F.first("cy").alias("cy"), F.first("cx").alias("cx")).withColumnRenamed("group", "node")
-        if groups.count() <= 1:
+        count = groups.count()
+        if count <= 1:
+            found = levels.pop().select("node", "p_re", "p_im")
             break
-        nodes = groups.withColumns({c: F.expr(f"{c} div 8") for c in ("cy", "cx")})
-        turn = lambda s: level.select(F.col("node").alias(s), F.col("p_re").alias(f"{s}_re"), F.col("p_im").alias(f"{s}_im"))  # noqa: B023, E731
-        turned = edges.join(turn("i"), "i").join(turn("j"), "j")
+        side = lambda s: level.select(F.col("node").alias(s), F.col("group").alias(f"g{s}"), (F.col("p_re") * F.col("share")).alias(f"{s}_re"), (F.col("p_im") * F.col("share")).alias(f"{s}_im"))  # noqa: B023, E731
         re, im = cplx.conj_mul(cplx.pair("i_"), cplx.mul(cplx.pair(), cplx.pair("j_")))
-        weight = F.col("si") * F.col("sj")
-        matrix = keep(turned.groupBy(F.col("gi").alias("i"), F.col("gj").alias("j")).agg(F.sum(re * weight).alias("re"), F.sum(im * weight).alias("im")))
-    found = levels.pop().select("node", "p_re", "p_im")
+        turned = matrix.select("i", "j", "re", "im").join(side("i"), "i").join(side("j"), "j")
+        matrix = turned.groupBy(F.col("gi").alias("i"), F.col("gj").alias("j")).agg(F.sum(re).alias("re"), F.sum(im).alias("im"))
+        if count <= LIMIT:
+            found = groups.select("node").join(matrix.groupBy().applyInArrow(_leading, found_in), "node", "left").select("node", *phases)
+            break
+        matrix = keep(matrix)
+        nodes = groups.withColumns({c: F.expr(f"{c} div 8") for c in ("cy", "cx")})
     while levels:
         above = found.select(F.col("node").alias("group"), F.col("p_re").alias("a_re"), F.col("p_im").alias("a_im"))
         re, im = cplx.mul(cplx.pair("p_"), cplx.pair("a_"))

@@ -66,8 +66,8 @@ def chunk_pairs(plan: DataFrame, tiling: Tiling) -> DataFrame:
     return sides.select(own.alias("own"), F.struct("p", "q").alias("pair"), "other", facing["r"].alias("fr"), facing["c"].alias("fc")).select("own.*", "pair", "other", "fr", "fc")
 
 
-def tiled_gram(frames: DataFrame, of: DataFrame, tiling: Tiling, border: int = 0) -> DataFrame:
-    """(i, j, re, im), i <= j: the rows of `gram`, from frames as arrays.
+def tiled_gram(frames: DataFrame, of: DataFrame, tiling: Tiling, border: int = 0, both: bool = False) -> DataFrame:
+    """(i, j, re, im), i <= j: the rows of `gram`, from frames as arrays; with both, both triangles.
 
     frames: a plan's columns with l_re, l_im and r_re, r_im; of: chunk_pairs of the plan. A frame goes
     to the pairs of its chunk with those within reach, and one task sums all pairs of frames of a pair
@@ -107,7 +107,11 @@ def tiled_gram(frames: DataFrame, of: DataFrame, tiling: Tiling, border: int = 0
             to = slice(ys.start + y, ys.stop + y), slice(xs.start + x, xs.stop + x)
             for part in np.array_split(some, max(1, len(some) * n * n // 2_000_000)):
                 out[part] = np.einsum("kyx,kyx->k", left[i[part], ys, xs], right[j[part], to[0], to[1]])
-        return pa.table({"i": fid[i], "j": fid[j], "re": out.real, "im": out.imag})
+        i, j = fid[i], fid[j]
+        if both:
+            off = i < j
+            i, j, out = np.r_[i, j[off]], np.r_[j, i[off]], np.r_[out, out[off].conj()]
+        return pa.table({"i": i, "j": j, "re": out.real, "im": out.imag})
 
     return dealt.groupBy("pair").applyInArrow(work, "i long, j long, re double, im double")
 
@@ -122,11 +126,19 @@ def both_sides(rows: DataFrame) -> DataFrame:
     return rows.select("fid", "tx", "ty", "r", "c", "part", *(F.col(k).alias(f"{s}_{k}") for s in "lr" for k in ("re", "im")))
 
 
-def lit_sides(rows: DataFrame, norm: DataFrame, of: DataFrame, tiling: Tiling, probe: np.ndarray) -> DataFrame:
-    """Left frames conj(probe) * frame and right ones the same over the normalization (tiles of n); of: tiles.chunks of the plan."""
+def lit_sides(rows: DataFrame, norm: DataFrame, of: DataFrame, tiling: Tiling, probe: np.ndarray, scale_border: int | None = None) -> DataFrame:
+    """Left frames conj(probe) * frame and right ones the same over the normalization (tiles of n); of: tiles.chunks of the plan.
+
+    With a scale_border both are over the norm of the frame less that border, and zero where it is zero.
+    """
 
     def work(rows: pa.Table, at: tiles.Place, n: np.ndarray) -> pa.Table:
-        f = np.conj(probe) * (dense.stack(rows.column("re"), tiling.n) + 1j * dense.stack(rows.column("im"), tiling.n))
+        f = dense.stack(rows.column("re"), tiling.n) + 1j * dense.stack(rows.column("im"), tiling.n)
+        if scale_border is not None:
+            inside = slice(scale_border, tiling.n - scale_border)
+            size = np.sqrt((np.abs(f[:, inside, inside]) ** 2).sum(axis=(1, 2)))[:, None, None]
+            f = np.divide(f, size, out=np.zeros_like(f), where=size > 0)
+        f = np.conj(probe) * f
         under = at.windows(n)
         g = np.divide(f, under, out=np.zeros_like(f), where=under > 0)
         named = {"l_re": f.real, "l_im": f.imag, "r_re": g.real, "r_im": g.imag}
@@ -238,10 +250,10 @@ class Synchronizer:
         return cls(plan, keep(tiles.chunks(plan, tiling)), keep(chunk_pairs(plan, tiling)), keep(tiles.normalization(plan, tiling, probe)), tiling, probe, keep, **more)
 
     def matrix(self, rows: DataFrame, scale: DataFrame | None = None) -> DataFrame:
-        """The scaled Gram matrix of frames (a plan's columns, re, im; arrays), written; scale (fid, d) in place of the frames' norms."""
-        sides = lit_sides(rows, self.norm, self.of, self.tiling, self.probe)
-        h = hermitian(tiled_gram(sides, self.pairs, self.tiling, self.border))
-        return self.keep(scaled(h, inverse_norms(rows, self.tiling.n, self.border) if scale is None else scale))
+        """The scaled Gram matrix of frames (a plan's columns, re, im; arrays), written; scale (fid, d) in place of the frames' norms, by which they are divided before they meet."""
+        sides = lit_sides(rows, self.norm, self.of, self.tiling, self.probe, self.border if scale is None else None)
+        h = tiled_gram(sides, self.pairs, self.tiling, self.border, both=True)
+        return self.keep(h if scale is None else scaled(h, scale))
 
     def phases(self, rows: DataFrame, scale: DataFrame | None = None) -> DataFrame:
         """(fid, re, im): factors that bring the phases of frames into agreement."""

@@ -129,35 +129,40 @@ def leading_pair(h: DataFrame, start: DataFrame, keep: Callable[[DataFrame], Dat
     an entry in h has a zero row there. keep writes a table and reads it again. A zero start, and no
     frames, give value 0 and the start as it is.
     """
-    h = keep(with_own(h, start))
-    total = start.agg(F.sum(cplx.abs2(cplx.pair())).alias("s")).first()["s"] or 0.0
+    seen, at = Observation(), lambda c, k: F.get(F.col(c), F.lit(k))
+    first = times(with_own(h, start), start.select("fid", *(F.array(c).alias(c) for c in ("re", "im"))))
+    source = first.select("fid", *(F.concat(c, F.array(F.col(f"w_{c}"))).alias(c) for c in ("re", "im")))  # v and h v
+    source = keep(source.observe(seen, F.sum(at("re", 0) ** 2 + at("im", 0) ** 2).alias("total"), F.sum(at("re", 0) * at("re", 1) + at("im", 0) * at("im", 1)).alias("dot")))
+    total = seen.get["total"] or 0.0
     if not total:
         return Pair(start.select("fid", "re", "im"), 0.0, 0.0, 0, start)
-    unit = start.select("fid", *(F.array(F.col(c) / total**0.5).alias(c) for c in ("re", "im")))
-    reach = h.groupBy("i").agg(F.sum(F.sqrt(cplx.abs2(cplx.pair()))).alias("r")).agg(F.max("r")).first()[0] or 1.0
-    low, high, done = -reach, reach, 1
-    state = times(h, unit).select("fid", *(F.concat(c, F.array(F.col(f"w_{c}"))).alias(c) for c in ("re", "im")))  # v and h v
-    value = None
+    value, done = seen.get["dot"] / total, 1
+    state = source.select("fid", *(F.array(*(at(c, k) / total**0.5 for k in range(2))).alias(c) for c in ("re", "im")))
     for cycle in range(cycles + 1):
-        if value is None:
-            state = keep(state)
-            value = state.agg(F.sum(F.get("re", F.lit(0)) * F.get("re", F.lit(1)) + F.get("im", F.lit(0)) * F.get("im", F.lit(1)))).first()[0]
-        off = [F.get(c, F.lit(1)) - value * F.get(c, F.lit(0)) for c in ("re", "im")]
-        seen = Observation()
-        state = keep(state.observe(seen, F.sum(off[0] * off[0] + off[1] * off[1]).alias("off")))
-        residual = (seen.get["off"] or 0.0) ** 0.5
+        off = [at(c, 1) - value * at(c, 0) for c in ("re", "im")]
+        square = F.sum(off[0] * off[0] + off[1] * off[1]).alias("off")
+        if cycle == 0:
+            residual = (state.agg(square).first()["off"] or 0.0) ** 0.5
+        else:
+            seen = Observation()
+            state = source = keep(state.observe(seen, square))
+            residual = (seen.get["off"] or 0.0) ** 0.5
         if residual <= tol or cycle == cycles:
             break
+        if cycle == 0:  # a start that is an eigenvector needs none of this
+            h = keep(with_own(h, start))
+            reach = h.groupBy("i").agg(F.sum(F.sqrt(cplx.abs2(cplx.pair()))).alias("r")).agg(F.max("r")).first()[0] or 1.0
+            low, high = -reach, reach
         count = min(degree, 8) if cycle == 0 else degree  # the spectrum is known only roughly at first
         basis = state.select("fid", *(F.concat(c, F.array(o / residual)).alias(c) for c, o in zip(("re", "im"), off, strict=True)))
         scaled = stretched(h, low, high)
-        for at in range(0, count, per_job):
-            basis = keep(chain(scaled, basis, at == 0, min(per_job, count - at)))
+        for k in range(0, count, per_job):
+            basis = keep(chain(scaled, basis, k == 0, min(per_job, count - k)))
         done += count
         value, v, hv, smallest, largest = projected(inner_products(basis), low, high)
         pairs = [combined(v), combined(hv)]
         state = basis.select("fid", F.array(*(p[0] for p in pairs)).alias("re"), F.array(*(p[1] for p in pairs)).alias("im"))
         margin = 0.05 * (largest - smallest) + 1e-12 * reach
         low, high = smallest - margin, largest + margin
-    vector = state.select("fid", F.get("re", F.lit(0)).alias("re"), F.get("im", F.lit(0)).alias("im"))
-    return Pair(vector, value, residual, done, state)
+    vector = state.select("fid", at("re", 0).alias("re"), at("im", 0).alias("im"))
+    return Pair(vector, value, residual, done, source)

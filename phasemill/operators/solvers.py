@@ -209,7 +209,7 @@ def _compared(image: DataFrame, truth: DataFrame) -> DataFrame:
 
 def alternating_projections(
     scan: DataFrame, data: DataFrame, probe: np.ndarray, width: int, steps: int, image: DataFrame, truth: DataFrame | None = None,
-    power_steps: int = 0, power_tol: float | None = None, refine_from: int | None = None, lens: np.ndarray | None = None, normalization: DataFrame | None = None, residuals_interval: int = 1,
+    power_steps: int = 0, power_tol: float | None = None, refine_from: int | None = None, lens: np.ndarray | None = None, normalization: DataFrame | None = None, residuals_interval: int = 1, write_frames: bool = True,
 ) -> Solution:
     """The solution after so many steps from an image (pix, re, im).
 
@@ -224,14 +224,18 @@ def alternating_projections(
     Chunks of frames, their data, normalization and, for synchronising, the pairs of chunks are
     written once. A step is one pass over the frames that writes what they add to the image, and one
     over the tiles that adds it up, whatever its number; residuals and times are observed as these are
-    written. What a step wrote goes when the next has read it. With no synchronising, recording or
-    refining, frames are not written at all until the last pass.
+    written. What a step wrote goes when the next has read it. With no recording or refining, frames
+    that were synchronised are added up as they are turned, and without synchronising none are written
+    at all until the last pass. Without write_frames that pass is left to who reads the frames, and
+    times have nothing of it; residuals need it.
     """
     spark, n = scan.sparkSession, probe.shape[0]
     tiling, synchronising = Tiling(width, n), bool(power_steps) or power_tol is not None
+    if residuals_interval and not write_frames:
+        raise ValueError("the last residual comes from the frames that are written last")
     seconds, rows_out = dict.fromkeys(WORK, 0.0), []
     with Store(spark) as keep:
-        size = norms(data, truth if truth is not None else image, n).first()
+        size = norms(data, truth if truth is not None else image, n).first() if residuals_interval else None
         plan = keep(tiles.planned(scan, tiling))
         of = keep(tiles.chunks(plan, tiling))
         given = normalization is not None
@@ -257,8 +261,9 @@ def alternating_projections(
             out, got = observed(_step(before if before is not None else placed, current, of, tiling, probe, True, not synchronising, recorded or refining or synchronising))
             fitted = out.filter("kind = 1").select(*(c.split()[0] for c in _PLACED.split(", ")))
             if synchronising:
-                fitted = keep(_rotated(fitted, sync.phases(fitted), n))
-                sums = tiles.scattered(fitted.select("fid", "re", "im"), plan, tiling, probe)
+                fitted = _rotated(fitted, sync.phases(fitted), n)
+                fitted = keep(fitted) if recorded or refining else fitted
+                sums = tiles.placed_sum(fitted, tiling, probe)
             else:
                 sums = tiles.merged(out.filter("kind = 0"), tiling)
             moved = tiles.divided(sums, norm if given else None)
@@ -281,8 +286,13 @@ def alternating_projections(
                 rows_out.append([i, off / size["truth_norm"] if size["truth_norm"] else None, (got["off_data"] or 0.0) ** 0.5 / size["frames_norm"] if size["frames_norm"] else None, None])
             before = fitted if recorded else None
             keep.drop_but(*fixed, norm, current, out if not synchronising and recorded else None, fitted if recorded else None, sync.last.source if sync and sync.last else None)
-        waves, _ = observed(_step(before if before is not None else placed, current, of, tiling, probe, False, False, True))
-        keep.drop_but(norm, current, waves)
+        last = _step(before if before is not None else placed, current, of, tiling, probe, False, False, True)
+        if write_frames:
+            waves, _ = observed(last)
+            keep.drop_but(norm, current, waves)
+        else:
+            waves = last
+            keep.drop_but(norm, current, of, placed)
     times = spark.createDataFrame([(k, float(v)) for k, v in seconds.items()], "operator string, seconds double")
     return Solution(
         tiles.pixels(current, tiling, "re", "im"), spark.createDataFrame(rows_out, RESIDUALS), waves.filter("kind = 1").select("fid", "re", "im"), probe,

@@ -231,6 +231,11 @@ def gathered(plan: DataFrame, tiles: DataFrame, tiling: Tiling) -> DataFrame:
 
 def scattered(frames: DataFrame, plan: DataFrame, tiling: Tiling, probe: np.ndarray | None = None) -> DataFrame:
     """Tiles of the sum of frames (fid, re, im; arrays) over the pixels they cover, with a probe of conj(probe) * frame and of |probe|^2 as n; frames without a place are left out."""
+    return placed_sum(plan.join(frames, "fid"), tiling, probe)
+
+
+def placed_sum(rows: DataFrame, tiling: Tiling, probe: np.ndarray | None = None) -> DataFrame:
+    """scattered, of rows that have a plan's columns."""
 
     def work(rows: pa.Table) -> pa.Table:
         at = Place(tiling, rows.column("r")[0].as_py(), rows.column("c")[0].as_py(), rows)
@@ -239,7 +244,7 @@ def scattered(frames: DataFrame, plan: DataFrame, tiling: Tiling, probe: np.ndar
             return pa.table(at.blocks(at.summed(f), at.summed(np.ones((tiling.n, tiling.n)))))
         return pa.table(at.blocks(at.summed(np.conj(probe) * f), at.summed(np.abs(probe) ** 2)))
 
-    return merged(plan.join(frames, "fid").groupBy(*_KEY).applyInArrow(work, _BLOCK), tiling)
+    return merged(rows.groupBy(*_KEY).applyInArrow(work, _BLOCK), tiling)
 
 
 def normalization(plan: DataFrame, tiling: Tiling, probe: np.ndarray) -> DataFrame:

@@ -411,6 +411,19 @@ def test_synchronised_steps_from_phases_that_were_lost(spark):
     assert all(r.r_truth < 1e-7 and r.r_data < 1e-9 for r in found.residuals.collect())
 
 
+def test_synchronised_steps_write_few_tables(spark, monkeypatch):
+    """Each table is a job or several whatever the scan; two steps wrote 25 of them, and the frames before anyone asked."""
+    scan, width, image, truth, at, probe = _small(spark, 4)
+    data = dense.intensities(solvers.exit_waves(image, scan, probe, width), N)
+    written, write = [], store.Store.__call__
+    monkeypatch.setattr(store.Store, "__call__", lambda self, df: written.append(df) or write(self, df))
+    found = solvers.alternating_projections(scan, data, probe, width, 2, image, power_tol=1e-12, residuals_interval=0, write_frames=False)
+    assert len(written) <= 17
+    assert np.allclose(_image(found.image, width), truth) and np.allclose(_array(dense.long(found.frames, N), 16), probe * _windows(truth, at))
+    with pytest.raises(ValueError, match="residual"):
+        solvers.alternating_projections(scan, data, probe, width, 1, image, write_frames=False)
+
+
 def test_failed_runs_leave_no_tables(spark, tmp_path, monkeypatch):
     scan, width, image, *_, probe = _small(spark, 4)
     monkeypatch.setattr(store, "folder", lambda _: f"file://{tmp_path}")
